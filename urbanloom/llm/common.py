@@ -60,3 +60,35 @@ def sampled(df: DataFrame, label: str, per_label: int, text: str = "text") -> Da
     picks = hashed.groupBy(label, F.pmod("_h", F.lit(per_label)).alias("_b")).agg(F.min("_h").alias("_h")).select(F.col(label).alias("_l"), F.col("_h").alias("_p"))
     joined = hashed.join(F.broadcast(picks), (F.col(label) == F.col("_l")) & (F.col("_h") == F.col("_p"))).select(label, text, "_h")
     return joined.groupBy(label, "_h").agg(F.min(text).alias(text)).orderBy(label, "_h")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, max_chars: int = 50_000, id_col: str = "doc_id", text: str = "text") -> tuple[list[str], list[int], dict[int, int]]:
+    """Texts and 0/1 labels of at most ``per_label`` training documents of each label, and how many rows have each label.
+
+    Held-out documents, null labels and, for training only, texts over ``max_chars`` are passed over. The documents
+    are chosen by the hash of their ids, so at most ``2 * per_label`` ids are broadcast to fetch their texts.
+    """
+    usable = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col(id_col))).select(F.col(label).cast("int").alias("_y"), F.col(id_col).alias("_id"), F.xxhash64(id_col).alias("_h"))
+    counts = {r["_y"]: r["n"] for r in usable.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    picks = usable.groupBy("_y", F.pmod("_h", F.lit(per_label)).alias("_b")).agg(F.min(F.struct("_h", "_id")).alias("_m")).select("_y", F.col("_m._id").alias("_id"))
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_t")).where(F.length("_t") <= max_chars).join(F.broadcast(picks), "_id")
+    rows = found.groupBy("_id", "_y").agg(F.min("_t").alias("_t")).orderBy("_y", "_id").collect()
+    return [r["_t"] for r in rows], [r["_y"] for r in rows], counts
+
+
+def keep_rows(docs: DataFrame, model, keep, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, for which ``keep(model, texts)`` is true; decided where they are read, without a join."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, keep))
+    order = [text, *[c for c in docs.columns if c != text]]
+    ordered = docs.select(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, keep = shared.value
+        for batch in batches:
+            start = 0
+            for part, texts in text_runs(b.select([0, 0]) for b in (batch,)):
+                mask = pa.array([bool(x) for x in keep(model, texts)], pa.bool_())
+                yield batch.slice(start, part.num_rows).filter(mask)
+                start += part.num_rows
+
+    return ordered.mapInArrow(run, ordered.schema).select(*docs.columns)
