@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, language_id, quality, sharding, token_file, toxicity, url_filter
+from . import byte_bpe, decontamination, language_id, neighbours, quality, sharding, token_file, toxicity, url_filter
 from .common import held_out
 from .sql import SQL  # noqa: F401
 
@@ -49,10 +49,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         spec = f.read()
     return token_file.read_segments(token_file.write_segments(table(spark, sf_dir, "documents"), spec, end_id=1))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_sharding, op4_byte_bpe, op5_quality, op6_url_filter, op7_toxicity, op8_decontamination, op10_token_file)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_sharding, op4_byte_bpe, op5_quality, op6_url_filter, op7_toxicity, op8_decontamination, op9_neighbours, op10_token_file)}
