@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, language_id, neighbours, quality, sharding, token_file, toxicity, url_filter
+from . import byte_bpe, decontamination, jaccard_join, language_id, neighbours, quality, sharding, token_file, toxicity, url_filter
 from .common import held_out
 from .sql import SQL  # noqa: F401
 
@@ -26,6 +27,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_groups(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -59,4 +64,8 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_segments(token_file.write_segments(table(spark, sf_dir, "documents"), spec, end_id=1))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_sharding, op4_byte_bpe, op5_quality, op6_url_filter, op7_toxicity, op8_decontamination, op9_neighbours, op10_token_file)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_sharding, op3_jaccard_join, op4_byte_bpe, op5_quality, op6_url_filter, op7_toxicity, op8_decontamination, op9_neighbours, op10_token_file, pipeline)}
