@@ -1,6 +1,6 @@
-"""Registered queries over the supplied tables, with their SQL."""
+"""All registered queries of the library's own operators, with their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import graph_queries, spatial_queries  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
