@@ -78,12 +78,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: i
 
 def keep_rows(docs: DataFrame, model, keep, text: str = "text") -> DataFrame:
     """The rows, with all their columns, for which ``keep(model, texts)`` is true; decided where they are read, without a join."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, keep))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     order = [text, *[c for c in docs.columns if c != text]]
     ordered = docs.select(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, keep = shared.value
+        model = shared.value
         for batch in batches:
             start = 0
             for part, texts in text_runs(b.select([0, 0]) for b in (batch,)):

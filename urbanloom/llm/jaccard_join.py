@@ -8,8 +8,9 @@ Distance is d = 1 - Jaccard; links have d <= r = 0.2. The join works on distinct
   in so few that the first shingle they share is among the first n - ceil(8n/9) + 1 of the smaller one (its core window)
   and the first m - ceil(4m/5) + 1 of the larger one. So each set is replicated to the regions of that window and no
   link is lost.
-* A region is first joined with one of its members. Members that links already put into one group need no further
-  test against each other. If few stay outside the largest group, they are tested against all others.
+* In regions of few sets all pairs are formed, and those whose windows share too little to be linked are dropped.
+* A larger region is first joined with one of its members. Members that links already put into one group need no
+  further test against each other. If few stay outside the largest group, they are tested against all others.
 * Any other region gets document pivots. All its members' distances to them are computed; the pivots are then done.
   Each member belongs to the Voronoi region of its nearest pivot and is replicated to that of pivot j if
   d(x, p_j) <= d(x, nearest) + 2r. The regions are joined in the same way, recursively. Where these windows would
@@ -22,13 +23,11 @@ bound, or already in one group, are tested with their whole shingle sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,35 +42,67 @@ FEW, PIVOTS = 24, 4
 FREQUENT = 1 << 18
 #: Shingles that a task counts at a time, and the least count there for a shingle to be counted over all tasks.
 COUNTED, AT_LEAST = 2_000_000, 3
-#: Distinct words whose hashes a task remembers.
-REMEMBERED = 1_000_000
+#: Characters of the texts whose shingles are made at a time.
+RUN_CHARS = 500_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: log2 of the bits of the filter by which the sets of candidates are found again.
 FILTER_BITS = 26
 
 
 class Shingler:
-    """Distinct shingles of a text as sorted 64-bit hashes."""
+    """Shingles of texts as 64-bit hashes, made with numpy for a run of texts at a time.
+
+    A word's hash is a polynomial over values of its bytes, taken as a difference of running sums; A-Z have the values
+    of a-z. A shingle's hash is a polynomial over its words' hashes.
+    """
 
     def __init__(self, words: int = WORDS):
-        self.words, self.hash = words, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode("utf-8", "replace").lower().split() if text else ()  # bytes: A-Z and ASCII white space only
-        known = self.hash
-        if len(known) > REMEMBERED:
-            known.clear()
-        for word in set(words).difference(known):
-            known[word] = xxhash.xxh3_64_intdigest(word)
-        ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        if not len(ids):
-            return ids.view(np.int64)
-        span = min(self.words, len(ids))
-        out = ids[: len(ids) - span + 1] + np.uint64(span)
+        self.words = words
+        self.value = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64)
+        self.value[65:91] = self.value[97:123]
+        self.gap = np.zeros(256, bool)
+        self.gap[[32, *range(9, 14)]] = True
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) < n:
+            for name, base in (("up", int(BASE)), ("down", pow(int(BASE), -1, 1 << 64))):
+                steps = np.full(max(n, 1 << 20), base, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.cumprod(steps))
+
+    @staticmethod
+    def _mixed(h: np.ndarray) -> np.ndarray:
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(29))
+
+    def _joined(self, words: np.ndarray, span: int) -> np.ndarray:
+        out = words[: len(words) - span + 1] + np.uint64(span)
         for k in range(1, span):
-            out = out * BASE + ids[k : len(ids) - span + 1 + k]
-        out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        return np.unique((out ^ (out >> np.uint64(29))).view(np.int64))
+            out = out * BASE + words[k : len(words) - span + 1 + k]
+        return self._mixed(out).view(np.int64)
+
+    def runs(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The hashes of all runs of words of each text, in order; of fewer words, of the whole text."""
+        raw = [t.encode("utf-8", "replace") if t else b"" for t in texts]
+        data = np.frombuffer(b" ".join([b"", *raw, b""]), np.uint8)
+        gap = self.gap[data]
+        edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+        starts, ends = edge[::2], edge[1::2]
+        self._powers(len(data))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.value[data] * self.up[: len(data)])])
+        words = self._mixed((sums[ends] - sums[starts]) * self.down[starts])
+        first = np.searchsorted(starts, np.cumsum([1, *[len(r) + 1 for r in raw]])).tolist()
+        all_runs = self._joined(words, self.words) if len(words) >= self.words else np.zeros(0, np.int64)
+        out = []
+        for a, b in zip(first, first[1:]):
+            n = b - a
+            out.append(all_runs[a : b - self.words + 1] if n >= self.words else self._joined(words[a:b], n) if n else np.zeros(0, np.int64))
+        return out
+
+    def sets(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The distinct shingles of each text, sorted."""
+        return [np.unique(r) if len(r) > 1 else r for r in self.runs(texts)]
 
 
 def _key(shingles: np.ndarray) -> int:
@@ -89,13 +120,12 @@ def frequent_shingles(docs: DataFrame, id_col: str, text: str, words: int) -> tu
             often = times >= AT_LEAST
             return pa.RecordBatch.from_arrays([pa.array(found[often]), pa.array(times[often].astype(np.int64))], ["s", "c"])
 
-        for _, texts in text_runs(batches):
-            for t in texts:
-                held.append(shingle(t))
-                count += len(held[-1])
-                if count >= COUNTED:
-                    yield counted()
-                    held, count = [], 0
+        for _, texts in text_runs(batches, RUN_CHARS):
+            held += shingle.runs(texts)
+            count += sum(map(len, held[-len(texts) :]))
+            if count >= COUNTED:
+                yield counted()
+                held, count = [], 0
         if held:
             yield counted()
 
@@ -120,10 +150,9 @@ def shingle_sets(docs: DataFrame, id_col: str, text: str, words: int) -> DataFra
         mark = np.zeros(1 << 20, bool)
         mark[often & (1 << 20) - 1] = True
         shingle = Shingler(words)
-        for batch, texts in text_runs(batches):
+        for batch, texts in text_runs(batches, RUN_CHARS):
             sizes, keys, first = [], [], []
-            for t in texts:
-                s = shingle(t)
+            for s in shingle.sets(texts):
                 n = len(s)
                 sizes.append(n)
                 keys.append(_key(s) if n else None)
@@ -141,30 +170,31 @@ def shingle_sets(docs: DataFrame, id_col: str, text: str, words: int) -> DataFra
     return written(docs.select(id_col, text).mapInArrow(run, f"{id_col} {kind}, n long, key long, window array<long>"), "sets")
 
 
-def candidate_sets(docs: DataFrame, keys: DataFrame, id_col: str, text: str, words: int) -> DataFrame:
-    """(key, shingles) of the wanted keys: the texts are read again, and a bit filter of fixed size keeps most others back."""
-    slot = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    bits = keys.groupBy(F.shiftright(slot, 5).cast("int").alias("w")).agg(F.bit_or(F.pow(F.lit(2.0), slot.bitwiseAND(F.lit(31))).cast("long")).alias("b")).collect()
+def candidate_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, words: int) -> DataFrame:
+    """(key, shingles) of the wanted (key, id): the texts are read again, and a bit filter of fixed size on the ids keeps most others back."""
+    slot = F.xxhash64(id_col).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    bits = wanted.groupBy(F.shiftright(slot, 5).cast("int").alias("w")).agg(F.bit_or(F.pow(F.lit(2.0), slot.bitwiseAND(F.lit(31))).cast("long")).alias("b")).collect()
     filled = np.zeros(1 << FILTER_BITS - 5, np.int64)
     filled[[r["w"] for r in bits]] = [r["b"] for r in bits]
     shared = docs.sparkSession.sparkContext.broadcast(filled)
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled, shingle = shared.value, Shingler(words)
-        for _, texts in text_runs(batches):
-            found, sets = [], []
-            for t in texts:
-                if t and len(s := shingle(t)):
-                    key = _key(s)
-                    at = key & (1 << FILTER_BITS) - 1
-                    if int(filled[at >> 5]) >> (at & 31) & 1:
-                        found.append(key)
-                        sets.append(s)
+
+        def likely() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.column(2).to_numpy()
+                yield batch.filter(pa.array((filled[at >> 5] >> (at & 31) & 1).astype(bool)))
+
+        for batch, texts in text_runs(likely(), RUN_CHARS):
+            sets = shingle.sets(texts)
             ends = np.cumsum([0, *map(len, sets)])
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], ["key", "shingles"])
+            keys = pa.array([_key(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], [id_col, "key", "shingles"])
 
-    rows = docs.select(id_col, text).mapInArrow(run, "key long, shingles array<long>").join(keys, "key", "left_semi")
-    return written(rows.dropDuplicates(["key"]), "candidates")
+    rows = docs.select(id_col, text, slot.alias("slot")).mapInArrow(run, f"{id_col} {kind}, key long, shingles array<long>").join(wanted, [id_col, "key"], "left_semi")
+    return written(rows.dropDuplicates(["key"]).select("key", "shingles"), "candidates")
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -205,6 +235,22 @@ def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(kept.unionByName(new), "roots")
 
 
+def _shared_windows(small: DataFrame, crowded: DataFrame) -> DataFrame:
+    """(a, b): pairs that meet in small regions and share enough of their windows to be linked.
+
+    Linked sets share at least ceil(4/9 (n + m)) shingles, and at most max of what lies behind their windows is shared
+    outside both windows; so the windows share the rest. Shingles of large regions are not counted pair by pair: as
+    many as the set with fewer of them has may be shared.
+    """
+    rows = small.join(crowded, "key", "left").select("token", "key", "n", "core", F.coalesce("large", F.lit(0)).alias("large"))
+    x, y = rows.alias("x"), rows.alias("y")
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.key") < F.col("y.key")) & (F.least("x.n", "y.n") * 5 >= F.greatest("x.n", "y.n") * 4))
+    counted = pairs.groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("x.n").alias("na"), F.first("y.n").alias("nb"), F.first(F.least("x.large", "y.large")).alias("g"))
+    behind = lambda n: F.ceil(F.col(n) * 4 / 5) - 1
+    need = F.ceil((F.col("na") + F.col("nb")) * 4 / 9) - F.greatest(behind("na"), behind("nb"))
+    return counted.where(F.col("c") + F.col("g") >= need).select("a", "b")
+
+
 def _may_link(a: str, b: str) -> Column:
     """Bounds by size and window: the smaller set has the region's pivot in its core window, the larger is at most a quarter larger."""
     c = lambda side, name: F.col(f"{side}.{name}")
@@ -229,15 +275,20 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wor
     distinct = sets.where("n > 0").groupBy("key").agg(F.max("n").alias("n"), F.first("window").alias("window"))
     member = distinct.select("key", "n", F.posexplode("window").alias("pos", "token")).withColumn("core", F.col("pos") <= F.col("n") - F.ceil(F.col("n") * 8 / 9))
     of = Window.partitionBy("token")
-    member = member.withColumn("m", F.count(F.lit(1)).over(of)).withColumn("lead", F.min(F.when(F.col("core"), F.struct("n", "key"))).over(of)).where("m > 1 and lead is not null")
-    regions = written(member.select("token", "key", "n", "pos", "core", F.col("lead.key").alias("lead"), F.col("lead.n").alias("lead_n")), "regions")
-
-    candidates = candidate_sets(docs, regions.select("key").distinct(), id_col, text, words)
+    member = member.withColumn("m", F.count(F.lit(1)).over(of)).withColumn("lead", F.min(F.when(F.col("core"), F.struct("n", "key"))).over(of)).where("m > 1")
+    regions = written(member.select("token", "key", "n", "pos", "core", "m", F.col("lead.key").alias("lead"), F.col("lead.n").alias("lead_n")), "regions")
+    large = regions.where(F.col("m") > FEW)
+
+    crowded = large.groupBy("key").agg(F.count(F.lit(1)).alias("large"))
+    close = written(_shared_windows(regions.where(F.col("m") <= FEW), crowded), "close")
+    star = large.where("lead is not null and key <> lead and 5 * lead_n >= 4 * n").select(F.least("lead", "key").alias("a"), F.greatest("lead", "key").alias("b"))
+    keys = close.select(F.explode(F.array("a", "b")).alias("key")).unionByName(large.select("key")).distinct()
+    wanted = sets.where("n > 0").groupBy("key").agg(F.min(id_col).alias(id_col)).join(keys, "key", "left_semi")
+    candidates = candidate_sets(docs, wanted, id_col, text, words)
     linked = F.col("shared") * 100 >= F.col("joined") * 80
-    star = regions.where("key <> lead and 5 * lead_n >= 4 * n").select(F.least("lead", "key").alias("a"), F.greatest("lead", "key").alias("b"))
-    roots = _merged(None, measured(star, candidates).where(linked))
+    roots = _merged(None, measured(close.select("a", "b").unionByName(star), candidates).where(linked))
 
-    state = regions.select("token", "key", "n", "pos", "core", F.lit(True).alias("home"), F.array().cast("array<double>").alias("far"))
+    state = large.select("token", "key", "n", "pos", "core", F.lit(True).alias("home"), F.array().cast("array<double>").alias("far"))
     while True:
         grouped = state.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
         counts = grouped.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
@@ -287,7 +338,7 @@ def _voronoi(many: DataFrame, pivots: DataFrame, tests: DataFrame, tested: DataF
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows, with all their columns, of the smallest id of each group; of rows with the same id and set one stays. Rows without words stay."""
+    """The rows, with all their columns, of the smallest id of each group; all rows of that id stay. Rows without words stay."""
     linked = link_groups(docs.select(id_col, text), id_col, text)
     gone = linked.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     return docs.join(gone, id_col, "left_anti")
