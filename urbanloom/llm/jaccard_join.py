@@ -23,6 +23,7 @@ bound, or already in one group, are tested with their whole shingle sets.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -38,6 +39,10 @@ WORDS = 5
 R = 0.2
 #: A region with at most so many members outside its largest group is finished pair by pair; pivots of any other.
 FEW, PIVOTS = 24, 4
+#: Regions whose members outside the largest group are at most this share are finished as well.
+OUTSIDE = 0.125
+#: So many of the pivots before a set's pivot are looked at to form a pair in one region only.
+EARLIER = 64
 #: At most so many frequent shingles are moved to the end of the order; the order changes costs, not results.
 FREQUENT = 1 << 18
 #: Shingles that a task counts at a time, and the least count there for a shingle to be counted over all tasks.
@@ -49,6 +54,14 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 FILTER_BITS = 26
 
 
+def _settled(df: DataFrame, name: str) -> DataFrame:
+    """:func:`written`, after which the JVM is asked to clear up, so that Spark drops the shuffle files of what is finished."""
+    out = written(df, name)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 class Shingler:
     """Shingles of texts as 64-bit hashes, made with numpy for a run of texts at a time.
 
@@ -136,8 +149,8 @@ def frequent_shingles(docs: DataFrame, id_col: str, text: str, words: int) -> tu
         if held > FREQUENT:
             break
         least = 1 << row["b"]
-    rows = found.where(F.col("c") >= least).orderBy("s").collect()
-    return np.array([r["s"] for r in rows], np.int64), np.array([r["c"] for r in rows], np.int64)
+    rows = found.where(F.col("c") >= least).orderBy("s").toArrow()
+    return rows.column("s").to_numpy(), rows.column("c").to_numpy()
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text: str, words: int) -> DataFrame:
@@ -167,17 +180,16 @@ def shingle_sets(docs: DataFrame, id_col: str, text: str, words: int) -> DataFra
             window = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first) if first else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), window], [id_col, "n", "key", "window"])
 
-    return written(docs.select(id_col, text).mapInArrow(run, f"{id_col} {kind}, n long, key long, window array<long>"), "sets")
+    return _settled(docs.select(id_col, text).mapInArrow(run, f"{id_col} {kind}, n long, key long, window array<long>"), "sets")
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, words: int) -> DataFrame:
     """(key, shingles) of the wanted (key, id): the texts are read again, and a bit filter of fixed size on the ids keeps most others back."""
     slot = F.xxhash64(id_col).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    bits = wanted.groupBy(F.shiftright(slot, 5).cast("int").alias("w")).agg(F.bit_or(F.pow(F.lit(2.0), slot.bitwiseAND(F.lit(31))).cast("long")).alias("b")).collect()
+    bits = wanted.groupBy(F.shiftright(slot, 5).cast("int").alias("w")).agg(F.bit_or(F.pow(F.lit(2.0), slot.bitwiseAND(F.lit(31))).cast("long")).alias("b")).toArrow()
     filled = np.zeros(1 << FILTER_BITS - 5, np.int64)
-    filled[[r["w"] for r in bits]] = [r["b"] for r in bits]
+    filled[bits.column("w").to_numpy()] = bits.column("b").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(filled)
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled, shingle = shared.value, Shingler(words)
@@ -187,14 +199,14 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, w
                 at = batch.column(2).to_numpy()
                 yield batch.filter(pa.array((filled[at >> 5] >> (at & 31) & 1).astype(bool)))
 
-        for batch, texts in text_runs(likely(), RUN_CHARS):
+        for _, texts in text_runs(likely(), RUN_CHARS):
             sets = shingle.sets(texts)
             ends = np.cumsum([0, *map(len, sets)])
             keys = pa.array([_key(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], [id_col, "key", "shingles"])
+            yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], ["key", "shingles"])
 
-    rows = docs.select(id_col, text, slot.alias("slot")).mapInArrow(run, f"{id_col} {kind}, key long, shingles array<long>").join(wanted, [id_col, "key"], "left_semi")
-    return written(rows.dropDuplicates(["key"]).select("key", "shingles"), "candidates")
+    rows = docs.select(id_col, text, slot.alias("slot")).mapInArrow(run, "key long, shingles array<long>")
+    return _settled(rows.groupBy("key").agg(F.first("shingles").alias("shingles")).join(wanted.select("key"), "key", "left_semi"), "candidates")
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -203,7 +215,7 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     b = sets.select(F.col("key").alias("b"), F.col("shingles").alias("_b"))
     both = pairs.select("a", "b").distinct().join(b, "b").join(a, "a")
     shared = both.select("a", "b", F.size(F.array_intersect("_a", "_b")).alias("shared"), (F.size("_a") + F.size("_b")).alias("total"))
-    return written(shared.select("a", "b", "shared", (F.col("total") - F.col("shared")).alias("joined")), "measured")
+    return _settled(shared.select("a", "b", "shared", (F.col("total") - F.col("shared")).alias("joined")), "measured")
 
 
 def groups(links: DataFrame) -> DataFrame:
@@ -246,9 +258,23 @@ def _shared_windows(small: DataFrame, crowded: DataFrame) -> DataFrame:
     x, y = rows.alias("x"), rows.alias("y")
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.key") < F.col("y.key")) & (F.least("x.n", "y.n") * 5 >= F.greatest("x.n", "y.n") * 4))
     counted = pairs.groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("x.n").alias("na"), F.first("y.n").alias("nb"), F.first(F.least("x.large", "y.large")).alias("g"))
-    behind = lambda n: F.ceil(F.col(n) * 4 / 5) - 1
-    need = F.ceil((F.col("na") + F.col("nb")) * 4 / 9) - F.greatest(behind("na"), behind("nb"))
-    return counted.where(F.col("c") + F.col("g") >= need).select("a", "b")
+    return counted.where(F.col("c") + F.col("g") >= _need(F.col("na"), F.col("nb"))).select("a", "b")
+
+
+def _need(n: Column, m: Column) -> Column:
+    """Shingles that the windows of linked sets of n and m shingles share at least."""
+    behind = lambda x: F.ceil(x * 4 / 5) - 1
+    return F.ceil((n + m) * 4 / 9) - F.greatest(behind(n), behind(m))
+
+
+def _able(large: DataFrame) -> DataFrame:
+    """The members of large regions that may be linked within them: their window has enough shingles that any other set has.
+
+    For partners from the region's smallest to its largest size within the bounds on sizes, the least need is at one end.
+    """
+    of = Window.partitionBy("token")
+    sized = large.withColumn("_lo", F.greatest(F.min("n").over(of), F.ceil(F.col("n") * 4 / 5))).withColumn("_hi", F.least(F.max("n").over(of), F.floor(F.col("n") * 5 / 4)))
+    return sized.where(F.col("rich") >= F.least(_need(F.col("n"), F.col("_lo")), _need(F.col("n"), F.col("_hi")))).drop("_lo", "_hi")
 
 
 def _may_link(a: str, b: str) -> Column:
@@ -259,7 +285,10 @@ def _may_link(a: str, b: str) -> Column:
     least = F.ceil((c(a, "n") + c(b, "n")) * 4 / 9)  # shingles that linked sets share at least
     room = F.least(c(a, "n") - c(a, "pos"), c(b, "n") - c(b, "pos"))  # shingles that can be shared if the pivot is the first shared one
     near = F.forall(F.arrays_zip(c(a, "far").alias("x"), c(b, "far").alias("y")), lambda z: F.abs(z.x - z.y) <= R + 1e-9)
-    return core & (F.least(c(a, "n"), c(b, "n")) * 5 >= F.greatest(c(a, "n"), c(b, "n")) * 4) & (room >= least) & (c(a, "home") | c(b, "home")) & near
+    apart = (c(a, "pos") + c(b, "pos")) * 9 <= c(a, "n") + c(b, "n")  # what lies before the first shared shingle is not shared
+    enough = F.least(c(a, "rich"), c(b, "rich")) >= _need(c(a, "n"), c(b, "n"))
+    first = ~F.arrays_overlap(c(a, "earlier"), c(b, "earlier"))  # else the pair is formed in an earlier region
+    return apart & enough & core & (F.least(c(a, "n"), c(b, "n")) * 5 >= F.greatest(c(a, "n"), c(b, "n")) * 4) & (room >= least) & (c(a, "home") | c(b, "home")) & near & first
 
 
 def link_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
@@ -275,30 +304,34 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wor
     distinct = sets.where("n > 0").groupBy("key").agg(F.max("n").alias("n"), F.first("window").alias("window"))
     member = distinct.select("key", "n", F.posexplode("window").alias("pos", "token")).withColumn("core", F.col("pos") <= F.col("n") - F.ceil(F.col("n") * 8 / 9))
     of = Window.partitionBy("token")
-    member = member.withColumn("m", F.count(F.lit(1)).over(of)).withColumn("lead", F.min(F.when(F.col("core"), F.struct("n", "key"))).over(of)).where("m > 1")
-    regions = written(member.select("token", "key", "n", "pos", "core", "m", F.col("lead.key").alias("lead"), F.col("lead.n").alias("lead_n")), "regions")
-    large = regions.where(F.col("m") > FEW)
-
-    crowded = large.groupBy("key").agg(F.count(F.lit(1)).alias("large"))
-    close = written(_shared_windows(regions.where(F.col("m") <= FEW), crowded), "close")
-    star = large.where("lead is not null and key <> lead and 5 * lead_n >= 4 * n").select(F.least("lead", "key").alias("a"), F.greatest("lead", "key").alias("b"))
+    member = member.withColumn("m", F.count(F.lit(1)).over(of)).where("m > 1")
+    regions = _settled(member.select("token", "key", "n", "pos", "core", "m"), "regions")
+    rich = regions.groupBy("key").agg(F.count(F.lit(1)).alias("rich"))
+    large = _able(regions.where(F.col("m") > FEW).join(rich, "key")).drop("m")
+    large = written(large.withColumn("earlier", F.collect_list("token").over(Window.partitionBy("key").orderBy("pos").rowsBetween(-EARLIER, -1))), "large")
+
+    crowded = regions.where(F.col("m") > FEW).groupBy("key").agg(F.count(F.lit(1)).alias("large"))
+    close = _settled(_shared_windows(regions.where(F.col("m") <= FEW), crowded), "close")
+    lead = large.groupBy("token").agg(F.min(F.struct("pos", "n", "key")).alias("lead")).select("token", F.col("lead.key").alias("lead"), F.col("lead.n").alias("lead_n"))
+    star = large.join(lead, "token").where("key <> lead and 5 * least(n, lead_n) >= 4 * greatest(n, lead_n)").select(F.least("lead", "key").alias("a"), F.greatest("lead", "key").alias("b"))
     keys = close.select(F.explode(F.array("a", "b")).alias("key")).unionByName(large.select("key")).distinct()
     wanted = sets.where("n > 0").groupBy("key").agg(F.min(id_col).alias(id_col)).join(keys, "key", "left_semi")
     candidates = candidate_sets(docs, wanted, id_col, text, words)
     linked = F.col("shared") * 100 >= F.col("joined") * 80
     roots = _merged(None, measured(close.select("a", "b").unionByName(star), candidates).where(linked))
 
-    state = large.select("token", "key", "n", "pos", "core", F.lit(True).alias("home"), F.array().cast("array<double>").alias("far"))
+    state = large.select("token", "key", "n", "pos", "core", "rich", "earlier", F.lit(True).alias("home"), F.array().cast("array<double>").alias("far"))
     while True:
         grouped = state.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
         counts = grouped.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
         top = counts.groupBy("token").agg(F.max(F.struct("c", -F.col("root"))).alias("top"), F.sum("c").alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
         top = top.select("token", (-F.col("top.col2")).alias("largest"), "m", (F.col("m") - F.col("top.c")).alias("outside"))
         live = written(grouped.join(top, "token"), "live")
-        few = live.where((F.col("outside") <= FEW) | (F.col("m") <= FEW))
+        done = (F.col("outside") <= F.greatest(F.lit(FEW), F.col("m") * OUTSIDE)) | (F.col("m") <= FEW)
+        few = live.where(done)
         pairs = few.where("root <> largest").alias("x").join(few.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y"))
         pairs = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
-        many = live.where((F.col("outside") > FEW) & (F.col("m") > FEW))
+        many = live.where(~done)
         if many.isEmpty():
             roots = _merged(roots, measured(pairs, candidates).where(linked))
             break
@@ -316,7 +349,7 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wor
 
 def _pivot_tests(many: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(token, pivot) of each region, from its largest groups one each, and (token, pivot, key) of all its other members."""
-    sizes = many.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("pivot"))
+    sizes = many.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("pos", "key")).alias("p")).select("token", "root", "c", F.col("p.key").alias("pivot"))
     chosen = sizes.withColumn("r", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("c"), "pivot"))).where(F.col("r") <= PIVOTS)
     pivots = written(chosen.select("token", "pivot"), "pivots")
     return pivots, many.select("token", "key").join(pivots, "token").where("key <> pivot")
@@ -330,11 +363,11 @@ def _voronoi(many: DataFrame, pivots: DataFrame, tests: DataFrame, tested: DataF
     near = away.groupBy("token", "key").agg(F.array_sort(F.collect_list(F.struct("pivot", "d"))).alias("all"), F.min(F.struct("d", "pivot")).alias("nearest"))
     near = near.withColumn("in", F.filter("all", lambda x: x.d <= F.col("nearest.d") + 2 * R + 1e-9))
     split = near.groupBy("token").agg((F.sum(F.size("in")) * 4 <= F.count(F.lit(1)) * 5).alias("split"))
-    placed = many.select("token", "key", "n", "pos", "core", "home", "far").join(near, ["token", "key"]).join(split, "token")
+    placed = many.select("token", "key", "n", "pos", "core", "rich", "earlier", "home", "far").join(near, ["token", "key"]).join(split, "token")
     placed = placed.withColumn("far", F.concat("far", F.transform("all", lambda x: x.d)))
     placed = placed.withColumn("cell", F.explode(F.when(F.col("split"), F.transform("in", lambda x: x.pivot)).otherwise(F.array(F.lit(0).cast("long")))))
     home = F.col("home") & (~F.col("split") | (F.col("cell") == F.col("nearest.pivot")))
-    return placed.select(F.when(F.col("split"), F.xxhash64("token", "cell")).otherwise(F.col("token")).alias("token"), "key", "n", "pos", "core", home.alias("home"), "far")
+    return placed.select(F.when(F.col("split"), F.xxhash64("token", "cell")).otherwise(F.col("token")).alias("token"), "key", "n", "pos", "core", "rich", "earlier", home.alias("home"), "far")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

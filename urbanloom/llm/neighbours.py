@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 
 from .common import written
 
-#: Rows aimed at in a leaf, and the most levels of a tree; larger leaves are compared in blocks.
-LEAF, LEVELS, LEAF_BLOCK, QUERY_BLOCK = 400, 10, 4000, 2000
+#: Levels of a tree, so that a query visits as many leaves however many rows there are; large leaves are compared in blocks.
+LEVELS, LEAF_BLOCK, QUERY_BLOCK = 6, 8000, 2000
 
 
 class Forest:
@@ -99,7 +99,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, trees: int = 8, share:
     queries = good.where("_q").select(k1, k2, F.col("_id").alias("query_id"))
     total = classes.count()
 
-    levels = int(np.clip(np.ceil(np.log2(max(total, 1) / LEAF)), 0, LEVELS))
+    levels = LEVELS
     part = classes.where(F.pmod(F.xxhash64(k2, k1), F.lit(max(1, -(-2 * total // sample)))) == 0).orderBy(k1, k2).limit(sample).select("_v").collect()
     forest = Forest(_unit(np.array([r[0] for r in part], float)) if part else np.zeros((0, common["n"] if common else 1)), trees, levels)
     shared = spark.sparkContext.broadcast(forest)

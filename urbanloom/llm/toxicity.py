@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,17 +101,28 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: i
     model = Ordinal()
     if len(set(labels_)) < 2:
         return model
-    sets = [{f for w in set(WORDS(t.lower())) for f in features_of(w)} for t in texts]
-    seen = [Counter(), Counter()]
-    for s, k in zip(sets, labels_):
-        seen[k].update(s)
+    ids: dict[str, int] = {}
+    of_word: dict[str, tuple[int, ...]] = {}
+
+    def marks(t: str) -> np.ndarray:
+        found = [of_word[w] if w in of_word else of_word.setdefault(w, tuple(ids.setdefault(f, len(ids)) for f in features_of(w))) for w in set(WORDS(t.lower()))]
+        return np.unique(np.fromiter((i for one in found for i in one), np.int32))
+
+    sets = [marks(t) for t in texts]
     n = [(y == 0).sum(), (y == 1).sum()]
-    odds = {f: float(np.log((seen[1][f] + 0.5) / (n[1] + 1)) - np.log((seen[0][f] + 0.5) / (n[0] + 1))) for f in seen[0] | seen[1] if seen[0][f] + seen[1][f] >= 4}
-    chosen = sorted(odds, key=lambda f: (-abs(odds[f]) * np.sqrt(seen[0][f] + seen[1][f]), f))[:features]
+    seen = [np.bincount(np.concatenate([s for s, k in zip(sets, labels_) if k == c]), minlength=len(ids)) for c in (0, 1)]
+    odds_of = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
+    often = seen[0] + seen[1]
+    names = list(ids)
+    odds = {names[i]: float(odds_of[i]) for i in np.flatnonzero(often >= 4)}
+    chosen = sorted(odds, key=lambda f: (-abs(odds[f]) * np.sqrt(often[ids[f]]), f))[:features]
     model.index = {f: i for i, f in enumerate(chosen)}
+    place = np.full(len(ids), -1)
+    place[[ids[f] for f in chosen]] = np.arange(len(chosen))
     x = np.zeros((len(texts), len(chosen)), np.float32)
     for row, s in zip(x, sets):
-        row[[model.index[f] for f in s if f in model.index]] = 1
+        at = place[s]
+        row[at[at >= 0]] = 1
     weight = np.array([counts[k] / n[k] for k in labels_], float)
     model.fit(x, _grades(texts, y, odds), weight)
     return model
