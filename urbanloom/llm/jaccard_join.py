@@ -37,10 +37,14 @@ from .common import shared_dir, text_runs, written
 
 WORDS = 5
 R = 0.2
+#: What rounding and short hashes may add to a distance that is far from the bound.
+SLACK = 0.01
 #: A region with at most so many members outside its largest group is finished pair by pair; pivots of any other.
 FEW, PIVOTS = 24, 4
 #: Regions whose members outside the largest group are at most this share are finished as well.
 OUTSIDE = 0.125
+#: Shingles by which the short hashes are trusted not to err.
+DOUBT = 3
 #: So many of the pivots before a set's pivot are looked at to form a pair in one region only.
 EARLIER = 64
 #: At most so many frequent shingles are moved to the end of the order; the order changes costs, not results.
@@ -54,6 +58,14 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 FILTER_BITS = 26
 
 
+def _forget(df: DataFrame) -> None:
+    """Remove a written table that nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def _settled(df: DataFrame, name: str) -> DataFrame:
     """:func:`written`, after which the JVM is asked to clear up, so that Spark drops the shuffle files of what is finished."""
     out = written(df, name)
@@ -209,13 +221,25 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, w
     return _settled(rows.groupBy("key").agg(F.first("shingles").alias("shingles")).join(wanted.select("key"), "key", "left_semi"), "candidates")
 
 
+def _intersected(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, na, nb, shared) of the pairs from sets (key, n, s)."""
+    a = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("s").alias("_a"))
+    b = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("s").alias("_b"))
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "na", "nb", F.size(F.array_intersect("_a", "_b")).alias("shared"))
+
+
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, shared, joined): sizes of intersection and union of each distinct pair, from the whole sets."""
-    a = sets.select(F.col("key").alias("a"), F.col("shingles").alias("_a"))
-    b = sets.select(F.col("key").alias("b"), F.col("shingles").alias("_b"))
-    both = pairs.select("a", "b").distinct().join(b, "b").join(a, "a")
-    shared = both.select("a", "b", F.size(F.array_intersect("_a", "_b")).alias("shared"), (F.size("_a") + F.size("_b")).alias("total"))
-    return _settled(shared.select("a", "b", "shared", (F.col("total") - F.col("shared")).alias("joined")), "measured")
+    """(a, b, shared, joined): sizes of intersection and union of each distinct pair, from the whole sets.
+
+    The sets first travel as 31-bit hashes, half as much to shuffle. These can be off by a shingle or two; pairs within
+    DOUBT shingles of the bound are measured again with the full hashes.
+    """
+    short = sets.select("key", F.size("shingles").alias("n"), F.transform("shingles", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("s"))
+    rough = _settled(_intersected(pairs.select("a", "b").distinct(), short), "rough")
+    doubt = F.abs(F.col("shared") * 9 - (F.col("na") + F.col("nb")) * 4) <= 9 * DOUBT
+    exact = _intersected(rough.where(doubt).select("a", "b"), sets.select("key", F.size("shingles").alias("n"), F.col("shingles").alias("s")))
+    both = rough.where(~doubt).unionByName(exact)
+    return _settled(both.select("a", "b", "shared", (F.col("na") + F.col("nb") - F.col("shared")).alias("joined")), "measured")
 
 
 def groups(links: DataFrame) -> DataFrame:
@@ -284,7 +308,7 @@ def _may_link(a: str, b: str) -> Column:
     core = F.when(smaller, c(a, "core")).otherwise(c(b, "core"))
     least = F.ceil((c(a, "n") + c(b, "n")) * 4 / 9)  # shingles that linked sets share at least
     room = F.least(c(a, "n") - c(a, "pos"), c(b, "n") - c(b, "pos"))  # shingles that can be shared if the pivot is the first shared one
-    near = F.forall(F.arrays_zip(c(a, "far").alias("x"), c(b, "far").alias("y")), lambda z: F.abs(z.x - z.y) <= R + 1e-9)
+    near = F.forall(F.arrays_zip(c(a, "far").alias("x"), c(b, "far").alias("y")), lambda z: F.abs(z.x - z.y) <= R + SLACK)
     apart = (c(a, "pos") + c(b, "pos")) * 9 <= c(a, "n") + c(b, "n")  # what lies before the first shared shingle is not shared
     enough = F.least(c(a, "rich"), c(b, "rich")) >= _need(c(a, "n"), c(b, "n"))
     first = ~F.arrays_overlap(c(a, "earlier"), c(b, "earlier"))  # else the pair is formed in an earlier region
@@ -300,12 +324,14 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wor
     Repeated rows stay and link; null ids come out as they are.
     """
     shared_dir(docs.sparkSession)
-    sets = shingle_sets(docs, id_col, text, words)
-    distinct = sets.where("n > 0").groupBy("key").agg(F.max("n").alias("n"), F.first("window").alias("window"))
+    windows = shingle_sets(docs, id_col, text, words)
+    sets = written(windows.select(id_col, "n", "key"), "keys")
+    distinct = windows.where("n > 0").groupBy("key").agg(F.max("n").alias("n"), F.first("window").alias("window"))
     member = distinct.select("key", "n", F.posexplode("window").alias("pos", "token")).withColumn("core", F.col("pos") <= F.col("n") - F.ceil(F.col("n") * 8 / 9))
     of = Window.partitionBy("token")
     member = member.withColumn("m", F.count(F.lit(1)).over(of)).where("m > 1")
     regions = _settled(member.select("token", "key", "n", "pos", "core", "m"), "regions")
+    _forget(windows)
     rich = regions.groupBy("key").agg(F.count(F.lit(1)).alias("rich"))
     large = _able(regions.where(F.col("m") > FEW).join(rich, "key")).drop("m")
     large = written(large.withColumn("earlier", F.collect_list("token").over(Window.partitionBy("key").orderBy("pos").rowsBetween(-EARLIER, -1))), "large")
@@ -313,6 +339,7 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wor
     crowded = regions.where(F.col("m") > FEW).groupBy("key").agg(F.count(F.lit(1)).alias("large"))
     close = _settled(_shared_windows(regions.where(F.col("m") <= FEW), crowded), "close")
     lead = large.groupBy("token").agg(F.min(F.struct("pos", "n", "key")).alias("lead")).select("token", F.col("lead.key").alias("lead"), F.col("lead.n").alias("lead_n"))
+    _forget(regions)
     star = large.join(lead, "token").where("key <> lead and 5 * least(n, lead_n) >= 4 * greatest(n, lead_n)").select(F.least("lead", "key").alias("a"), F.greatest("lead", "key").alias("b"))
     keys = close.select(F.explode(F.array("a", "b")).alias("key")).unionByName(large.select("key")).distinct()
     wanted = sets.where("n > 0").groupBy("key").agg(F.min(id_col).alias(id_col)).join(keys, "key", "left_semi")
@@ -361,7 +388,7 @@ def _voronoi(many: DataFrame, pivots: DataFrame, tests: DataFrame, tested: DataF
     away = away.select("token", "key", "pivot", (1 - F.col("shared") / F.col("joined")).alias("d"))
     away = away.join(pivots.select("token", F.col("pivot").alias("key")), ["token", "key"], "left_anti")
     near = away.groupBy("token", "key").agg(F.array_sort(F.collect_list(F.struct("pivot", "d"))).alias("all"), F.min(F.struct("d", "pivot")).alias("nearest"))
-    near = near.withColumn("in", F.filter("all", lambda x: x.d <= F.col("nearest.d") + 2 * R + 1e-9))
+    near = near.withColumn("in", F.filter("all", lambda x: x.d <= F.col("nearest.d") + 2 * R + SLACK))
     split = near.groupBy("token").agg((F.sum(F.size("in")) * 4 <= F.count(F.lit(1)) * 5).alias("split"))
     placed = many.select("token", "key", "n", "pos", "core", "rich", "earlier", "home", "far").join(near, ["token", "key"]).join(split, "token")
     placed = placed.withColumn("far", F.concat("far", F.transform("all", lambda x: x.d)))
