@@ -85,8 +85,8 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, trees: int = 8, share:
 
     Null, zero or non-finite vectors, and vectors of another length than the most common one, take no part. The
     forest is fitted on at most ``sample`` distinct vectors (the bound); every row is indexed. Each query looks at
-    leaves of all trees until their sizes add up to ``share`` of the distinct vectors, counted once for every two
-    trees as leaves overlap. Equal vectors are one candidate with its k + 1 smallest ids, which are all that an
+    leaves of all trees until their sizes add up to ``share * trees / 4`` of the distinct vectors (the trees' leaves
+    overlap), and at least to 50 (k + 1) vectors a tree, so that small tables are searched whole. Equal vectors are one candidate with its k + 1 smallest ids, which are all that an
     answer can hold; so a group of copies of any size costs one comparison. Repeated ids count as rows of their own.
     """
     spark, (k1, k2) = rows.sparkSession, ("_k1", "_k2")
@@ -116,7 +116,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, trees: int = 8, share:
     sizes = np.zeros((trees, 1 << levels))
     for r in counted.collect():
         sizes[r["tree"], r["leaf"]] = r["n"]
-    plan = spark.sparkContext.broadcast((sizes, share * total * max(1, trees / 2) / 2))
+    plan = spark.sparkContext.broadcast((sizes, max(share * total * max(1, trees / 2) / 2, min(total, 50 * (k + 1)) * trees)))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, want = plan.value

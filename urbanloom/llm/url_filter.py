@@ -30,11 +30,11 @@ def _strength(units: DataFrame) -> DataFrame:
     """One row: the mean of a level's rates and the strength of its beta prior, by the moments of the beta-binomial."""
     n, y = F.col("n"), F.col("bad")
     total = units.agg(F.sum("n").alias("sn"), F.sum("bad").alias("sy"), F.sum(n * n).alias("snn"), F.sum(y * y / n).alias("syy"), F.count(F.lit(1)).alias("k"))
-    p = F.col("sy") / F.col("sn")
+    p = F.try_divide("sy", "sn")
     noise = p * (1 - p)
     spread = F.col("syy") - F.col("sn") * p * p
-    rho = (spread - noise * (F.col("k") - 1)) / (noise * (F.col("sn") - F.col("snn") / F.col("sn") - F.col("k") + 1))
-    rho = F.least(F.greatest(F.coalesce(F.when(F.isnan(rho), None).otherwise(rho), F.lit(0.01)), F.lit(0.005)), F.lit(0.9))
+    rho = F.try_divide(spread - noise * (F.col("k") - 1), noise * (F.col("sn") - F.try_divide("snn", "sn") - F.col("k") + 1))
+    rho = F.least(F.greatest(F.coalesce(F.nanvl(rho, F.lit(0.01)), F.lit(0.01)), F.lit(0.005)), F.lit(0.9))
     return total.select((1 / rho - 1).alias("strength"), F.coalesce(p, F.lit(0.0)).alias("mean"))
 
 
