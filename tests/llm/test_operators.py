@@ -135,6 +135,7 @@ def test_jaccard_rounds_are_exact(spark, monkeypatch):
     """Regions over two sets go through pivots, Voronoi regions and windows."""
     monkeypatch.setattr(jaccard_join, "FEW", 2)
     monkeypatch.setattr(jaccard_join, "OUTSIDE", 0.0)
+    monkeypatch.setattr(jaccard_join, "REST", 2)
     rng = np.random.default_rng(6)
     base = [f"w{i}" for i in range(70)]
     texts = []

@@ -41,8 +41,8 @@ R = 0.2
 SLACK = 0.01
 #: A region with at most so many members outside its largest group is finished pair by pair; pivots of any other.
 FEW, PIVOTS = 24, 4
-#: Regions whose members outside the largest group are at most this share are finished as well.
-OUTSIDE = 0.125
+#: Larger regions are finished as well if at most so many members, or this share of them, are outside the largest group.
+REST, OUTSIDE = 96, 0.25
 #: Shingles by which the short hashes are trusted not to err.
 DOUBT = 3
 #: So many of the pivots before a set's pivot are looked at to form a pair in one region only.
@@ -354,7 +354,7 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wor
         top = counts.groupBy("token").agg(F.max(F.struct("c", -F.col("root"))).alias("top"), F.sum("c").alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
         top = top.select("token", (-F.col("top.col2")).alias("largest"), "m", (F.col("m") - F.col("top.c")).alias("outside"))
         live = written(grouped.join(top, "token"), "live")
-        done = (F.col("outside") <= F.greatest(F.lit(FEW), F.col("m") * OUTSIDE)) | (F.col("m") <= FEW)
+        done = (F.col("outside") <= F.greatest(F.lit(REST), F.col("m") * OUTSIDE)) | (F.col("m") <= FEW)
         few = live.where(done)
         pairs = few.where("root <> largest").alias("x").join(few.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y"))
         pairs = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
