@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import dataset_queries, graph_queries, metric_queries, spatial_queries  # noqa: F401
+from . import dataset_queries, graph_queries, metric_queries, record_queries, spatial_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
