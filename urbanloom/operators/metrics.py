@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from urbanloom.functions.spatial import let
+
 
 def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
@@ -121,14 +123,13 @@ def token_accuracy(predicted: Column, labels: Column, ignore: int = -100) -> Col
 
 def grams(text: Column, n: int) -> Column:
     """All runs of n white-space words."""
-    w = F.filter(F.split(F.trim(text), r"\s+"), lambda x: x != "")
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda k: F.array_join(F.slice(w, k + 1, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    words = F.filter(F.split(F.trim(text), r"\s+"), lambda x: x != "")
+    return let(words, lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda k: F.array_join(F.slice(w, k + 1, F.lit(n)), " "))).otherwise(F.array().cast("array<string>")))
 
 
 def repetition_penalty(text: Column, n: int = 3, most: float = -1.0) -> Column:
     """``(1 - distinct / total n-grams) * most``; 0 for short or empty texts."""
-    g = grams(F.lower(text), n)
-    return F.coalesce(F.when(F.size(g) > 0, (1 - F.size(F.array_distinct(g)) / F.nullif(F.size(g), F.lit(0))) * most), F.lit(0.0))
+    return F.coalesce(let(grams(F.lower(text), n), lambda g: F.when(F.size(g) > 0, (1 - F.size(F.array_distinct(g)) / F.nullif(F.size(g), F.lit(0))) * most)), F.lit(0.0))
 
 
 def overlong_penalty(length: Column, most: int, cache: int) -> Column:
