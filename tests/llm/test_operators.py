@@ -149,6 +149,34 @@ def test_jaccard_rounds_are_exact(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute_groups(texts)
 
 
+def test_jaccard_bounds_hold_inside_the_range_of_sizes(spark):
+    """A set of 100 shingles that links with 29 of 109, whose need is less than at both ends of its region's sizes (100 and 110)."""
+    base = [f"w{i}" for i in range(97)]
+    texts = [" ".join(base + [f"own{k}-{j}" for j in range(n)]) for k, n in enumerate([16] * 29 + [17, 7])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_groups(docs).collect()}
+    want = brute_groups(texts)
+    assert [got[i] for i in range(len(texts))] == want and want[30] == (100, 0) and want[29] == (110, 29)
+
+
+def test_jaccard_least_need_is_the_least(spark):
+    ranges = spark.range(1, 400).select(F.col("id").alias("n")).join(spark.range(1, 500).select(F.col("id").alias("hi")), F.expr("hi between n and floor(n * 5 / 4)"))
+    ranges = ranges.withColumn("lo", F.ceil(F.col("n") * 4 / 5))
+    need = lambda m: jaccard_join._need(F.col("n"), F.col(m))
+    partners = ranges.withColumn("m", F.explode(F.sequence("lo", "hi"))).groupBy("n", "lo", "hi").agg(F.min(need("m")).alias("least"))
+    assert partners.where(F.col("least") != jaccard_join._least_need(F.col("n"), F.col("lo"), F.col("hi"))).count() == 0
+
+
+def test_jaccard_measures_large_sets_exactly(spark):
+    """Short hashes that agree by chance in many more shingles than DOUBT, as they do in large sets, do not decide a link."""
+    n, off = 20000, 12
+    a = list(range(n))
+    b = a[:17771] + [x + (1 << 40) for x in range(17771, 17771 + off)] + [x + (1 << 20) for x in range(n - 17771 - off)]
+    sets = spark.createDataFrame([(1, a), (2, b)], "key long, shingles array<long>")
+    row = jaccard_join.measured(spark.createDataFrame([(1, 2)], "a long, b long"), sets).first()
+    assert (row.shared, row.joined) == (17771, 2 * n - 17771)
+
+
 def test_byte_bpe_equals_tiktoken(spark, odd, empty):
     import tiktoken
 

@@ -43,8 +43,8 @@ SLACK = 0.01
 FEW, PIVOTS = 24, 4
 #: Larger regions are finished as well if at most so many members, or this share of them, are outside the largest group.
 REST, OUTSIDE = 96, 0.25
-#: Shingles by which the short hashes are trusted not to err.
-DOUBT = 3
+#: Shingles by which the short hashes are trusted not to err in small sets; and for so many shingles of a pair one more.
+DOUBT, DOUBT_PER = 3, 2000
 #: So many of the pivots before a set's pivot are looked at to form a pair in one region only.
 EARLIER = 64
 #: At most so many frequent shingles are moved to the end of the order; the order changes costs, not results.
@@ -231,12 +231,14 @@ def _intersected(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, shared, joined): sizes of intersection and union of each distinct pair, from the whole sets.
 
-    The sets first travel as 31-bit hashes, half as much to shuffle. These can be off by a shingle or two; pairs within
-    DOUBT shingles of the bound are measured again with the full hashes.
+    The sets first travel as 31-bit hashes, half as much to shuffle. These can be off by a shingle or two, and by about
+    na * nb / 2 ** 31 in large sets; pairs within a band of the bound that grows with the sizes, and with twice that
+    number, are measured again with the full hashes.
     """
     short = sets.select("key", F.size("shingles").alias("n"), F.transform("shingles", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("s"))
     rough = _settled(_intersected(pairs.select("a", "b").distinct(), short), "rough")
-    doubt = F.abs(F.col("shared") * 9 - (F.col("na") + F.col("nb")) * 4) <= 9 * DOUBT
+    band = DOUBT + (F.col("na") + F.col("nb")) / DOUBT_PER + F.col("na") * F.col("nb").cast("double") / (1 << 30)
+    doubt = F.abs(F.col("shared") * 9 - (F.col("na") + F.col("nb")) * 4) <= 9 * band
     exact = _intersected(rough.where(doubt).select("a", "b"), sets.select("key", F.size("shingles").alias("n"), F.col("shingles").alias("s")))
     both = rough.where(~doubt).unionByName(exact)
     return _settled(both.select("a", "b", "shared", (F.col("na") + F.col("nb") - F.col("shared")).alias("joined")), "measured")
@@ -291,14 +293,24 @@ def _need(n: Column, m: Column) -> Column:
     return F.ceil((n + m) * 4 / 9) - F.greatest(behind(n), behind(m))
 
 
+def _least_need(n: Column, lo: Column, hi: Column) -> Column:
+    """The least need of n with any partner of lo to hi shingles, where lo <= n <= hi.
+
+    It never falls from a partner to a larger one up to n. Beyond n it falls by 16/45 a shingle, but rounding can add up
+    to 76/45 to that of hi against another's; so it is at least that of hi for partners two or more below hi, and hi - 1
+    can have less.
+    """
+    return F.least(_need(n, lo), _need(n, F.greatest(n, hi - 1)), _need(n, hi))
+
+
 def _able(large: DataFrame) -> DataFrame:
     """The members of large regions that may be linked within them: their window has enough shingles that any other set has.
 
-    For partners from the region's smallest to its largest size within the bounds on sizes, the least need is at one end.
+    Partners are taken to have any size from the region's smallest to its largest within the bounds on sizes.
     """
     of = Window.partitionBy("token")
     sized = large.withColumn("_lo", F.greatest(F.min("n").over(of), F.ceil(F.col("n") * 4 / 5))).withColumn("_hi", F.least(F.max("n").over(of), F.floor(F.col("n") * 5 / 4)))
-    return sized.where(F.col("rich") >= F.least(_need(F.col("n"), F.col("_lo")), _need(F.col("n"), F.col("_hi")))).drop("_lo", "_hi")
+    return sized.where(F.col("rich") >= _least_need(F.col("n"), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 
 def _may_link(a: str, b: str) -> Column:
