@@ -314,6 +314,24 @@ def test_token_file_round_trip(spark, odd, empty):
     assert token_file.read_segments(token_file.write_segments(empty, spec)).count() == 0
 
 
+def test_token_file_matches_added_tokens(spark):
+    """Literal special tokens are single ids, as the library has them by default, and later documents start after them."""
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    plain = Tokenizer.from_str(spec)
+    texts = ["a cat <|endoftext|> b", "A<|startoftext|>cat<|endoftext|><|endoftext|>", "a <|ENDOFTEXT|> b", "<|endoftext", "a cat", "<|endoftext|>\u03a3 a\u0301"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_file.read_segments(token_file.write_segments(docs, spec)).collect()}
+    start = 0
+    for i, t in enumerate(texts):
+        ids = plain.encode(t, add_special_tokens=False).ids + [1]
+        assert got[i] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert got[0][1] == 5
+
+
 def test_urls(spark):
     urls = ["http://A.example.ORG/es/x?y#z", "https://example.org/en/12", "https://example.org/en/2", "x://shop.com/fr/", "x://com/de/1", "x://notcom.net/de/", "nothing", None, "x://h?q", "x://bad.net/1", "x://org"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")

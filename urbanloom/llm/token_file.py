@@ -242,7 +242,7 @@ class WordEncoder:
 
     Its normaliser is NFC, one space for white space, lower case; its pre-tokens hold no white space and are written
     as byte letters. Texts that are not NFC or hold a character whose lower case depends on its neighbours or that
-    Python alone takes for white space go through the library whole.
+    Python alone takes for white space go through the library whole, and so do texts that hold an added token.
     """
 
     ODD = tuple("\x1c\x1d\x1e\x1f\u03a3\u0130")
@@ -252,9 +252,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.split = regex.compile(json.loads(spec)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        told = json.loads(spec)
+        self.split = regex.compile(told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.added = tuple(t["content"].lower() for t in told.get("added_tokens") or ())
         self.letters = dict(enumerate(byte_letters()))
         self.known: dict[str, bytes] = {}
 
@@ -266,7 +267,10 @@ class WordEncoder:
         """Ids as little-endian unsigned 16-bit integers."""
         if any(c in text for c in self.ODD) or not is_normalized("NFC", text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        words = text.lower().split()
+        lower = text.lower()
+        if any(t in lower for t in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        words = lower.split()
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
