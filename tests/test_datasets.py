@@ -20,6 +20,25 @@ def test_split_and_sample(spark):
     assert D.sample_n(rows.limit(0), 5, "k").count() == 0
 
 
+def test_negatives_come_from_the_whole_pool(spark):
+    answers = [f"a{i}" for i in range(500)] + ["a1", "a2", None, None]
+    rows = spark.createDataFrame(list(enumerate(answers)), "id long, answer string")
+    got = {r.id: r.negatives for r in D.sample_negatives(rows, "id", "answer", 3, buckets=4).collect()}
+    assert set(got) == set(range(len(answers)))
+    for i, own in enumerate(answers):
+        assert len(set(got[i])) == len(got[i]) == 3 and own not in got[i] and set(got[i]) <= set(answers[:500])
+    assert len({n for v in got.values() for n in v}) > 400
+    few = {r.id: r.negatives for r in D.sample_negatives(rows.where("id < 2 or id = 502"), "id", "answer", 3).collect()}
+    assert few == {0: ["a1"], 1: ["a0"], 502: ["a0", "a1"]}
+    assert [r.negatives for r in D.sample_negatives(rows.where("id = 5"), "id", "answer", 3).collect()] == [[]]
+    assert D.sample_negatives(rows.where("id = 5").union(rows.where("id = 5")), "id", "answer", 3).count() == 2
+    assert D.sample_negatives(rows.where("id = 503"), "id", "answer", 3).count() == 1 and D.sample_negatives(rows.limit(0), "id", "answer", 3).count() == 0
+    # every pair out of a small pool is drawn about equally often
+    small = spark.range(3000).select("id", F.concat(F.lit("p"), F.col("id") % 5).alias("answer"))
+    seen = {tuple(r.negatives): r["count"] for r in D.sample_negatives(small, "id", "answer", 2).groupBy("negatives").count().collect()}
+    assert len(seen) == 10 and min(seen.values()) > 220 and max(seen.values()) < 380
+
+
 def test_map_rows_drops_bad(spark):
     rows = spark.createDataFrame([("1",), ("x",), (None,)], "v string")
     got = D.map_rows(rows, lambda r: [{"n": int(r["v"])}, {"n": 0}], "n long").collect()

@@ -123,13 +123,26 @@ def mismatched_pairs(df: DataFrame, batch: str, order: str, answer: str) -> Data
 
 
 def sample_negatives(df: DataFrame, key: str, answer: str, k: int = 7, buckets: int = 64, seed: int = 0) -> DataFrame:
-    """(key, negatives): up to k answers of other rows that are not the row's own, from one hash bucket of the pool; no driver list."""
-    pool = df.select(F.col(answer).alias("_n")).distinct().withColumn("_b", F.pmod(F.xxhash64("_n", F.lit(seed)), F.lit(buckets)))
-    few = pool.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64("_n", F.lit(seed + 1)), "_n"))).where(F.col("_r") <= 4 * k + 4)
-    asked = df.select(key, answer, F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(buckets)).alias("_b"))
-    both = asked.join(few, "_b").where(F.col("_n") != F.col(answer))
-    ranked = both.withColumn("_o", F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(key, "_n", F.lit(seed)), "_n"))).where(F.col("_o") <= k)
-    return ranked.groupBy(key).agg(F.array_sort(F.collect_list("_n")).alias("negatives"))
+    """(key, negatives) of every row: k distinct answers of other rows that are not its own, drawn from all of them; no driver list.
+
+    There are fewer where the table has fewer. A null is no answer: it is never drawn, and its row draws from all. Each
+    row draws k + 1 numbers of the pool without replacement (Floyd's method); its own answer, or else one of them, goes.
+    The pool is numbered in ``buckets`` hash parts.
+    """
+    total = df.select(F.countDistinct(answer)).first()[0]
+    pool = number_rows(df.select(F.col(answer).alias("_n")).where("_n is not null").distinct(), ["_n"], 0, buckets).withColumnRenamed("id", "_p")
+    tops = F.array(*[F.lit(j) for j in range(max(0, total - k - 1), total)]).cast("array<long>")
+
+    def draw(drawn: Column, top: Column) -> Column:
+        at = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(answer), top), top + 1)
+        return F.concat(drawn, F.array(F.when(F.array_contains(drawn, at), top).otherwise(at)))
+
+    asked = df.groupBy(key, answer).agg(F.count(F.lit(1)).alias("_c")).withColumn("_p", F.aggregate(tops, F.array().cast("array<long>"), draw))
+    both = asked.select(key, answer, "_c", F.explode_outer("_p").alias("_p")).join(pool, "_p", "left")
+    other = F.when(F.col("_n").isNotNull() & ~F.col("_n").eqNullSafe(F.col(answer)), F.struct(F.xxhash64(F.lit(seed + 1), F.col(key), F.col(answer), F.col("_n")).alias("h"), "_n"))
+    few = F.slice(F.array_sort(F.collect_list(other)), 1, k)
+    rows = both.groupBy(key, answer, "_c").agg(F.array_sort(F.transform(few, lambda x: x["_n"])).alias("negatives"))
+    return rows.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), "_c"))).select(key, "negatives")
 
 
 def pack_sequences(df: DataFrame, key: str, length: str, capacity: int, window: int = 1000) -> DataFrame:
