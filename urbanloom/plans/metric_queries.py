@@ -35,19 +35,34 @@ SELECT q.vec_id AS query, c.vec_id AS cand, q.label = c.label AS relevant, q.e A
 """
 
 
-def _scored(spark: SparkSession, d: str, blocks: int = 16) -> DataFrame:
-    """Scores of the query set against all other vectors, block by block: the queries are copied to every block of candidates."""
+def _scored(spark: SparkSession, d: str, blocks: int = 16, every: int = 50) -> DataFrame:
+    """Scores of the queries, the ids divisible by ``every``, against all other vectors, block by block: the queries are copied to every block of candidates."""
     v = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("a"), F.col("label").alias("l"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"))
+    q = v.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("a"), F.col("label").alias("l"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"))
     c = v.select(F.col("vec_id").alias("cand"), F.col("embedding").alias("b"), "label", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("blk"))
     return q.join(c, "blk").where("query <> cand").select("query", "cand", (F.col("l") == F.col("label")).alias("relevant"), M.cosine(F.col("a"), F.col("b")).alias("score"))
 
 
+def _recall(scored: DataFrame) -> DataFrame:
+    r = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "cand"))
+    return M.recall_at_k(scored.withColumn("rank", r)).withColumn("mrr", F.round("mrr", 6))
+
+
+def _contrast(scored: DataFrame) -> DataFrame:
+    m = M.infonce(scored.select("query", F.col("relevant").alias("positive"), "score"), 0.05)
+    return m.select(F.round("mean_pos", 5).alias("mean_pos"), F.round("mean_neg", 5).alias("mean_neg"), F.round("mean_margin", 5).alias("mean_margin"), F.round("infonce", 4).alias("infonce"))
+
+
 @query(RANKED + """, f AS (SELECT query, min(r) FILTER (WHERE relevant) AS r FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, cand) AS r FROM s) GROUP BY query)
 SELECT avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END) AS recall_1, avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0.0 END) AS recall_3, avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0.0 END) AS recall_5, avg(CASE WHEN r <= 10 THEN 1.0 ELSE 0.0 END) AS recall_10, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr FROM f""")
 def k5_recall_at_k(spark: SparkSession, d: str) -> DataFrame:
-    r = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "cand"))
-    return M.recall_at_k(_scored(spark, d).withColumn("rank", r)).withColumn("mrr", F.round("mrr", 6))
+    return _recall(_scored(spark, d))
+
+
+@query()
+def k5_recall_at_k_20(spark: SparkSession, d: str) -> DataFrame:
+    """As k5_recall_at_k, of the ids divisible by 20; tested by brute force."""
+    return _recall(_scored(spark, d, every=20))
 
 
 @query(RANKED + """, p AS (SELECT query, max(score) AS p FROM s WHERE relevant GROUP BY query), n AS (SELECT s.query, p, score FROM s JOIN p ON p.query = s.query WHERE NOT relevant),
@@ -56,9 +71,13 @@ l AS (SELECT g.query, (any_value(m) - any_value(g.p)) / 0.05 + ln(sum(exp((score
 SELECT round(avg(p), 5) AS mean_pos, round(sum(t) / sum(c), 5) AS mean_neg, round(avg(p - hard), 5) AS mean_margin, round((SELECT avg(v) FROM l), 4) AS infonce FROM g""")
 def k2_infonce(spark: SparkSession, d: str) -> DataFrame:
     """Contrastive metrics of the query set (K2, K3)."""
-    scored = _scored(spark, d).select("query", F.col("relevant").alias("positive"), "score")
-    m = M.infonce(scored, 0.05)
-    return m.select(F.round("mean_pos", 5).alias("mean_pos"), F.round("mean_neg", 5).alias("mean_neg"), F.round("mean_margin", 5).alias("mean_margin"), F.round("infonce", 4).alias("infonce"))
+    return _contrast(_scored(spark, d))
+
+
+@query()
+def k2_infonce_20(spark: SparkSession, d: str) -> DataFrame:
+    """As k2_infonce, of the ids divisible by 20; tested by brute force."""
+    return _contrast(_scored(spark, d, every=20))
 
 
 @query("""WITH g AS (SELECT *, sum(label) OVER (PARTITION BY user_id ORDER BY pos) AS grp FROM scored), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, grp ORDER BY score DESC, pos) AS r, row_number() OVER (PARTITION BY user_id, grp ORDER BY label DESC, pos) AS i FROM g),
