@@ -134,8 +134,6 @@ def test_jaccard_join_against_brute_force(spark, odd, empty):
 def test_jaccard_rounds_are_exact(spark, monkeypatch):
     """Regions over two sets go through pivots, Voronoi regions and windows."""
     monkeypatch.setattr(jaccard_join, "FEW", 2)
-    monkeypatch.setattr(jaccard_join, "OUTSIDE", 0.0)
-    monkeypatch.setattr(jaccard_join, "REST", 2)
     rng = np.random.default_rng(6)
     base = [f"w{i}" for i in range(70)]
     texts = []
@@ -167,14 +165,25 @@ def test_jaccard_least_need_is_the_least(spark):
     assert partners.where(F.col("least") != jaccard_join._least_need(F.col("n"), F.col("lo"), F.col("hi"))).count() == 0
 
 
-def test_jaccard_measures_large_sets_exactly(spark):
-    """Short hashes that agree by chance in many more shingles than DOUBT, as they do in large sets, do not decide a link."""
-    n, off = 20000, 12
-    a = list(range(n))
-    b = a[:17771] + [x + (1 << 40) for x in range(17771, 17771 + off)] + [x + (1 << 20) for x in range(n - 17771 - off)]
-    sets = spark.createDataFrame([(1, a), (2, b)], "key long, shingles array<long>")
-    row = jaccard_join.measured(spark.createDataFrame([(1, 2)], "a long, b long"), sets).first()
-    assert (row.shared, row.joined) == (17771, 2 * n - 17771)
+def test_jaccard_sketches_bound_the_difference():
+    rng = np.random.default_rng(8)
+    for n in (1, 60, 400, 3000):
+        a = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
+        for share in (0.0, 0.5, 0.8, 0.95, 1.0):
+            b = np.unique(np.concatenate([a[: int(len(a) * share)], rng.integers(-(1 << 62), 1 << 62, len(a) // 5)]))
+            assert jaccard_join.apart(jaccard_join.sketch(a), jaccard_join.sketch(b)) <= len(np.setxor1d(a, b))
+    assert jaccard_join.sketch(np.arange(400) << 32) == b"" and len(jaccard_join.sketch(np.arange(400))) == 512 and jaccard_join.apart(b"", jaccard_join.sketch(a)) == 0
+
+
+def test_jaccard_very_long_sets_at_the_bound(spark):
+    """Sets of 300,000 shingles with exactly 0.8 in common link; with one less they do not."""
+    texts = []
+    for family, same in (("a", 266_671), ("b", 266_670)):  # words; the shingles in common are 4 fewer
+        base = [f"{family}{i}" for i in range(300_004)]
+        texts += [" ".join(base), " ".join(base[:same] + [f"{family}x{i}" for i in range(300_004 - same)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_groups(docs).collect()}
+    assert got == {0: (300_000, 0), 1: (300_000, 0), 2: (300_000, 2), 3: (300_000, 3)}
 
 
 def test_byte_bpe_equals_tiktoken(spark, odd, empty):
