@@ -303,7 +303,7 @@ def test_token_file_round_trip(spark, odd, empty):
 
     rng = np.random.default_rng(4)
     for ids in (np.zeros(0, int), np.array([5]), rng.integers(0, 65536, 9000), np.zeros(8192, int), rng.integers(0, 9, 12289)):
-        assert (token_file.unpack(token_file.pack(ids.astype(np.int64))) == ids).all()
+        assert (token_file.unpack(token_file.pack(ids.astype(np.int64)))[0] == ids).all()
     data = bytearray(token_file.pack(rng.integers(0, 500, 5000).astype(np.int64)))
     data[-9] ^= 1
     with pytest.raises(ValueError, match="damaged"):
@@ -311,15 +311,18 @@ def test_token_file_round_trip(spark, odd, empty):
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         spec = f.read()
     plain = Tokenizer.from_str(spec)
-    plain.encode_special_tokens = True
-    docs = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
+    got = sorted(token_file.read_segments(token_file.write_segments(odd, spec)).collect(), key=lambda r: r.start)
+    want = sorted(odd.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))  # a null id first; the two rows of id 6 are equal
     start = 0
-    got = {r.doc_id: r for r in token_file.read_segments(token_file.write_segments(docs, spec)).collect()}
-    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+    for row, r in zip(got, want, strict=True):
         ids = plain.encode(r.text or "", add_special_tokens=False).ids + [1]
-        row = got[r.doc_id]
-        assert (row.start, row.n_tokens, row.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert (row.doc_id, row.start, row.n_tokens, row.ids_crc32) == (r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+    payload = token_file.write_segments(odd, spec).first().payload
+    ids, index = token_file.unpack(payload)  # a file alone names its documents
+    assert sum(index["counts"]) == len(ids) and len(index["docs"]) == len(index["counts"])
+    named = odd.where("doc_id > 4").selectExpr("cast(doc_id as string) as name", "text", "doc_id as start")
+    assert {r.name for r in token_file.read_segments(token_file.write_segments(named, spec, id_col="name"), "name", "string").collect()} == {"5", "6", "8"}
     assert token_file.read_segments(token_file.write_segments(empty, spec)).count() == 0
 
 

@@ -1,23 +1,27 @@
 """Token ids in a binary file format: adaptive context-mixing range coder over independently reset, checksummed blocks.
 
-A segment holds the ids of consecutive whole documents. Its bytes, all numbers little-endian::
+A segment holds the ids of consecutive whole documents and says which they are. Its bytes, all numbers little-endian::
 
-    4 bytes  magic "ULT1"
-    uint32   number of ids, ids of a block, number of blocks
+    4 bytes  magic "ULT2"
+    uint32   number of ids, ids of a block, number of blocks, bytes of the index
+    index    zlib of JSON: ids before the segment in its part, document ids, and how many ids each document has
     blocks   uint32 coded 32-bit words, crc32 of the block's ids, one pair for each block
     words    uint32 coded words of all blocks, one block after the other
 
 A block codes its ids one by one. Three models that start empty in every block speak about the next id: order 2 and
-order 1 each name the id that last followed the same two ids or the same id, with a count of how often in a row it was
-right; order 0 has the frequencies of the ids' high bytes. The two counts choose a context whose adaptive weights mix
-the three into one distribution, and a single range-coder step codes the id in it. All blocks of a segment step
-together, one id of each at a time, so numpy does the arithmetic.
+order 1 each name the id that last followed the same two ids or the same id (told apart by a hash), and how often in a
+row such a name was right; order 0 has the frequencies of all ids of the block up to the last refresh. What is new to
+all of them has a fixed probability that falls with the id. How often each model was right, where the two names were
+this sure of themselves, mixes the four into one distribution, and a single range-coder step codes the id in it. All
+blocks of a segment step together, one id of each at a time, so numpy does the arithmetic; the writer knows all ids and
+finds what the models said about them before it steps.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from unicodedata import is_normalized
@@ -31,112 +35,198 @@ from pyspark.sql.window import Window
 from .byte_bpe import byte_letters
 from .common import text_runs, written
 
-MAGIC = b"ULT1"
-BLOCK = 4096
+MAGIC = b"ULT2"
+BLOCK = 2048
 #: A segment is closed at the first document end after so many ids.
 SEGMENT = 4_000_000
-#: Slots of the order-1 and order-2 tables, and bits of the weights and of the high-byte frequencies.
-SLOTS, WEIGHT_BITS, HIGH_BITS = 2048, 12, 12
-#: The frequencies of the high bytes are turned into ranges anew after so many ids.
-REFRESH = 256
-#: Distinct words whose ids a worker remembers.
+#: Slots of the order-1 and order-2 tables of a block.
+SLOTS = 2048
+#: Contexts of the mixing: how sure order 2 and order 1 are, 0 (no name) to 4 each.
+SURE, CONTEXTS = 5, 32
+#: Blocks whose models the writer works out at a time.
+GROUP = 32
+#: Distinct words, and distinct pieces of words, whose ids a worker remembers.
 REMEMBERED = 1_000_000
 
 
-class Mixer:
-    """The models of n blocks that step together; ids are below 65536."""
+def _falling() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and width of each id in the fixed distribution of new ids, and the id of each place; as integers, so all machines agree."""
+    width = 1 + 160_000 // (np.arange(1 << 16) + 256)
+    return np.cumsum(width) - width, width, np.repeat(np.arange(1 << 16, dtype=np.int32), width)
+
+
+def _first_shares() -> np.ndarray:
+    """What each context counts for order 2, order 1, order 0 and new ids before it has seen any."""
+    out = np.zeros((CONTEXTS, 4), np.int32)
+    for two in range(SURE):
+        for one in range(SURE):
+            out[two * SURE + one] = 4 * two, 3 * one, 6, 3
+    out[SURE * SURE :] = 1
+    return out
+
+
+BEGIN, WIDTH, OF_PLACE = _falling()
+FIRST = _first_shares()
+TOTAL = FIRST.sum(axis=1, dtype=np.int32)
+#: Shares are whole 4096ths; RATE[x] turns counts that add up to x into them.
+RATE = ((4092 << 14) // np.maximum(np.arange(2 * BLOCK + 64), 1)).astype(np.int32)
+#: Steps before which order 0 takes in the block's ids so far.
+REFRESH = (32, 128, 384, 768, 1280)
+
+
+def _slots(last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of order 1 and order 2."""
+    mixed = last * 40503
+    return mixed >> 5 & SLOTS - 1, (mixed + before * 9973 >> 3) & SLOTS - 1
+
+
+def _history(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(blocks, n) ids sorted in each block, and for each place where the run of its id begins and ends."""
+    s = np.sort(ids.astype(np.uint16), axis=1, kind="stable").astype(np.int32)
+    n = s.shape[1]
+    place = np.arange(n, dtype=np.int32)
+    same = s[:, 1:] == s[:, :-1]
+    begin, end = np.empty_like(s), np.empty_like(s)
+    begin[:, 0], end[:, -1] = 0, n
+    begin[:, 1:] = np.where(same, 0, place[1:])
+    end[:, :-1] = np.where(same, n, place[1:])
+    return s, np.maximum.accumulate(begin, axis=1), np.minimum.accumulate(end[:, ::-1], axis=1)[:, ::-1]
+
+
+def _sorted(key: np.ndarray) -> np.ndarray:
+    """Flat places of (blocks, n) in the order of a key below 65536 within each block; equal keys stay in order."""
+    order = np.argsort(key.astype(np.uint16), axis=1, kind="stable")
+    return (order + np.arange(len(key))[:, None] * key.shape[1]).ravel()
+
+
+def _named(slot: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """2 * how sure the slot is (0 if it is empty, else 1 to 4) + whether the id that last followed in it is the id itself."""
+    order = _sorted(slot)
+    sorted_slot, follows = slot.ravel().take(order).reshape(slot.shape), ids.ravel().take(order).reshape(slot.shape)
+    place = np.arange(slot.shape[1], dtype=np.int32)
+    same = sorted_slot[:, 1:] == sorted_slot[:, :-1]
+    hit = np.zeros(slot.shape, bool)
+    hit[:, 1:] = same & (follows[:, 1:] == follows[:, :-1])
+    missed = np.maximum.accumulate(np.where(hit, 0, place), axis=1)
+    named = hit.astype(np.int32)
+    named[:, 1:] += np.where(same, 2 + 2 * np.minimum(place[:-1] - missed[:, :-1], 3), 0)
+    out = np.empty(slot.size, np.int32)
+    out[order] = named.ravel()
+    return out.reshape(slot.shape)
+
+
+def _spans(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, width) in a range of 2 ** 32 of each id of some blocks (blocks, BLOCK), as the reader's models will have them."""
+    n, steps = ids.shape
+    ids = ids.astype(np.int32)
+    last, before = np.zeros_like(ids), np.zeros_like(ids)
+    last[:, 1:], before[:, 2:] = ids[:, :-1], ids[:, :-2]
+    one, two = (_named(slot, ids) for slot in _slots(last, before))
+    begin, count, known = np.zeros_like(ids), np.zeros_like(ids), np.ones(steps, np.int64)
+    marks = [t for t in REFRESH if t < steps]
+    lane = np.arange(n, dtype=np.uint32)[:, None] << np.uint32(16)
+    for t, until in zip(marks, [*marks[1:], steps]):
+        s, first, end = _history(ids[:, :t])
+        known[t:until] = t
+        flat, asked = (s.astype(np.uint32) | lane).ravel(), (ids[:, t:until].astype(np.uint32) | lane).ravel()
+        at = np.minimum(np.searchsorted(flat, asked), len(flat) - 1)
+        found = flat.take(at) == asked
+        from_ = first.ravel().take(at)
+        begin[:, t:until] = (from_ * found).reshape(n, -1)
+        count[:, t:until] = ((end.ravel().take(at) - from_) * found).reshape(n, -1)
+    outcome = np.where(two & 1, 0, np.where(one & 1, 1, np.where(count > 0, 2, 3))).astype(np.int32)
+    context = (two >> 1) * SURE + (one >> 1)
+    order = _sorted(context)
+    of, what = context.ravel().take(order).reshape(n, steps), outcome.ravel().take(order).reshape(n, steps)
+    place = np.arange(steps, dtype=np.int32)
+    opens = np.ones(of.shape, bool)
+    opens[:, 1:] = of[:, 1:] != of[:, :-1]
+    rate = RATE.take(2 * (place - np.maximum.accumulate(np.where(opens, place, 0), axis=1)) + TOTAL.take(of))
+    packed = np.zeros((n, steps), np.int64)
+    for k in range(4):
+        here = what == k
+        seen = np.cumsum(here, axis=1, dtype=np.int32) - here
+        seen -= np.maximum.accumulate(np.where(opens, seen, 0), axis=1)
+        packed <<= 13
+        packed |= 1 + ((2 * seen + FIRST[:, k].take(of)) * rate >> 14)
+    shares = np.empty(n * steps, np.int64)
+    shares[order] = packed.ravel()
+    shares = shares.reshape(n, steps)
+    of_two, of_one, of_zero, of_new = (shares >> k & 0x1FFF for k in (39, 26, 13, 0))
+    unit_zero, unit_new = (of_zero << 20) // known, (of_new << 20) // len(OF_PLACE)
+    start = np.where(outcome == 0, 0, np.where(outcome == 1, of_two << 20, np.where(outcome == 2, (of_two + of_one << 20) + unit_zero * begin, (of_two + of_one + of_zero << 20) + unit_new * BEGIN.take(ids))))
+    width = np.where(outcome == 0, of_two << 20, np.where(outcome == 1, of_one << 20, np.where(outcome == 2, unit_zero * count, unit_new * WIDTH.take(ids))))
+    return start, width
+
+
+class Reader:
+    """The models of n blocks that step together while they are read; ids are below 65536."""
 
     def __init__(self, n: int):
-        self.n = n
         self.lane = np.arange(n)
-        self.one, self.two = np.zeros(n * SLOTS, np.int64), np.zeros(n * SLOTS, np.int64)  # id * 4 + how often in a row it was right
-        self.weights = np.full(n * 16, (1 << WEIGHT_BITS - 2 << 16) + (1 << WEIGHT_BITS - 2), np.int64)  # order 2 above order 1
+        self.slots, self.contexts = self.lane * SLOTS, self.lane * CONTEXTS
+        self.one, self.two = np.zeros(n * SLOTS, np.int32), np.zeros(n * SLOTS, np.int32)  # id * 8 + how sure
+        self.counts = [np.tile(column, n) for column in (*FIRST.T, TOTAL)]  # twice the times, above the first shares
         self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.count = np.ones(n * 256, np.int64)
-        self.steps = 0
-        self.refresh()
-
-    def refresh(self) -> None:
-        """Ranges of the high bytes: at least 1 each, 2 ** HIGH_BITS in all."""
-        spare = (1 << HIGH_BITS) - 256
-        total = np.cumsum(self.count.reshape(self.n, 256), axis=1)
-        edge = (total * (spare / total[:, -1:])).astype(np.int64) + np.arange(1, 257)
-        self.edge = np.concatenate([np.zeros((self.n, 1), np.int64), edge], axis=1).ravel()
-        self.edge[256::257] = 1 << HIGH_BITS
+        self.known = 1
+        self.sorted = self.begin = np.zeros(n, np.int32)
+        self.end = np.ones(n, np.int32)
 
     def narrow(self, n: int) -> None:
         """Keep the first n blocks; the others have ended."""
-        self.n, self.lane, self.last, self.before = n, self.lane[:n], self.last[:n], self.before[:n]
-        self.one, self.two, self.weights = self.one[: n * SLOTS], self.two[: n * SLOTS], self.weights[: n * 16]
-        self.count, self.edge = self.count[: n * 256], self.edge[: n * 257]
-
-    def predict(self) -> None:
-        mixed = self.last * 40503
-        base = self.lane * SLOTS
-        self.at_one = base + (mixed >> 5 & SLOTS - 1)
-        self.at_two = base + (mixed + self.before * 9973 >> 3 & SLOTS - 1)
-        self.was_one, self.was_two = self.one.take(self.at_one), self.two.take(self.at_two)
-        self.id_one, self.id_two = self.was_one >> 2, self.was_two >> 2
-        self.context = self.lane * 16 + ((self.was_two & 3) * 4 + (self.was_one & 3))
-        weights = self.weights.take(self.context)
-        self.share_two, self.share_one = weights >> 16, weights & 0xFFFF
-        self.taken = self.share_two + self.share_one
-        self.share_rest = (1 << WEIGHT_BITS) - self.taken
-
-    def _span(self, by_two: np.ndarray, by_one: np.ndarray, start: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hit = by_two | by_one
-        begin = np.where(hit, by_one * self.share_two << 20, start)
-        return begin, np.where(hit, np.where(by_two, self.share_two, self.share_one) << 20, width)
-
-    def spans(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, width) of each id in a range of 2 ** 32."""
-        by_two, hit_one = ids == self.id_two, ids == self.id_one
-        high = ids >> 8
-        at = self.lane * 257 + high
-        begin = self.edge.take(at)
-        step = self.share_rest * (self.edge.take(at + 1) - begin)
-        start = (self.taken << 20) + (self.share_rest * begin << 8) + step * (ids & 255)
-        spans = self._span(by_two, hit_one & ~by_two, start, step)
-        self.learn(ids, high, by_two, hit_one)
-        return spans
-
-    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(id, start, width) of the id whose span holds the value."""
-        top = value >> 20
-        by_two = top < self.share_two
-        by_one = (top < self.taken) ^ by_two
-        rest = self.taken << 20
-        at = np.maximum(value - rest, 0) // self.share_rest
-        slot = at >> 8
-        edges = self.lane * 257
-        found = edges + 128 * (self.edge.take(edges + 128) <= slot)
-        for bit in (64, 32, 16, 8, 4, 2, 1):
-            found += bit * (self.edge.take(found + bit) <= slot)
-        begin = self.edge.take(found)
-        span = self.edge.take(found + 1) - begin
-        low = np.minimum((at - (begin << 8)) // span, 255)
-        step = self.share_rest * span
-        start, width = self._span(by_two, by_one, rest + (self.share_rest * begin << 8) + step * low, step)
-        ids = np.where(by_two, self.id_two, np.where(by_one, self.id_one, (found - edges << 8) + low))
-        self.learn(ids, ids >> 8, by_two, ids == self.id_one)
+        self.lane, self.slots, self.contexts, self.last, self.before = (x[:n] for x in (self.lane, self.slots, self.contexts, self.last, self.before))
+
+    def refresh(self, ids: np.ndarray) -> None:
+        self.known = ids.shape[1]
+        self.sorted, self.begin, self.end = (x.ravel() for x in _history(ids))
+
+    def step(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(id, start, width) of the ids whose spans hold the values; the models learn them."""
+        at_one, at_two = _slots(self.last, self.before)
+        at_one += self.slots
+        at_two += self.slots
+        was_one, was_two = self.one.take(at_one), self.two.take(at_two)
+        context = (was_two & 7) * SURE + (was_one & 7) + self.contexts
+        rate = RATE.take(self.counts[4].take(context))
+        share = [1 + (self.counts[k].take(context) * rate >> 14) for k in range(3)]
+        edge_two, edge_one = share[0], share[0] + share[1]
+        edge_zero = edge_one + share[2]
+        top = (value >> 20).astype(np.int32)
+        by_two, by_one, by_new = top < edge_two, top < edge_one, top >= edge_zero
+        by_one ^= by_two
+        id_one, id_two = was_one >> 3, was_two >> 3
+        ids = np.where(by_two, id_two, id_one)
+        start = np.where(by_two, 0, edge_two).astype(np.int64) << 20
+        width = np.where(by_two, edge_two, share[1]).astype(np.int64) << 20
+        named = by_two | by_one
+        rows = np.flatnonzero(~(named | by_new))
+        base = edge_one[rows].astype(np.int64) << 20
+        unit = (share[2][rows].astype(np.int64) << 20) // self.known
+        at = rows * self.known + np.minimum((value[rows] - base) // unit, self.known - 1)
+        ids[rows] = self.sorted.take(at)
+        first = self.begin.take(at)
+        start[rows] = base + unit * first
+        width[rows] = unit * (self.end.take(at) - first)
+        self.counts[2][context[rows]] += 2
+        rows = np.flatnonzero(by_new)
+        base = edge_zero[rows].astype(np.int64) << 20
+        of = context[rows]
+        unit = ((1 + (self.counts[3].take(of) * rate[rows] >> 14)).astype(np.int64) << 20) // len(OF_PLACE)
+        new = OF_PLACE.take(np.minimum((value[rows] - base) // unit, len(OF_PLACE) - 1))
+        ids[rows] = new
+        start[rows] = base + unit * BEGIN.take(new)
+        width[rows] = unit * WIDTH.take(new)
+        self.counts[3][of] += 2
+        self.counts[0][context[by_two]] += 2
+        self.counts[1][context[by_one]] += 2
+        self.counts[4][context] += 2
+        fresh = (ids << 3) + 1
+        # a name that was right becomes surer, up to 4; any other gives way
+        self.one[at_one] = np.where((id_one == ids) & (was_one > 0), was_one + ((was_one & 7) < 4), fresh)
+        self.two[at_two] = np.where(by_two, was_two + ((was_two & 7) < 4), fresh)
+        self.before, self.last = self.last, ids.astype(np.int64)
         return ids, start, width
 
-    def learn(self, ids: np.ndarray, high: np.ndarray, by_two: np.ndarray, hit_one: np.ndarray) -> None:
-        """Weights move a 32nd of the way to what was right; a prediction that fails twice gives way to the id seen."""
-        goal = (1 << WEIGHT_BITS) - 192
-        two = self.share_two + (by_two * goal - self.share_two + 32 >> 5)
-        one = self.share_one + ((hit_one & ~by_two) * goal - self.share_one + 32 >> 5)
-        self.weights[self.context] = (two + 2 << 16) + one + 2
-        fresh = ids << 2
-        for table, at, was, hit in ((self.one, self.at_one, self.was_one, hit_one), (self.two, self.at_two, self.was_two, by_two)):
-            table[at] = np.where(hit, np.minimum(was + 1, was | 3), np.where((was & 2) > 0, was - 2, fresh))
-        at = self.lane * 256 + high
-        self.count[at] = self.count.take(at) + 24
-        self.before, self.last = self.last, ids
-        self.steps += 1
-        if self.steps % REFRESH == 0 or self.steps in (8, 32, 64, 128):
-            self.refresh()
-
 
 def _lanes(total: int) -> np.ndarray:
     """Ids of each block: all full but the last."""
@@ -144,16 +234,20 @@ def _lanes(total: int) -> np.ndarray:
     return np.minimum(BLOCK, total - np.arange(count) * BLOCK)
 
 
-def pack(ids: np.ndarray) -> bytes:
-    """A segment's bytes."""
+def pack(ids: np.ndarray, index: dict | None = None) -> bytes:
+    """A segment's bytes; ids are whole numbers below 65536."""
     sizes = _lanes(len(ids))
     n = len(sizes)
+    told = zlib.compress(json.dumps(index or {}, separators=(",", ":")).encode(), 1)
+    head = MAGIC + np.array([len(ids), BLOCK, n, len(told)], "<u4").tobytes() + told
     if not n:
-        return MAGIC + np.array([0, BLOCK, 0], "<u4").tobytes()
+        return head
     padded = np.zeros(n * BLOCK, np.int64)
     padded[: len(ids)] = ids
-    columns = np.ascontiguousarray(padded.reshape(n, BLOCK).T)
-    mixer = Mixer(n)
+    blocks = padded.reshape(n, BLOCK)
+    starts, widths = np.empty((BLOCK, n), np.uint64), np.empty((BLOCK, n), np.uint64)
+    for k in range(0, n, GROUP):
+        starts[:, k : k + GROUP], widths[:, k : k + GROUP] = (x.T for x in _spans(blocks[k : k + GROUP]))
     low, span = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
     out = np.zeros((n, BLOCK + 4), np.uint64)
     used = np.zeros(n, np.int64)
@@ -162,17 +256,14 @@ def pack(ids: np.ndarray) -> bytes:
     for t in range(int(sizes[0])):
         if t >= sizes[-1] and active == n and n > 1:
             active = n - 1
-            mixer.narrow(active)
-        mixer.predict()
-        start, width = mixer.spans(columns[t][:active])
         lo, sp = low[:active], span[:active]
         unit = sp >> half
-        step = unit * start.view(np.uint64)
+        step = unit * starts[t, :active]
         lo += step
         carry = np.flatnonzero(lo < step)
         if carry.size:
             out[carry, used[carry] - 1] += np.uint64(1)
-        np.multiply(unit, width.view(np.uint64), out=sp)
+        np.multiply(unit, widths[t, :active], out=sp)
         short = np.flatnonzero(sp < small)
         if short.size:
             out[short, used[short]] = lo[short] >> half
@@ -189,38 +280,41 @@ def pack(ids: np.ndarray) -> bytes:
     words = np.concatenate([out[i, :k] for i, k in enumerate(used.tolist())]).astype("<u4")
     flat = padded.astype("<u4")
     checks = [zlib.crc32(flat[i * BLOCK : i * BLOCK + k].tobytes()) for i, k in enumerate(sizes.tolist())]
-    return MAGIC + np.array([len(ids), BLOCK, n], "<u4").tobytes() + np.stack([used, checks], axis=1).astype("<u4").tobytes() + words.tobytes()
+    return head + np.stack([used, checks], axis=1).astype("<u4").tobytes() + words.tobytes()
 
 
-def unpack(data: bytes) -> np.ndarray:
-    """The ids of a segment; a block whose checksum differs raises."""
+def unpack(data: bytes) -> tuple[np.ndarray, dict]:
+    """The ids of a segment and its index; a block whose checksum differs raises."""
     if data[:4] != MAGIC:
         raise ValueError("not a token segment")
-    total, block, n = np.frombuffer(data, "<u4", 3, 4).tolist()
+    total, block, n, told = np.frombuffer(data, "<u4", 4, 4).tolist()
     if block != BLOCK:
         raise ValueError(f"blocks of {block} ids")
+    index = json.loads(zlib.decompress(data[20 : 20 + told]))
     if not n:
-        return np.zeros(0, "<u4")
-    used, checks = np.frombuffer(data, "<u4", 2 * n, 16).reshape(n, 2).astype(np.int64).T
-    words = np.concatenate([np.frombuffer(data, "<u4", offset=16 + 8 * n).astype(np.uint64), np.zeros(2, np.uint64)])
+        return np.zeros(0, "<u4"), index
+    body = memoryview(data)[20 + told :]
+    used, checks = np.frombuffer(body, "<u4", 2 * n).reshape(n, 2).astype(np.int64).T
+    words = np.concatenate([np.frombuffer(body, "<u4", offset=8 * n).astype(np.uint64), np.zeros(2, np.uint64)])
     at = np.cumsum(used) - used
     sizes = _lanes(total)
-    mixer = Mixer(n)
+    reader = Reader(n)
     code = (words[at] << np.uint64(32)) | words[at + 1]
     at = at + 2
     low, span = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    columns = np.zeros((BLOCK, n), "<u4")
+    columns = np.zeros((BLOCK, n), np.uint16)
     half, small, most = np.uint64(32), np.uint64(1 << 32), np.uint64((1 << 32) - 1)
     active = n
     for t in range(int(sizes[0])):
         if t >= sizes[-1] and active == n and n > 1:
             active = n - 1
-            mixer.narrow(active)
-        mixer.predict()
+            reader.narrow(active)
+        if t in REFRESH:
+            reader.refresh(columns[:t, :active].T)
         lo, sp, co = low[:active], span[:active], code[:active]
         unit = sp >> half
         value = np.minimum((co - lo) // unit, most)
-        ids, start, width = mixer.find(value.view(np.int64))
+        ids, start, width = reader.step(value.view(np.int64))
         columns[t, :active] = ids
         lo += unit * start.view(np.uint64)
         np.multiply(unit, width.view(np.uint64), out=sp)
@@ -230,11 +324,11 @@ def unpack(data: bytes) -> np.ndarray:
             sp[short] <<= half
             co[short] = (co[short] << half) | words[np.minimum(at[short], len(words) - 1)]
             at[short] += 1
-    ids = np.ascontiguousarray(columns.T).ravel()[:total]
+    ids = np.ascontiguousarray(columns.T).ravel()[:total].astype("<u4")
     for i, k in enumerate(sizes.tolist()):
         if zlib.crc32(ids[i * BLOCK : i * BLOCK + k].tobytes()) != checks[i]:
             raise ValueError(f"block {i} is damaged")
-    return ids
+    return ids, index
 
 
 class WordEncoder:
@@ -258,10 +352,16 @@ class WordEncoder:
         self.added = tuple(t["content"].lower() for t in told.get("added_tokens") or ())
         self.letters = dict(enumerate(byte_letters()))
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def word(self, word: str) -> bytes:
-        ids = [t.id for piece in self.split(word) for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-        return np.array(ids, "<u2").tobytes()
+        parts = []
+        for piece in self.split(word):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                ids = self.pieces[piece] = array("H", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            parts.append(ids)
+        return b"".join(parts)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 16-bit integers."""
@@ -274,6 +374,8 @@ class WordEncoder:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
+        if len(self.pieces) > REMEMBERED:
+            self.pieces.clear()
         for word in set(words).difference(known):
             known[word] = self.word(word)
         return b"".join([known[w] for w in words])
@@ -288,26 +390,28 @@ def _encoder(spec: str) -> WordEncoder:
 def write_segments(docs: DataFrame, spec: str, end_id: int = 1, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode whole texts in ascending id order and write segments to the shared folder; the written table.
 
-    Rows: (part, seg, ids_before, doc_ids, n_tokens, payload), a segment each; ``part`` numbers the ranges of ids,
-    ``ids_before`` the ids of the part's earlier segments. Null text counts as empty; equal ids are ordered by text.
+    Rows: (part, n_ids, payload), a segment each; ``part`` numbers the ranges of ids. A payload alone can be read back: it
+    names its documents (numbers or text), their numbers of ids and the ids before it in its part. Null and empty texts
+    have the end id alone; texts of any length are taken whole. Equal ids, null ones too, come in the order of a hash of
+    their text, equal rows one after the other; null ids are first. Only the two named columns are read. An empty table
+    writes no segment.
     """
     shared = docs.sparkSession.sparkContext.broadcast(spec)
-    kind = docs.schema[id_col].dataType.simpleString()
-    id_type = pa.int64() if kind == "bigint" else None
     parts = docs.sparkSession.sparkContext.defaultParallelism
     parts = max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = docs.select(id_col, text).repartitionByRange(parts, id_col, F.xxhash64(text)).sortWithinPartitions(id_col, text).select(id_col, text, F.spark_partition_id().alias("part"))
+    rows = docs.select(id_col, text, F.xxhash64(text).alias("_h"))
+    ordered = rows.repartitionByRange(parts, id_col, "_h").sortWithinPartitions(id_col, "_h").select(id_col, text, F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = _encoder(shared.value), np.array([end_id], "<u2").tobytes()
-        part = seg = before = held = 0
+        part = before = held = 0
         doc_ids: list = []
         counts: list[int] = []
         coded: list[bytes] = []
 
         def close() -> pa.RecordBatch:
-            payload = pack(np.frombuffer(b"".join(coded), "<u2").astype(np.int64))
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seg": pa.array([seg], pa.int32()), "ids_before": pa.array([before], pa.int64()), "doc_ids": pa.array([doc_ids], pa.list_(id_type)) if id_type else pa.array([doc_ids]), "n_tokens": pa.array([counts], pa.list_(pa.int64())), "payload": pa.array([payload], pa.binary())})
+            payload = pack(np.frombuffer(b"".join(coded), "<u2").astype(np.int64), {"before": before, "docs": doc_ids, "counts": counts})
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([held], pa.int64()), pa.array([payload], pa.binary())], ["part", "n_ids", "payload"])
 
         for batch, texts in text_runs(batches):
             for i, one, part in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist()):  # noqa: B007
@@ -318,29 +422,31 @@ def write_segments(docs: DataFrame, spec: str, end_id: int = 1, id_col: str = "d
                 held += len(ids) // 2
                 if held >= SEGMENT:
                     yield close()
-                    seg, before, held = seg + 1, before + held, 0
+                    before, held = before + held, 0
                     doc_ids, counts, coded = [], [], []
         if doc_ids:
             yield close()
 
-    return written(ordered.mapInArrow(run, f"part int, seg int, ids_before long, doc_ids array<{kind}>, n_tokens array<long>, payload binary"), "tokens")
+    return written(ordered.mapInArrow(run, "part int, n_ids long, payload binary"), "tokens")
 
 
-def read_segments(segments: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def read_segments(segments: DataFrame, id_col: str = "doc_id", id_type: str = "long") -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every document, from the written segments alone; start: ids of all documents before it."""
-    kind = segments.schema["doc_ids"].dataType.elementType.simpleString()
-    totals = segments.groupBy("part").agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("ids"))
-    offsets = totals.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("of_part"))
+    totals = segments.groupBy("part").agg(F.sum("n_ids").alias("ids"))
+    offsets = totals.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("of_part"))  # a row a part
+    kind = F.lit(None).cast(id_type)
+    arrow = segments.sparkSession.range(0).select(kind.alias("x")).toArrow().schema.field(0).type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                of_part, before, counts = (batch.column(k)[row].as_py() for k in (0, 1, 3))
-                ids = unpack(batch.column(4)[row].as_py())
+            for of_part, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids, index = unpack(payload)
+                counts = index["counts"]
                 ends = np.cumsum(counts)
-                raw = memoryview(ids.astype("<u4").tobytes())
+                raw = memoryview(ids.tobytes())
                 checks = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), counts)]
-                yield pa.RecordBatch.from_arrays([batch.column(2)[row].values, pa.array(ends - counts + of_part + before, pa.int64()), pa.array(counts, pa.int64()), pa.array(checks, pa.int64())], [id_col, "start", "n_tokens", "ids_crc32"])
+                columns = [pa.array(index["docs"], arrow), pa.array(ends - counts + of_part + index["before"], pa.int64()), pa.array(counts, pa.int64()), pa.array(checks, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, [id_col, "start", "n_tokens", "ids_crc32"])
 
-    rows = segments.join(F.broadcast(offsets), "part").select("of_part", "ids_before", "doc_ids", "n_tokens", "payload")
-    return rows.mapInArrow(run, f"{id_col} {kind}, start long, n_tokens long, ids_crc32 long")
+    rows = segments.join(F.broadcast(offsets), "part").select("of_part", "payload")
+    return rows.mapInArrow(run, f"{id_col} {id_type}, start long, n_tokens long, ids_crc32 long")
