@@ -53,6 +53,21 @@ TABLES = {
     "steps": """
         SELECT user_id AS path, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS pos,
                event_type AS name, value FROM events""",
+    "walks": """
+        SELECT user_id AS path, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS pos, 10000000000 + event_id AS node,
+               CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 13 = 0 THEN CAST(event_id AS STRING) ELSE event_type || ' ' || CAST(event_id % 40 AS STRING) END AS name,
+               split_part('point,line,area', ',', CAST(1 + event_id % 3 AS INT)) AS kind, event_type AS category,
+               split_part('on_same_street,crossing,nearest,near,area_boundary,walkway', ',', CAST(1 + event_id % 6 AS INT)) AS edge,
+               103.80e0 + (event_id * 5417 % 10007) / 10007.0e0 * 0.20e0 AS lon, 1.25e0 + (event_id * 7573 % 10009) / 10009.0e0 * 0.15e0 AS lat FROM events""",
+    "roads": """
+        SELECT 2000000 + p_partkey AS id, p_brand AS name, split_part('motorway,trunk,primary,secondary,tertiary,residential,service,unclassified,living_street,pedestrian,footway,path,track,bridleway,steps,raceway', ',', CAST(1 + p_partkey % 16 AS INT)) AS highway,
+               nullif(split_part('yes,no,,,,,', ',', CAST(1 + p_partkey % 7 AS INT)), '') AS bicycle, nullif(split_part('lane,,,,,,,,', ',', CAST(1 + p_partkey % 9 AS INT)), '') AS cycleway,
+               nullif(split_part('both,left,none,,,,,,,,', ',', CAST(1 + p_partkey % 11 AS INT)), '') AS sidewalk, nullif(split_part('rail,,,,,,,,,,,,', ',', CAST(1 + p_partkey % 13 AS INT)), '') AS railway,
+               nullif(split_part('designated,no,,,,,,,,,,,,,,,', ',', CAST(1 + p_partkey % 17 AS INT)), '') AS foot FROM part""",
+    "places": """
+        SELECT id, name, nullif(split_part('park,,,', ',', CAST(1 + id % 4 AS INT)), '') AS leisure, nullif(split_part('mall,,,,', ',', CAST(1 + id % 5 AS INT)), '') AS shop,
+               split_part('x,,,,,', ',', CAST(1 + id % 6 AS INT)) AS amenity, nullif(split_part('y,,,,,,', ',', CAST(1 + id % 7 AS INT)), '') AS bank, nullif(split_part('z,,,,,,,,', ',', CAST(1 + id % 9 AS INT)), '') AS cafe,
+               nullif(split_part('commercial,,', ',', CAST(1 + id % 3 AS INT)), '') AS given FROM points""",
     "scored": """
         SELECT event_id AS pos, user_id, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS label, value AS score FROM events""",
     "rewards": """
@@ -65,7 +80,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in BASE:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = TABLES[name]
-    used = {b: table(spark, sf_dir, b) for b in BASE if re.search(rf"\b{b}\b", sql)}
+    used = {b: table(spark, sf_dir, b) for b in (*BASE, *TABLES) if b != name and re.search(rf"\b(FROM|JOIN) {b}\b", sql)}
     for b in used:
         sql = re.sub(rf"\b(FROM|JOIN) {b}\b", rf"\1 {{{b}}}", sql)
     return spark.sql(sql, **used)
