@@ -77,7 +77,7 @@ def test_sharding(spark, odd, empty):
     assert len({r.shard for r in same}) == 1 and {r.text_crc32 for r in same} == {zlib.crc32(prose(2, 40).encode())}
 
 
-@pytest.mark.parametrize("sizes,shards", [([3, 1, 4, 1, 5, 9, 2, 6], 3), ([1] * 20, 7), ([10], 4), ([2, 2, 100, 1, 1], 3)])
+@pytest.mark.parametrize("sizes,shards", [([3, 1, 4, 1, 5, 9, 2, 6], 3), ([1] * 20, 7), ([10], 4), ([2, 2, 100, 1, 1], 3), ([1, 1, 100, 1, 1], 2), ([9, 1, 9, 1, 1, 9], 4)])
 def test_minimax_is_the_smallest(spark, sizes, shards):
     def best(rest, k):
         return sum(rest) if k == 1 else min(max(sum(rest[:i]), best(rest[i:], k - 1)) for i in range(len(rest) + 1))
@@ -87,6 +87,53 @@ def test_minimax_is_the_smallest(spark, sizes, shards):
     groups = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "cell int, bytes long")
     placed = sharding.partition_groups(groups, shards).join(groups, "cell").groupBy("shard").agg(F.sum("bytes").alias("b")).collect()
     assert max(r.b for r in placed) == best(sizes, shards) and len(placed) <= shards
+    order = [r.shard for r in sharding.partition_groups(groups, shards).orderBy("cell").collect()]
+    assert order == sorted(order)  # contiguous
+
+
+def test_shards_against_brute_force(spark, odd):
+    """Shards and slots as the cells, their greedy partition and the order within a shard give them."""
+    rows = spark.createDataFrame([(i, prose(i % 70, 5 + i % 40)) for i in range(300)], "doc_id long, text string")
+    got = {r.doc_id: r for r in sharding.shard_documents(rows, 5).collect()}
+    cell = {i: int(__import__("hashlib").md5(prose(i % 70, 5 + i % 40).encode()).hexdigest()[:4], 16) for i in range(300)}
+    assert all(got[a].shard <= got[b].shard for a in got for b in got if cell[a] < cell[b])
+    total = sum(r.size for r in got.values())
+    for k in range(5):
+        mine = sorted((r for r in got.values() if r.shard == k), key=lambda r: r.slot)
+        assert [r.slot for r in mine] == list(range(len(mine))) and [cell[r.doc_id] for r in mine] == sorted(cell[r.doc_id] for r in mine)
+        assert abs(sum(r.size for r in mine) - total / 5) < total / 10
+
+
+def test_neighbours_prunes(spark):
+    """Recall against brute force where the forest leaves out about half of the vectors."""
+    rng = np.random.default_rng(12)
+    v = rng.standard_normal((6000, 32)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got: dict = {}
+    for r in neighbours.search(df, F.col("vec_id") % 50 == 0, k=5).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    hit = 0
+    for q, found in got.items():
+        s = unit @ unit[q]
+        s[q] = -2
+        hit += len(found & set(np.argsort(-s)[:5].tolist()))
+    assert len(got) == 120 and hit / 600 >= 0.9
+    forest = neighbours.Forest(unit[:6000].astype(float), 16, neighbours.LEVELS)
+    leaves = forest.leaves(unit.astype(float))
+    sizes = np.stack([np.bincount(leaves[:, t], minlength=1 << neighbours.LEVELS) for t in range(16)])
+    seen = [len(set(np.concatenate([np.flatnonzero(leaves[:, t] == n) for t, n in forest.search(unit[q].astype(float), sizes, 0.65 * 6000 + 300)]).tolist())) for q in range(0, 6000, 500)]
+    assert np.mean(seen) < 0.6 * 6000
+
+
+def test_language_of_large_scripts(spark):
+    """Letters outside the commonest ones still tell languages apart."""
+    rng = np.random.default_rng(1)
+    han, kana = [chr(0x4E00 + i) for i in range(2000)], [chr(0x5E00 + i) for i in range(2000)]
+    text = lambda letters, n: "".join(rng.choice(letters, n, p=1 / np.arange(1, 2001) / (1 / np.arange(1, 2001)).sum()))
+    parser = language_id.CrossParser({"aa": [text(han, 9000)], "bb": [text(kana, 9000)]}, 20000)
+    lang, _ = parser.predict([text(han, 200), text(kana, 200)])
+    assert lang == ["aa", "bb"]
 
 
 def brute_groups(texts):
@@ -257,10 +304,9 @@ def brute_tiles(item, text, least):
 
 def test_tiling_and_leaks(spark, odd, empty):
     rng = np.random.default_rng(3)
-    for _ in range(40):
-        item, text = rng.integers(0, 3, 14).astype(np.uint64), rng.integers(0, 3, 40).astype(np.uint64)
-        covered = lambda tiles: sum(n for *_, n in tiles)
-        assert abs(covered(decontamination.tile(item, text, 3)) - covered(brute_tiles(item.tolist(), text.tolist(), 3))) <= 3
+    for k in range(120):
+        item, text = rng.integers(0, 2 + k % 4, 14 + k % 9).astype(np.uint64), rng.integers(0, 2 + k % 4, 40).astype(np.uint64)
+        assert decontamination.tile(item, text, 3) == brute_tiles(item.tolist(), text.tolist(), 3)
     passage = [f"t{i}" for i in range(40)]
     shuffled = passage[20:] + ["and"] + passage[:20]
     bench = spark.createDataFrame([(1, " ".join(passage)), (2, None), (3, ""), (4, "tiny one")], "item_id long, text string")
@@ -268,6 +314,8 @@ def test_tiling_and_leaks(spark, odd, empty):
     got = {(r.doc_id, r.item_id): r.tiles for r in decontamination.find_leaks(docs, bench).collect()}
     assert got == {(1, 1): 1, (2, 1): 2, (4, 4): 1}
     assert sorted(r.doc_id for r in decontamination.drop_leaks(docs, bench).collect()) == [3, 5, 6]
+    texts = bench.selectExpr("concat('item', item_id) as doc_id", "text", "1 as coverage")  # ids are text, names clash
+    assert {(r.doc_id, r.item_doc_id) for r in decontamination.find_leaks(docs, texts, item_col="doc_id").collect()} == {(1, "item1"), (2, "item1"), (4, "item4")}
     assert decontamination.find_leaks(odd, bench).count() == 0 and decontamination.drop_leaks(odd, bench).count() == 9
     assert decontamination.find_leaks(docs, bench.where("false")).count() == 0 and decontamination.drop_leaks(empty, bench).count() == 0
 

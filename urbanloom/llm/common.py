@@ -65,11 +65,12 @@ def sampled(df: DataFrame, label: str, per_label: int, text: str = "text") -> Da
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, max_chars: int = 50_000, id_col: str = "doc_id", text: str = "text") -> tuple[list[str], list[int], dict[int, int]]:
     """Texts and 0/1 labels of at most ``per_label`` training documents of each label, and how many rows have each label.
 
-    Held-out documents, null labels and, for training only, texts over ``max_chars`` are passed over. The documents
-    are chosen by the hash of their ids, so at most ``2 * per_label`` ids are broadcast to fetch their texts.
+    Held-out documents, null labels and, for training only, texts over ``max_chars`` are passed over before the documents
+    are chosen, by the hash of their ids; so at most ``2 * per_label`` ids are broadcast to fetch their texts.
     """
     usable = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col(id_col))).select(F.col(label).cast("int").alias("_y"), F.col(id_col).alias("_id"), F.xxhash64(id_col).alias("_h"))
     counts = {r["_y"]: r["n"] for r in usable.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    usable = usable.join(docs.where(F.length(text) <= max_chars).select(F.col(id_col).alias("_id")), "_id", "left_semi")
     picks = usable.groupBy("_y", F.pmod("_h", F.lit(per_label)).alias("_b")).agg(F.min(F.struct("_h", "_id")).alias("_m")).select("_y", F.col("_m._id").alias("_id"))
     found = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_t")).where(F.length("_t") <= max_chars).join(F.broadcast(picks), "_id")
     rows = found.groupBy("_id", "_y").agg(F.min("_t").alias("_t")).orderBy("_y", "_id").collect()

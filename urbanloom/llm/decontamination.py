@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -52,45 +53,52 @@ def windows(ids: np.ndarray, n: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+def _matches(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(-words, start in item, start in text) of all matches of at least ``least`` words that can't be made longer.
+
+    Karp-Rabin hashes of the windows of both give the places that may agree, the words themselves decide; neighbours on
+    one diagonal are one match.
+    """
+    of_item, of_text = windows(item, least), windows(text, least)
+    order = np.argsort(of_item, kind="stable")
+    first, last = (np.searchsorted(of_item[order], of_text, side) for side in ("left", "right"))
+    n = last - first
+    j = np.repeat(np.arange(len(of_text)), n)
+    i = order[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    same = np.ones(len(i), bool)
+    for k in range(least):
+        same &= item[i + k] == text[j + k]
+    i, j = i[same], j[same]
+    if not len(i):
+        return []
+    order = np.lexsort((i, j - i))
+    i, j = i[order], j[order]
+    start = np.flatnonzero(np.r_[True, (np.diff(j - i) != 0) | (np.diff(i) != 1)])
+    words = np.diff(np.r_[start, len(i)]) + least - 1
+    return list(zip((-words).tolist(), i[start].tolist(), j[start].tolist()))
+
+
 def tile(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Non-overlapping tiles (start in item, start in text, words), longest first, none under ``least`` words.
 
-    The search length falls by halves from the item's length to ``least``. At each length Karp-Rabin hashes of
-    the unmarked windows give the places where both agree; these grow to maximal unmarked matches, which are
-    marked from the longest down (ties: first in the item, then in the text) until none of the length is left.
+    Always the longest match of unmarked words is marked next (ties: first in the item, then in the text). A match that
+    tiles have cut into is not marked; what is left of it waits for its own length.
     """
     in_item, in_text = np.zeros(len(item), bool), np.zeros(len(text), bool)
     tiles: list[tuple[int, int, int]] = []
-    length = len(item)
-    while length >= least:
-        table: dict[int, list[int]] = {}
-        for i, h in enumerate(windows(item, length).tolist()):
-            if not in_item[i : i + length].any():
-                table.setdefault(h, []).append(i)
-        places = windows(text, length)
-        found = []
-        if table and len(places):
-            at = np.flatnonzero(np.isin(places, np.fromiter(table, np.uint64, len(table))))
-            for j in at.tolist():
-                if in_text[j : j + length].any():
-                    continue
-                for i in table[int(places[j])]:
-                    if (item[i : i + length] != text[j : j + length]).any():
-                        continue
-                    if i and j and item[i - 1] == text[j - 1] and not (in_item[i - 1] or in_text[j - 1]):
-                        continue  # the match that starts one word earlier holds this one
-                    n = length
-                    while i + n < len(item) and j + n < len(text) and item[i + n] == text[j + n] and not (in_item[i + n] or in_text[j + n]):
-                        n += 1
-                    found.append((-n, i, j))
-        marked = False
-        for n, i, j in sorted(found):
-            if not (in_item[i : i - n].any() or in_text[j : j - n].any()):
-                in_item[i : i - n] = in_text[j : j - n] = True
-                tiles.append((i, j, -n))
-                marked = True
-        if not marked:  # else what is left of occluded matches may still reach this length
-            length = least if least < length < 2 * least else length // 2
+    waiting = _matches(item, text, least)
+    heapq.heapify(waiting)
+    while waiting:
+        n, i, j = heapq.heappop(waiting)
+        taken = in_item[i : i - n] | in_text[j : j - n]
+        if not taken.any():
+            in_item[i : i - n] = in_text[j : j - n] = True
+            tiles.append((i, j, -n))
+            continue
+        edge = np.flatnonzero(np.diff(np.r_[True, taken, True].astype(np.int8)))
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            if b - a >= least:
+                heapq.heappush(waiting, (a - b, i + a, j + a))
     return tiles
 
 
@@ -151,9 +159,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     """(id, item_id, coverage, tiles, longest) of every pair of a document and an item whose words tiles cover to ``coverage``.
 
     Words are runs of letters and digits of the lower-cased whole text. Tiles may come in any order, so reordered
-    passages count. Null, empty and wordless texts and items match nothing; repeated rows give their pairs each.
+    passages count. Null, empty and wordless texts and items match nothing; repeated rows give their pairs each, and so do
+    repeated items. Coverage just at the threshold counts. Very long texts are taken whole. Only the named columns are read;
+    where both id columns have one name, the item's is ``item_`` and that name. Empty tables give no rows.
     """
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    item_type = benchmark.limit(0).select(item_col).toArrow().schema.field(0).type
+    out_item = item_col if item_col != id_col else f"item_{item_col}"
 
     def pairs(block: Benchmark) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(block)
@@ -168,9 +180,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
                         found.append(leak)
                 ids = batch.column(0).take(pa.array(rows, pa.int64()))
                 item, share, tiles, longest = zip(*found) if found else ((), (), (), ())
-                yield pa.RecordBatch.from_pydict({id_col: ids, item_col: pa.array(item, pa.int64()), "coverage": pa.array(share, pa.float64()), "tiles": pa.array(tiles, pa.int32()), "longest": pa.array(longest, pa.int32())})
+                yield pa.RecordBatch.from_pydict({id_col: ids, out_item: pa.array(item, item_type), "coverage": pa.array(share, pa.float64()), "tiles": pa.array(tiles, pa.int32()), "longest": pa.array(longest, pa.int32())})
 
-        return docs.select(id_col, text).mapInArrow(run, f"{id_col} {kind}, {item_col} {item_kind}, coverage double, tiles int, longest int")
+        return docs.select(id_col, text).mapInArrow(run, f"{id_col} {kind}, {out_item} {item_kind}, coverage double, tiles int, longest int")
 
     return reduce(DataFrame.unionByName, map(pairs, blocks(benchmark, item_col, item_text)))
 

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from .common import written
 
 #: Levels of a tree, so that a query visits as many leaves however many rows there are; large leaves are compared in blocks.
-LEVELS, LEAF_BLOCK, QUERY_BLOCK = 6, 8000, 2000
+LEVELS, LEAF_BLOCK, QUERY_BLOCK = 7, 8000, 2000
 
 
 class Forest:
@@ -51,7 +51,7 @@ class Forest:
         return out
 
     def search(self, query: np.ndarray, sizes: np.ndarray, want: float) -> list[tuple[int, int]]:
-        """(tree, leaf) in the order of one queue over all trees, by the largest margin crossed, until their sizes reach ``want``."""
+        """(tree, leaf) in the order of one queue over all trees, by the sum of the squared margins crossed, until their sizes reach ``want``."""
         margin = self.normal @ query - self.offset
         inner, queue, found, held = margin.shape[1], [(0.0, t, 0) for t in range(len(margin))], [], 0
         heapq.heapify(queue)
@@ -59,7 +59,7 @@ class Forest:
             crossed, t, node = heapq.heappop(queue)
             while node < inner:
                 right = margin[t, node] > 0
-                heapq.heappush(queue, (max(crossed, abs(margin[t, node])), t, 2 * node + 1 + (not right)))
+                heapq.heappush(queue, (crossed + margin[t, node] ** 2, t, 2 * node + 1 + (not right)))
                 node = 2 * node + 1 + right
             found.append((t, int(node - inner)))
             held += sizes[t, node - inner]
@@ -80,14 +80,16 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & ~odd & F.exists(vector, lambda x: x != 0)
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 5, trees: int = 8, share: float = 0.6, sample: int = 20_000, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int = 5, trees: int = 16, share: float = 0.65, sample: int = 20_000, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): the k nearest other rows of each query row by cosine, nearest first, ties to smaller ids.
 
     Null, zero or non-finite vectors, and vectors of another length than the most common one, take no part. The
     forest is fitted on at most ``sample`` distinct vectors (the bound); every row is indexed. Each query looks at
-    leaves of all trees until their sizes add up to ``share * trees / 4`` of the distinct vectors (the trees' leaves
-    overlap), and at least to 50 (k + 1) vectors a tree, so that small tables are searched whole. Equal vectors are one candidate with its k + 1 smallest ids, which are all that an
-    answer can hold; so a group of copies of any size costs one comparison. Repeated ids count as rows of their own.
+    leaves of all trees until their sizes add up to ``share`` of the distinct vectors and 50 (k + 1) more; as the trees'
+    leaves overlap, that is about half of them for nearly isotropic vectors, which need it. Equal vectors are one
+    candidate with its k + 1 smallest ids, which are all that an answer can hold; so a group of copies of any size costs
+    one comparison. Repeated ids count as rows of their own. Only the two named columns are read; an empty table gives
+    no rows.
     """
     spark, (k1, k2) = rows.sparkSession, ("_k1", "_k2")
     good = rows.where(usable(F.col(vector))).select(F.col(id_col).alias("_id"), F.col(vector).alias("_v"), is_query.alias("_q"))
@@ -116,7 +118,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, trees: int = 8, share:
     sizes = np.zeros((trees, 1 << levels))
     for r in counted.collect():
         sizes[r["tree"], r["leaf"]] = r["n"]
-    plan = spark.sparkContext.broadcast((sizes, max(share * total * max(1, trees / 2) / 2, min(total, 50 * (k + 1)) * trees)))
+    plan = spark.sparkContext.broadcast((sizes, share * total + 50 * (k + 1)))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, want = plan.value

@@ -36,36 +36,34 @@ def even_cuts(sizes: Column, total: Column, shards: Column, capacity: Column) ->
     """Positions at which shards open so that none is over ``capacity`` and each ends as near its even share as that allows.
 
     A fill from the end gives the first position from which the later shards can hold the rest; from there on a
-    shard ends once its even share is reached, and at the capacity anyway.
+    shard ends once it has an even share of what was left when it opened, and at the capacity anyway. Groups of at least
+    an even share of all are left out of these shares, as none of them can be made even.
     """
     back, n, count = _fill(F.reverse(sizes), capacity), shards.cast("int"), F.size(sizes)
     early = F.transform(F.array(F.struct(back.alias("r"), n.alias("n"), count.alias("c"))), lambda x: F.transform(F.sequence(F.lit(0), x.n), lambda k: F.when(k >= x.n, x.c).when(x.n - k < F.size(x.r), x.c - F.get(x.r, x.n - k)).otherwise(0)))[0]
-    zero = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("cur"), F.lit(0).cast("long").alias("sum"), F.array(F.lit(0)).alias("at"), capacity.cast("long").alias("cap"), (total / n).alias("share"), n.alias("n"), early.alias("early"))
+    even = total / n
+    usual = F.aggregate(sizes, F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).alias("h"), even.alias("e")), lambda a, s: F.struct((a.s + F.when(s < a.e, s).otherwise(0)).alias("s"), (a.h + (s >= a.e).cast("int")).alias("h"), a.e.alias("e")))
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("cur"), F.array(F.lit(0)).alias("at"), F.lit(False).alias("hot"), usual.s.alias("rest"), (n - usual.h).alias("left"), capacity.cast("long").alias("cap"), even.alias("even"), n.alias("n"), early.alias("early"))
 
     def step(a: Column, s: Column) -> Column:
-        k = F.size(a["at"])
-        opens = (a.cur + s > a.cap) | ((k < a.n) & (a.cur > 0) & (a.i >= F.get(a.early, k)) & (a.sum + s / 2 > a.share * k))
-        kept = [x.alias(name) for name, x in (("cap", a.cap), ("share", a.share), ("n", a.n), ("early", a.early))]
-        return F.struct((a.i + 1).alias("i"), F.when(opens, s).otherwise(a.cur + s).alias("cur"), (a.sum + s).alias("sum"), F.when(opens, F.concat(a["at"], F.array(a.i))).otherwise(a["at"]).alias("at"), *kept)
+        k, hot = F.size(a["at"]), s >= a.even
+        enough = hot | a.hot | (a.cur + s / 2 > a.rest / F.greatest(a.left, F.lit(1)))
+        opens = (a.cur > 0) & ((a.cur + s > a.cap) | ((k < a.n) & (a.i >= F.get(a.early, k)) & enough))
+        closed = opens & ~a.hot
+        kept = [a[x].alias(x) for x in ("cap", "even", "n", "early")]
+        return F.struct(
+            (a.i + 1).alias("i"), F.when(opens, s).otherwise(a.cur + s).alias("cur"), F.when(opens, F.concat(a["at"], F.array(a.i))).otherwise(a["at"]).alias("at"), F.when(opens, hot).otherwise(a.hot | hot).alias("hot"),
+            F.when(closed, a.rest - a.cur).otherwise(a.rest).alias("rest"), F.when(closed, a.left - 1).otherwise(a.left).alias("left"), *kept)
 
     return F.aggregate(sizes, zero, step, lambda a: a["at"])
 
 
 def partition_groups(groups: DataFrame, shards: int, key: str = "cell", size: str = "bytes") -> DataFrame:
-    """(key, shard) of at most some 10^5 ordered atomic groups: contiguous, with the smallest possible largest shard.
-
-    Groups of at least an even share get a shard each (they bound the capacity anyway); the others, in the order of
-    their keys, are cut at the capacity that the binary search finds for the shards that are left.
-    """
+    """(key, shard) of at most some 10^5 ordered atomic groups: contiguous in their keys' order, with the smallest possible largest shard."""
     one = groups.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(size).cast("long").alias("b")))).alias("all"), F.sum(F.col(size)).cast("long").alias("total"))
-    hot = lambda g: g.b * shards >= F.col("total")
-    one = one.select(F.filter("all", hot).alias("hot"), F.filter("all", lambda g: ~hot(g)).alias("rest"))
-    one = one.select("hot", "rest", F.col("rest.b").alias("sizes"))
-    total, left = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, s: a + s), F.lit(shards) - F.size("hot")
-    one = one.withColumn("starts", even_cuts(F.col("sizes"), total, left, smallest_capacity(F.col("sizes"), total, left)))
-    alone = one.select(F.posexplode("hot")).select(F.col("col.k").alias(key), F.col("pos").alias("shard"))
-    rest = one.select(F.posexplode("rest"), "starts", F.size("hot").alias("h")).select(F.col("col.k").alias(key), (F.col("h") + F.size(F.filter("starts", lambda s: s <= F.col("pos"))) - 1).alias("shard"))
-    return alone.unionByName(rest)
+    one = one.select("all", F.col("all.b").alias("sizes"), "total")
+    one = one.withColumn("starts", even_cuts(F.col("sizes"), F.col("total"), F.lit(shards), smallest_capacity(F.col("sizes"), F.col("total"), F.lit(shards))))
+    return one.select(F.posexplode("all"), "starts").select(F.col("col.k").alias(key), (F.size(F.filter("starts", lambda s: s <= F.col("pos"))) - 1).alias("shard"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -73,7 +71,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
 
     Size: UTF-8 bytes of the text (null: none) plus 8. Rows of equal text stay together; null texts count as one
     group with the empty text and have a null text_crc32. An atomic group is all texts whose md5 starts with the same
-    four hex digits, so the partition works on at most 65536 sizes however large the table is. Slots number the rows
+    four hex digits, so the partition works on at most 65536 sizes however large the table is; against groups of single
+    texts the largest shard can be larger by at most one cell's bytes. Slots number the rows
     of a shard from 0 without gaps, by cell, then a salt of the id, then id, then checksum; repeated rows get a slot
     each. A cell of n rows is numbered in about sqrt(n) salted parts of about sqrt(n) rows, so no hot text meets one
     task. grown_shard is null under this law. An empty table gives no rows.
