@@ -404,6 +404,63 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.where("false"), outcomes).count() == 0
 
 
+def test_url_levels_and_posterior(spark):
+    """Suffixes of two labels, ports, user names and addresses; the posterior against its formula."""
+    hosts = ["a.b.co.uk", "me@x.co.uk:8080", "shop.com", "10.0.0.1:80", "localhost", "", "co.uk", "x.com.evil.net"]
+    suffix, domain = url_filter.name_levels(F.col("host"))
+    got = [(r.s, r.d) for r in spark.createDataFrame([(h,) for h in hosts], "host string").select(suffix.alias("s"), domain.alias("d")).collect()]
+    assert got == [("co.uk", "b.co.uk"), ("co.uk", "x.co.uk"), ("com", "shop.com"), ("ip", "10.0.0.1"), ("localhost", "localhost"), ("", ""), ("uk", "co.uk"), ("net", "evil.net")]
+    rows = [("a.bad.com", 30, 27), ("b.bad.com", 3, 3), ("c.good.com", 40, 2), ("d.good.com", 5, 0), ("e.fair.net", 20, 8), ("new.bad.com", 0, 0), ("new.org", 0, 0)]
+    rated = {r.host: r for r in url_filter.host_reputation(spark.createDataFrame(rows, "host string, n long, bad long")).collect()}
+
+    def level(key):
+        out: dict = {}
+        for h, n, bad in rows:
+            if n:
+                a = out.setdefault(key(h), [0, 0])
+                a[0], a[1] = a[0] + n, a[1] + bad
+        n, y = np.array(list(out.values()), float).T
+        p = y.sum() / n.sum()
+        rho = ((y * y / n).sum() - n.sum() * p * p - p * (1 - p) * (len(n) - 1)) / (p * (1 - p) * (n.sum() - (n * n).sum() / n.sum() - len(n) + 1)) if len(n) > 1 else 0.01
+        return {k: tuple(v) for k, v in out.items()}, 1 / min(max(rho, 0.005), 0.9) - 1, p
+
+    sufs, s1, p = level(lambda h: h.rpartition(".")[2])
+    doms, s2, _ = level(lambda h: h.partition(".")[2])
+    _, s3, _ = level(lambda h: h)
+    for h, n, bad in rows:
+        a = sufs.get(h.rpartition(".")[2])
+        suf = (a[1] + s1 * p) / (a[0] + s1) if a else p
+        b = doms.get(h.partition(".")[2])
+        dom = (b[1] + s2 * suf) / (b[0] + s2) if b else suf
+        rate = (bad + s3 * dom) / (n + s3)
+        assert abs(rated[h].rate - rate) < 1e-9 and rated[h].blocked == (rate - 1.645 * np.sqrt(rate * (1 - rate) / (n + s3 + 1)) > 0.35)
+    assert rated["a.bad.com"].blocked and not rated["c.good.com"].blocked
+
+
+def test_toxicity_gradient():
+    """The likelihood's slope against differences, by one small step of the fit."""
+    rng = np.random.default_rng(0)
+    x = (rng.random((60, 5)) < 0.4).astype(float)
+    grade = np.clip(np.rint(x[:, 0] + x[:, 1] + rng.normal(0.5, 0.9, 60)), 0, 3).astype(int)
+    weight = rng.random(60) + 0.5
+
+    def value(w, t):
+        cut = np.r_[-40, t, 40]
+        below = 1 / (1 + np.exp(-(cut[None] - (x @ w)[:, None])))
+        i = np.arange(60)
+        return (weight * np.log(below[i, grade + 1] - below[i, grade])).sum() / weight.sum() - 0.5e-4 * (w**2).sum()
+
+    model = toxicity.Ordinal()
+    model.fit(x, grade, weight, rounds=3000, rate=0.02)
+    w, t = model.w, model.threshold
+    best = value(w, t)
+    for k in range(5):
+        assert abs(value(w + 1e-4 * np.eye(5)[k], t) - value(w - 1e-4 * np.eye(5)[k], t)) / 2e-4 < 2e-3  # a maximum: no slope is left
+    for k in range(3):
+        assert abs(value(w, t + 1e-4 * np.eye(3)[k]) - value(w, t - 1e-4 * np.eye(3)[k])) / 2e-4 < 2e-3
+    assert best >= value(w * 0.9, t) and best >= value(w, t + 0.2)
+
+
 def test_keep_rows_keeps_columns(spark, odd):
     kept = common.keep_rows(odd, 3, lambda n, texts: [len(t or "") > n for t in texts])
     assert kept.columns == odd.columns and sorted(r.key for r in kept.collect()) == [2, 3, 4, 5, 6, 8]
