@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 next stage's docs. The first four return the columns of their input; rows that they reject are gone. Models are fitted
 on the labelled documents of the corpus itself, within the bounds that their operators state.
+
+In all stages repeated rows are judged each by itself and stay or go together (near duplicates keep all rows of the id that
+stays), null ids are judged as others, very long texts are taken whole, columns may have any other names, and an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,29 +28,29 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is at least 0.7 stay. Null and empty texts are scored as one empty line."""
+    """Documents whose quality score is at least 0.7 stay, a tie at 0.7 with them. Null and empty texts are scored as one empty line. Without labels of both kinds all score 0.5 and go."""
     field = quality.train(docs, _table(spark, sf_dir, "labels"))
     return keep_rows(docs, field, lambda field, texts: field.score(texts) >= QUALITY_LIMIT)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of any toxic grade is under 0.5 stay. Texts without words stay."""
+    """Documents whose probability of any toxic grade is under 0.5 stay. Null, empty and wordless texts stay; without labels of both kinds all do."""
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
     return keep_rows(docs, model, lambda model, texts: model.above(texts)[:, 0] < TOXIC_LIMIT)
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id stays of each group that Jaccard links of 0.8 join. Texts without words stay."""
+    """The document of the smallest id stays of each group that Jaccard links of 0.8 or more join. Null, empty and wordless texts stay."""
     return jaccard_join.keep_first(docs)
 
 
 def leaks_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go. Texts without words stay."""
+    """Documents that hold a benchmark item to the coverage or more go. Null, empty and wordless texts stay; an empty benchmark drops nothing."""
     return decontamination.drop_leaks(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, lossless, ids) of every document that is left."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, lossless, ids) of every document that is left; null and empty texts have no ids."""
     return byte_bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True)
 
 
