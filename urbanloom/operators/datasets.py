@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from .rounds import numbered, ranged, settled
 from .spatial_joins import number_rows
 
 # Role names of the accepted message formats.
@@ -64,52 +65,49 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int | None = None) -> DataFr
         return df.withColumn("copy", F.lit(1))
     whole, rest = divmod(n, total)
     first = F.col(key) if seed is None else seeded_order(df, key, seed)
-    out = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(whole)))) if whole else None
-    if rest or out is None:
-        part = df.orderBy(first, key).limit(rest).withColumn("copy", F.lit(whole + 1))
-        out = part if out is None else out.unionByName(part)
-    return out
+    ranked = numbered(df.withColumn("_h", first), ["_h", key], "_r")
+    return ranked.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.col("_r") < rest, whole + 1).otherwise(whole), F.lit(1)))).where(F.col("copy") >= 1).drop("_h", "_r") if whole else ranked.where(F.col("_r") < rest).withColumn("copy", F.lit(1)).drop("_h", "_r")
 
 
 def train_val_split(df: DataFrame, ratio: float, key: str, seed: int = 0) -> DataFrame:
     """The rows with ``split``: exactly max(1, floor(n * ratio)) rows by seeded hash are val (all if ratio is 1)."""
-    ranked = number_rows(df.withColumn("_h", seeded_order(df, key, seed)), ["_h", key], 0).withColumnRenamed("id", "_r")
+    ranked = numbered(df.withColumn("_h", seeded_order(df, key, seed)), ["_h", key], "_r")
     n = df.count()
     val = n if ratio >= 1 else max(1, int(n * ratio)) if ratio > 0 else 0
     return ranked.withColumn("split", F.when(F.col("_r") < val, "val").otherwise("train")).drop("_h", "_r")
 
 
 def interleave(sources: list[DataFrame], shares: list[float], key: str, seed: int = 0, until: str = "first") -> DataFrame:
-    """(draw, source, rows): a seeded draw of a source for each place; its rows in key order; ends when the first (or all) run out."""
-    total = sum(shares)
-    cut = [sum(shares[: i + 1]) / total for i in range(len(shares))]
-    sizes = [s.count() for s in sources]
-    places = int(max(n / (w / total) for n, w in zip(sizes, shares) if w > 0) * 1.5) + 100
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
-    pick = F.lit(len(cut) - 1)
-    for i in range(len(cut) - 2, -1, -1):
-        pick = F.when(u < cut[i], i).otherwise(pick)
-    spark = sources[0].sparkSession
-    draws = spark.range(places).select(F.col("id").alias("draw"), pick.alias("source"))
-    blocks = draws.withColumn("_b", F.floor(F.col("draw") / 4096))
-    start = blocks.groupBy("source", "_b").count()
-    start = start.select("source", "_b", (F.sum("count").over(Window.partitionBy("source").orderBy("_b")) - F.col("count")).alias("_s"))
-    kth = blocks.withColumn("_k", F.row_number().over(Window.partitionBy("source", "_b").orderBy("draw"))).join(start, ["source", "_b"]).select("draw", "source", (F.col("_s") + F.col("_k") - 1).alias("k"))
-    rows = None
-    for i, s in enumerate(sources):
-        numbered = number_rows(s.withColumn("_o", F.col(key)), ["_o"], 0).withColumnRenamed("id", "k").drop("_o").withColumn("source", F.lit(i)) if "id" not in s.columns else None
-        rows = numbered if rows is None else rows.unionByName(numbered, allowMissingColumns=True)
-    out = kth.join(rows, ["source", "k"])
+    """The rows of all sources with ``source`` and ``draw``: each place draws a source by its share; a source's rows come in key order.
+
+    A source's rows arrive with seeded exponential gaps whose rate is its share, so the next arrival over all sources is
+    of each with the odds of its share. ``until``: ``first`` ends with the last row of the source that runs out first,
+    ``all`` gives every row. Sources of share 0 give none.
+    """
+    total, united = sum(shares), None
+    for i, (df, share) in enumerate(zip(sources, shares)):
+        if share <= 0:
+            continue
+        rows = ranged(df.withColumn("_k", F.col(key)), ["_k"])
+        u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(i), F.col("_k")), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
+        rows = rows.withColumn("_g", -F.log(u) * (total / share))
+        held = rows.groupBy("_b").agg(F.sum("_g").alias("_t"))
+        starts = held.select("_b", (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_s"))  # a row a range
+        arrived = F.sum("_g").over(Window.partitionBy("_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumn("_a", arrived).join(F.broadcast(starts), "_b").withColumn("_a", F.col("_a") + F.col("_s")).drop("_b", "_g", "_s", "_k").withColumn("source", F.lit(i))
+        united = rows if united is None else united.unionByName(rows, allowMissingColumns=True)
+    if united is None:
+        return sources[0].where("false").withColumn("source", F.lit(0)).withColumn("draw", F.lit(0).cast("long"))
+    united = settled(united)
     if until == "first":
-        ends = out.groupBy("source").agg(F.max("draw").alias("last"), F.count(F.lit(1)).alias("n")).agg(F.min("last").alias("stop"))
-        out = out.where(F.col("draw") <= ends.select("stop").scalar())
-    return out
+        stop = united.groupBy("source").agg(F.max("_a").alias("last")).agg(F.min("last").alias("stop"))
+        united = united.where(F.col("_a") <= stop.select("stop").scalar())
+    return numbered(united, ["_a", "source"], "draw").drop("_a")
 
 
 def shard_batches(df: DataFrame, key: str, batch: int, drop_last: bool = False) -> DataFrame:
     """The rows with ``batch_id``: consecutive batches of ``batch`` rows by key."""
-    numbered = df.withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)) - 1)
-    out = numbered.withColumn("batch_id", F.floor(F.col("_r") / batch)).drop("_r")
+    out = numbered(df, [key], "_r").withColumn("batch_id", F.floor(F.col("_r") / batch)).drop("_r")
     if not drop_last:
         return out
     full = out.groupBy("batch_id").count().where(F.col("count") == batch).select("batch_id")
@@ -117,9 +115,28 @@ def shard_batches(df: DataFrame, key: str, batch: int, drop_last: bool = False)
 
 
 def mismatched_pairs(df: DataFrame, batch: str, order: str, answer: str) -> DataFrame:
-    """The rows with ``other``: the previous row's answer in the batch; the first takes the last one's."""
-    w = Window.partitionBy(batch)
-    return df.withColumn("other", F.coalesce(F.lag(answer).over(w.orderBy(order)), F.max_by(answer, order).over(w)))
+    """The rows with ``other``: the previous row's answer in the batch; the first takes the last one's. Large batches are split into ranges."""
+    rows = ranged(df, [batch, order])
+    ends = rows.groupBy(batch, "_b").agg(F.max_by(F.struct(F.col(answer).alias("a")), order).alias("_e"))
+    w = Window.partitionBy(batch).orderBy("_b")
+    ends = ends.select(batch, "_b", F.coalesce(F.lag("_e").over(w), F.last("_e").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_e"))
+    before = F.lag(F.struct(F.col(answer).alias("a"))).over(Window.partitionBy(batch, "_b").orderBy(order))
+    return rows.withColumn("_l", before).join(ends, [batch, "_b"]).withColumn("other", F.coalesce("_l", "_e").a).drop("_l", "_e", "_b")
+
+
+def random_k(df: DataFrame, cell: str, key: str, k: int = 3, seed: int = 0) -> DataFrame:
+    """At most k rows of each cell, by the seeded hash of the key."""
+    place = F.row_number().over(Window.partitionBy(cell).orderBy(seeded_order(df, key, seed), key))
+    return df.withColumn("_r", place).where(F.col("_r") <= k).drop("_r")
+
+
+def union_all(sources: list[DataFrame]) -> DataFrame:
+    """All rows of all sources with ``source``, the number of theirs."""
+    out = None
+    for i, df in enumerate(sources):
+        one = df.withColumn("source", F.lit(i))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
 
 
 def sample_negatives(df: DataFrame, key: str, answer: str, k: int = 7, buckets: int = 64, seed: int = 0) -> DataFrame:
@@ -192,3 +209,16 @@ def windowed_dialogues(rows: DataFrame, key: str, order: str, starts: Column) ->
     """The rows with ``dialogue``: a running count of starts in order within each key."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("dialogue", F.sum(F.when(starts, 1).otherwise(0)).over(w))
+
+
+def first_of_text(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, copies): the smallest key of each text; rows without text all stay."""
+    same = df.where(F.col(text).isNotNull()).groupBy(text).agg(F.min(key).alias(key), F.count(F.lit(1)).alias("copies")).select(key, "copies")
+    return same.unionByName(df.where(F.col(text).isNull()).select(key, F.lit(1).cast("long").alias("copies")))
+
+
+def fill_by_mode(df: DataFrame, name: str, value: str) -> DataFrame:
+    """The rows whose missing values are those that their name has most often, ties to the smallest."""
+    n = df.where(F.col(value).isNotNull()).groupBy(name, value).agg(F.count(F.lit(1)).alias("_n"))
+    mode = n.groupBy(name).agg(F.min(F.struct((-F.col("_n")).alias("m"), F.col(value).alias("v"))).alias("_m")).select(name, F.col("_m.v").alias("_v"))
+    return df.join(mode, name, "left").withColumn(value, F.coalesce(value, "_v")).drop("_v")

@@ -181,8 +181,8 @@ def local_morans(values: DataFrame, edges: DataFrame) -> DataFrame:
 
 def distance_weights(edges: DataFrame, key: str = "graph", distance: str = "distance") -> DataFrame:
     """The edges with ``weight``: (max - d) / (max - min + 1e-8) in each graph."""
-    w = Window.partitionBy(key)
-    return edges.withColumn("weight", (F.max(distance).over(w) - F.col(distance)) / (F.max(distance).over(w) - F.min(distance).over(w) + 1e-8))
+    ends = edges.groupBy(key).agg(F.max(distance).alias("_hi"), F.min(distance).alias("_lo"))
+    return edges.join(ends, key).withColumn("weight", (F.col("_hi") - F.col(distance)) / (F.col("_hi") - F.col("_lo") + 1e-8)).drop("_hi", "_lo")
 
 
 def edge_lookup(pairs: DataFrame, edges: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from urbanloom.functions import spatial as S
@@ -21,7 +22,7 @@ def plain_name(name: Column) -> Column:
     return F.when(F.element_at(words, -1).isin(*SUFFIXES), F.array_join(F.slice(words, F.lit(1), F.size(words) - 1), " ")).otherwise(F.trim(F.lower(name)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
 

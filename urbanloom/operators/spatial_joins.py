@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from urbanloom.functions import spatial as S
 
+from .rounds import numbered
+
 
 def _axis(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long"))
@@ -31,17 +33,25 @@ def segments_of(vertices: DataFrame, id_col: str = "id") -> DataFrame:
     return rows.where(F.col("x2").isNotNull())
 
 
-def nearest_line(points: DataFrame, segments: DataFrame, radius_m: float = 100.0, point_id: str = "id", line_id: str = "id", max_lat: float = 60.0) -> DataFrame:
+#: No degree of latitude has fewer metres.
+LEAST_PER_DEGREE = 111_000.0
+
+
+def _longitude_reach(reach: float, lat: Column) -> Column:
+    """Degrees of longitude that so many of latitude are at most, up to a latitude and what is reached beyond it."""
+    return F.lit(reach) / F.greatest(F.cos(F.radians(F.least(F.abs(lat) + reach, F.lit(90.0)))), F.lit(1e-3))
+
+
+def nearest_line(points: DataFrame, segments: DataFrame, radius_m: float = 100.0, point_id: str = "id", line_id: str = "id") -> DataFrame:
     """(point_id, line_id, distance_m, foot_lon, foot_lat): the nearest line of each point within a radius; others are left out.
 
-    Segments go to the cells of their box grown by the radius, points to their own cell; each pair is measured at the
-    foot of the planar projection. Ties go to the smaller line id.
+    Segments go to the cells of their box grown by the radius, in longitude by what it is at their own latitude; points go to
+    their own cell. Each pair is measured at the foot of the planar projection. Ties go to the smaller line id.
     """
-    import math
-
-    reach = radius_m / S.METRES_PER_DEGREE / math.cos(math.radians(max_lat))
+    reach = radius_m / LEAST_PER_DEGREE
     seg = segments.select(F.col(line_id).alias("line_id"), "x1", "y1", "x2", "y2")
-    seg = in_cells(seg, F.least("x1", "x2") - reach, F.least("y1", "y2") - reach, F.greatest("x1", "x2") + reach, F.greatest("y1", "y2") + reach, 2 * reach)
+    wide = _longitude_reach(reach, F.greatest(F.abs("y1"), F.abs("y2")))
+    seg = in_cells(seg, F.least("x1", "x2") - wide, F.least("y1", "y2") - reach, F.greatest("x1", "x2") + wide, F.greatest("y1", "y2") + reach, 2 * reach)
     pts = points.select(F.col(point_id).alias("point_id"), "lon", "lat").withColumn("cx", F.floor(F.col("lon") / (2 * reach)).cast("long")).withColumn("cy", F.floor(F.col("lat") / (2 * reach)).cast("long"))
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     norm = dx * dx + dy * dy
@@ -87,7 +97,7 @@ def crossing_nodes(merged: DataFrame, names: DataFrame, first_id: int) -> DataFr
     named = exploded.groupBy(*keys, "type", "n_streets", "lon", "lat").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.coalesce("street_name", F.col("street").cast("string")).alias("n")))), lambda s: s.n).alias("names"))
     label = F.concat(F.when(F.col("type") == "crossing", "Crossing_").otherwise("Complex_Crossing_"), F.array_join(F.slice("names", 1, 3), "_"))
     address = F.concat(F.lit("Intersection of "), F.array_join("names", " and "))
-    return number_rows(named.select("kx", "ky", label.alias("name"), "type", address.alias("address"), "lon", "lat"), ["kx", "ky"], first_id).drop("kx", "ky")
+    return numbered(named.select("kx", "ky", label.alias("name"), "type", address.alias("address"), "lon", "lat"), ["kx", "ky"], "id", first_id).drop("kx", "ky")
 
 
 def number_rows(df: DataFrame, order: list[str], first: int, buckets: int = 64) -> DataFrame:
@@ -162,8 +172,9 @@ def boundary_kind(pairs: DataFrame, vertices: DataFrame, rings: DataFrame) -> Da
 
 def radius_nodes(centres: DataFrame, nodes: DataFrame, radius_m: float = 500.0) -> DataFrame:
     """(centre_id, id, distance_m): nodes within a radius of each centre, by a cell join and the exact distance."""
-    reach = radius_m / 111_000.0 * 2
+    reach = radius_m / LEAST_PER_DEGREE
+    wide = _longitude_reach(reach, F.col("clat"))
     at = lambda df, k: df.withColumn("cx", F.floor(F.col("lon") / reach).cast("long")).withColumn("cy", F.floor(F.col("lat") / reach).cast("long"))
-    c = in_cells(centres.select(F.col("id").alias("centre_id"), F.col("lon").alias("clon"), F.col("lat").alias("clat")), F.col("clon") - reach, F.col("clat") - reach, F.col("clon") + reach, F.col("clat") + reach, reach)
+    c = in_cells(centres.select(F.col("id").alias("centre_id"), F.col("lon").alias("clon"), F.col("lat").alias("clat")), F.col("clon") - wide, F.col("clat") - reach, F.col("clon") + wide, F.col("clat") + reach, reach)
     pairs = c.join(at(nodes.select("id", "lon", "lat"), "n"), ["cx", "cy"]).withColumn("distance_m", S.haversine_m(F.col("clon"), F.col("clat"), F.col("lon"), F.col("lat")))
     return pairs.where(F.col("distance_m") <= radius_m).select("centre_id", "id", "distance_m")

@@ -38,15 +38,16 @@ def i12_classification_prompt(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.element_at(F.array(F.lit("bad"), F.lit("good")), F.col("quality") + 1).alias("answer"), F.length(prompt).alias("chars"))
 
 
-@query("SELECT doc_id, 1 AS copy FROM documents UNION ALL SELECT doc_id, 2 FROM documents UNION ALL (SELECT doc_id, 3 FROM documents ORDER BY doc_id LIMIT (SELECT 2500 - 2 * count(*) FROM documents))")
+@query("SELECT doc_id, 1 AS copy FROM documents UNION ALL SELECT doc_id, 2 FROM documents UNION ALL (SELECT doc_id, 3 FROM documents ORDER BY doc_id LIMIT (SELECT count(*) * 5 // 2 - 2 * count(*) FROM documents))")
 def i32_sample_with_replication(spark: SparkSession, d: str) -> DataFrame:
-    """Two copies of a table of 1000 rows and its first 500 (I32); the size is the operator's argument."""
+    """Two copies of a table and its first half (I32); the size is the operator's argument."""
     docs = table(spark, d, "documents").select("doc_id")
-    return D.sample_n(docs, 2500, "doc_id") if docs.count() == 1000 else D.sample_n(docs, docs.count() * 5 // 2, "doc_id")
+    return D.sample_n(docs, docs.count() * 5 // 2, "doc_id")
 
 
-@query()
+@query("SELECT CASE WHEN v THEN 'val' ELSE 'train' END AS split, CASE WHEN v THEN count(*) // 10 ELSE count(*) - count(*) // 10 END AS count FROM documents, (VALUES (true), (false)) s(v) GROUP BY v")
 def i33_train_val_split(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows each part has (I33); the rows themselves are picked by a hash and tested."""
     return D.train_val_split(table(spark, d, "documents").select("doc_id"), 0.1, "doc_id").groupBy("split").count()
 
 
@@ -89,10 +90,11 @@ def g4_ema_debiased(spark: SparkSession, d: str) -> DataFrame:
     return s.select("path", F.round(last, 5).alias("ema"))
 
 
-@query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text")
+@query("WITH t AS (SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN text END AS text FROM documents) SELECT min(doc_id) AS doc_id, count(*) AS copies FROM t WHERE text IS NOT NULL GROUP BY text UNION ALL SELECT doc_id, 1 FROM t WHERE text IS NULL")
 def g9_dedupe_by_text(spark: SparkSession, d: str) -> DataFrame:
-    """The first row of each text."""
-    return table(spark, d, "documents").where("text is not null").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).drop("text")
+    """The first row of each text; rows without text, here a ninth, all stay."""
+    t = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 9 != 0, F.col("text")).alias("text"))
+    return D.first_of_text(t, "doc_id", "text")
 
 
 @query("SELECT user_id AS path, name, min(pos) AS first_pos FROM (SELECT path AS user_id, name, pos FROM steps) GROUP BY ALL")
@@ -148,11 +150,34 @@ def b17_rewrite_paths(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("page_id", T.rewrite_paths(F.array("url"), "https://data/")[0].alias("path"), T.image_key(F.col("url")).alias("key"))
 
 
-@query("SELECT name AS street, mode_type AS type FROM (SELECT p_brand AS name, arg_min(p_type, (-n, p_type)) AS mode_type FROM (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL) GROUP BY p_brand)")
+@query("WITH t AS (SELECT p_partkey AS id, p_brand AS name, CASE WHEN p_partkey % 4 <> 0 THEN p_type END AS type FROM part), m AS (SELECT name, arg_min(type, (-n, type)) AS mode FROM (SELECT name, type, count(*) AS n FROM t WHERE type IS NOT NULL GROUP BY ALL) GROUP BY name) SELECT id, name, coalesce(type, mode) AS type FROM t LEFT JOIN m USING (name)")
 def b13_fill_type_by_name(spark: SparkSession, d: str) -> DataFrame:
-    """The most frequent type of each name, ties to the smallest."""
-    n = table(spark, d, "part").groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"))
-    return n.groupBy("p_brand").agg(F.min(F.struct((-F.col("n")).alias("m"), "p_type")).alias("x")).select(F.col("p_brand").alias("street"), F.col("x.p_type").alias("type"))
+    """Missing types, here a quarter, filled with the most frequent one of the name, ties to the smallest."""
+    t = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("name"), F.when(F.col("p_partkey") % 4 != 0, F.col("p_type")).alias("type"))
+    return D.fill_by_mode(t, "name", "type").select("id", "name", "type")
+
+
+@query("SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 64) AS BIGINT) AS batch_id FROM documents")
+def i38_shard_batches(spark: SparkSession, d: str) -> DataFrame:
+    return D.shard_batches(table(spark, d, "documents").select("doc_id"), "doc_id", 64)
+
+
+@query("SELECT 0 AS source, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM documents UNION ALL SELECT 1, count(*), min(doc_id), max(doc_id) FROM labels")
+def i34_interleave(spark: SparkSession, d: str) -> DataFrame:
+    """Two sources in seeded turns until all rows are drawn (I34); the draws are tested against brute force."""
+    rows = D.interleave([table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id")], [0.7, 0.3], "doc_id", 3, "all")
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+
+
+@query("SELECT cell, least(count(*), 3) AS n FROM (SELECT user_id AS cell FROM events) GROUP BY cell")
+def e34_random_k_per_cell(spark: SparkSession, d: str) -> DataFrame:
+    """How many images each cell keeps, three at most, which is the feature."""
+    return D.random_k(table(spark, d, "events").select(F.col("user_id").alias("cell"), "event_id"), "cell", "event_id").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 0 AS source, doc_id FROM documents UNION ALL SELECT 1, doc_id FROM labels")
+def g11_union_all(spark: SparkSession, d: str) -> DataFrame:
+    return D.union_all([table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id")]).select("source", "doc_id")
 
 
 @query("SELECT id, 'Name: ' || name || ', Category: ' || category || ', Coordinates: (' || printf('%.6f', lon) || ', ' || printf('%.6f', lat) || ')' AS node_text FROM points")

@@ -57,9 +57,10 @@ def b11_display_name(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", T.display_name(F.col("name"), none, none, none, F.col("category"), F.col("id")).alias("display"))
 
 
-@query("SELECT id, 'Intersection of ' || category || ' and ' || name AS label FROM points WHERE category NOT LIKE '%\\_%'")
+@query("WITH p AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'two_words' ELSE category END || '_' || name AS x FROM points) SELECT id, 'Intersection of ' || split_part(x, '_', 1) || ' and ' || substr(x, instr(x, '_') + 1) AS label FROM p")
 def b12_crossing_rename(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "points").where(~F.col("category").contains("_"))
+    """Names of crossings; those of even ids have underscores of their own."""
+    p = table(spark, d, "points").withColumn("category", F.when(F.col("id") % 2 == 0, "two_words").otherwise(F.col("category")))
     return p.select("id", T.crossing_name(F.concat_ws("_", F.lit("Crossing"), "category", "name")).alias("label"))
 
 
@@ -92,10 +93,10 @@ def b33_drop_edges_of_nodes(spark: SparkSession, d: str) -> DataFrame:
     return e.join(gone, e.id1 == gone.n, "left_anti").join(gone, e.id2 == gone.n, "left_anti")
 
 
-@query("""SELECT e.id1, e.id2, e.type FROM edges_sparse e JOIN part a ON 2000000 + a.p_partkey = e.id1 JOIN part b ON 2000000 + b.p_partkey = e.id2 WHERE NOT (e.type = 'crossing' AND a.p_brand = b.p_brand)""")
+@query("""SELECT e.id1, e.id2, e.type FROM edges_sparse e LEFT JOIN part a ON 2000000 + a.p_partkey = e.id1 AND a.p_size % 5 <> 0 LEFT JOIN part b ON 2000000 + b.p_partkey = e.id2 AND b.p_size % 5 <> 0 WHERE NOT coalesce(e.type = 'crossing' AND a.p_brand = b.p_brand, false)""")
 def b34_drop_same_name_crossings(spark: SparkSession, d: str) -> DataFrame:
-    """Crossing edges between equal names removed; other types and missing names stay."""
-    names = lambda c: table(spark, d, "part").select((F.col("p_partkey") + 2000000).alias(c), F.col("p_brand").alias(f"{c}_name"))
-    e = table(spark, d, "edges_sparse").join(names("id1"), "id1").join(names("id2"), "id2")
+    """Crossing edges between equal names removed; other types and missing names, here a fifth, stay."""
+    names = lambda c: table(spark, d, "part").where("p_size % 5 <> 0").select((F.col("p_partkey") + 2000000).alias(c), F.col("p_brand").alias(f"{c}_name"))
+    e = table(spark, d, "edges_sparse").join(names("id1"), "id1", "left").join(names("id2"), "id2", "left")
     same = (F.col("type") == "crossing") & T.blank_to_null(F.col("id1_name")).isNotNull() & (F.col("id1_name") == F.col("id2_name"))
     return e.where(~F.coalesce(same, F.lit(False))).select("id1", "id2", "type")

@@ -27,7 +27,7 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _nearest(spark: SparkSession, d: str) -> DataFrame:
-    return J.nearest_line(table(spark, d, "images"), _segments(spark, d), 100.0, max_lat=2.0)
+    return J.nearest_line(table(spark, d, "images"), _segments(spark, d), 100.0)
 
 
 @query(NEAREST + f"SELECT direction, count(*) AS n, round(avg(d), 3) AS mean_m FROM (SELECT d, {DIRECTION} AS direction FROM (SELECT d, (degrees({bear('px', 'py', 'fx', 'fy')}) + 360) % 360 AS b FROM best)) GROUP BY direction")
@@ -49,20 +49,20 @@ def d1_street_crossings(spark: SparkSession, d: str) -> DataFrame:
     return c.select("line1", "line2", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
-@query(f"""WITH seg AS ({SEGMENTS}), c AS ({CROSSINGS}), m AS (SELECT list_distinct(flatten(list([line1, line2]))) AS s FROM c GROUP BY round(lon, 8), round(lat, 8))
-SELECT CASE WHEN len(s) > 2 THEN 'complex_crossing' ELSE 'crossing' END AS type, CAST(len(s) AS INT) AS n_streets, count(*) AS n FROM m GROUP BY 1, 2""")
+@query(f"""WITH seg AS ({SEGMENTS}), c AS ({CROSSINGS}), m AS (SELECT list_sort(list_distinct(flatten(list([line1, line2])))) AS s FROM c GROUP BY round(lon, 8), round(lat, 8))
+SELECT CASE WHEN len(s) > 2 THEN 'complex_crossing' ELSE 'crossing' END AS type, CAST(len(s) AS INT) AS n_streets, list_aggregate(s, 'string_agg', '-') AS streets FROM m""")
 def d2_merge_crossings(spark: SparkSession, d: str) -> DataFrame:
-    return J.merge_crossings(J.street_crossings(_segments(spark, d))).groupBy("type", "n_streets").agg(F.count(F.lit(1)).alias("n"))
+    return J.merge_crossings(J.street_crossings(_segments(spark, d))).select("type", "n_streets", F.array_join("streets", "-").alias("streets"))
 
 
 @query(f"""WITH seg AS ({SEGMENTS}), c AS ({CROSSINGS}), m AS (SELECT list_sort(list_distinct(flatten(list([line1, line2])))) AS s FROM c GROUP BY round(lon, 8), round(lat, 8)),
 n AS (SELECT id, name FROM street_vertices GROUP BY id, name)
-SELECT count(*) AS n, sum(length((SELECT string_agg(n.name, ' and ') FROM n WHERE list_contains(s, n.id)))) AS name_chars, 5000000 AS first_id, 5000000 + count(*) - 1 AS last_id FROM m""")
+SELECT CASE WHEN len(s) > 2 THEN 'Complex_Crossing_' ELSE 'Crossing_' END || list_aggregate(list_slice(ns, 1, 3), 'string_agg', '_') AS name, 'Intersection of ' || list_aggregate(ns, 'string_agg', ' and ') AS address, count(*) AS n
+FROM (SELECT any_value(s) AS s, list(n.name ORDER BY x) AS ns FROM (SELECT k, s, unnest(s) AS x FROM (SELECT row_number() OVER () AS k, s FROM m)) JOIN n ON n.id = x GROUP BY k) GROUP BY 1, 2""")
 def d3_add_crossing_nodes(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "street_vertices").select("id", "name").distinct()
     nodes = J.crossing_nodes(J.merge_crossings(J.street_crossings(_segments(spark, d))), names, 5_000_000)
-    chars = F.length("address") - len("Intersection of ")
-    return nodes.agg(F.count(F.lit(1)).alias("n"), F.sum(chars).alias("name_chars"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    return nodes.groupBy("name", "address").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH seg AS ({SEGMENTS}), c AS ({CROSSINGS}), o AS (SELECT line1 AS street, line1 * 10000000 + line2 AS id, lon, lat FROM c UNION ALL SELECT line2, line1 * 10000000 + line2, lon, lat FROM c)

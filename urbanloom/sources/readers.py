@@ -53,7 +53,7 @@ def parse_spec(spec: str) -> tuple[str | None, str, list[str], int | None]:
     """(hub, path, subsets, rows) of ``[hub::]path[:sub1/sub2][#n]``."""
     hub, _, rest = spec.rpartition("::")
     rest, _, n = rest.partition("#")
-    path, _, subsets = rest.partition(":")
+    path, subsets = re.fullmatch(r"((?:\w+:/+)?[^:]*)(?::(.*))?", rest, re.S).groups()
     return hub or None, path, subsets.split("/") if subsets else [], int(n) if n else None
 
 
@@ -107,3 +107,63 @@ def safe_rename(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 def city_of(path: str) -> str | None:
     found = re.search(r"(newyork|singapore)", path.lower())
     return found[1] if found else None
+
+
+def _read_or_none(spark: SparkSession, path: str, read) -> DataFrame | None:
+    from pyspark.errors import AnalysisException
+
+    try:
+        return read(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def read_city_layers(spark: SparkSession, folder: str, properties: str, layers: tuple[str, ...] = ("area_pois", "point_pois", "roads")) -> dict[str, DataFrame | None]:
+    """The layers of a city: each from its Parquet table, else its GeoJSON file, else None."""
+    out = {}
+    for layer in layers:
+        found = _read_or_none(spark, f"{folder}/{layer}.parquet", spark.read.parquet)
+        out[layer] = found if found is not None else _read_or_none(spark, f"{folder}/{layer}.geojson", lambda p: read_geojson(spark, p, properties))
+    return out
+
+
+def read_side_attributes(lines: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """(key, value) from JSON lines (``order``, ``value``): the last value that is not null of each key wins; other lines are passed over."""
+    raw = lines.select(order, F.get_json_object("value", f"$.{key}").alias(key), F.get_json_object("value", f"$.{value}").try_cast("double").alias("_v"))
+    return raw.where(F.col(key).isNotNull() & F.col("_v").isNotNull()).groupBy(key).agg(F.max_by("_v", order).alias(value))
+
+
+def dataset_catalogue(spark: SparkSession, entries: list[dict]) -> DataFrame:
+    """(name, path, subsets, split, columns, tags, function) of registered datasets; a name given twice is an error."""
+    names = [e["name"] for e in entries]
+    if len(names) != len(set(names)):
+        raise ValueError("a dataset is registered twice")
+    rows = [(e["name"], e["path"], e.get("subsets", []), e.get("split", "train"), e.get("columns", {}), e.get("tags", []), e.get("function")) for e in entries]
+    return spark.createDataFrame(rows, "name string, path string, subsets array<string>, split string, columns map<string,string>, tags array<string>, function string")
+
+
+def load_registered(spark: SparkSession, catalogue: DataFrame, name: str, functions: dict | None = None) -> DataFrame:
+    """A dataset of the catalogue, its columns renamed, run through its own function of rows where it names one."""
+    row = catalogue.where(F.col("name") == name).first()
+    if row is None:
+        raise KeyError(name)
+    df = safe_rename(read_dataset(spark, row["path"]), row["columns"])
+    return functions[row["function"]](df) if row["function"] else df
+
+
+def write_subgraphs(nodes: DataFrame, edges: DataFrame, folder: str, buckets: int = 64) -> None:
+    """Node and edge tables of subgraphs, partitioned by a hash bucket of ``graph``, so a graph is read from one bucket."""
+    for name, df in (("subgraph_nodes", nodes), ("subgraph_edges", edges)):
+        df.withColumn("bucket", F.pmod(F.xxhash64("graph"), F.lit(buckets)).cast("int")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/{name}")
+
+
+def materialise(train: DataFrame, val: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Both parts of a dataset on disk, and read again; what is there already is read only."""
+    spark, out = train.sparkSession, []
+    for name, df in (("train", train), ("val", val)):
+        path = f"{folder}/{name}"
+        df.write.mode("ignore").parquet(path)
+        out.append(spark.read.parquet(path))
+    return out[0], out[1]

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urbanloom.operators.rounds import numbered
+
 
 def stream_dataset(spark: SparkSession, folder: str, schema: str, files: int = 1) -> DataFrame:
     """A folder of Parquet files read file by file."""
@@ -27,8 +29,15 @@ def incremental_job(source: DataFrame, transform: Callable[[DataFrame], DataFram
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+    from pyspark.errors import AnalysisException
+
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return False
+    return True
 
 
 def buffer_shuffle(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
@@ -39,3 +48,26 @@ def buffer_shuffle(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
 def stream_counts(stream: DataFrame, time: str, key: str, window: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Counts by event-time window and key, with a watermark."""
     return stream.withWatermark(time, late).groupBy(F.window(time, window), key).agg(F.count(F.lit(1)).alias("n"))
+
+
+def take_split(source: DataFrame, out: str, checkpoint: str, key: str, take: int | None = None, ratio: float = 0.0) -> None:
+    """The first ``take`` rows of a stream, in the order of micro-batches and the key within them: the first floor(take * ratio) as val, the rest as train.
+
+    A batch that runs again overwrites its own part, so nothing is counted twice. A ratio between 0 and 1 needs ``take``.
+    """
+    if 0 < ratio < 1 and take is None:
+        raise ValueError("a share for validation needs the number of rows to take")
+    spark = source.sparkSession
+    val = int((take or 0) * ratio) if ratio < 1 else take
+
+    def run(batch: DataFrame, number: int) -> None:
+        before = 0
+        if _exists(spark, out):
+            before = spark.read.parquet(out).where(F.col("batch") < number).count()
+        rows = numbered(batch, [key], "_r", before)
+        if take is not None:
+            rows = rows.where(F.col("_r") < take)
+        split = F.when(F.lit(ratio >= 1) | (F.col("_r") < (val or 0)), "val").otherwise("train")
+        rows.withColumn("split", split).withColumn("batch", F.lit(number)).drop("_r").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+
+    source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
