@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
-from pyspark.sql.window import Window
 
 from urbanloom.functions import spatial as S
 

@@ -152,8 +152,11 @@ def f11_edge_type_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "edges_sparse").groupBy(F.coalesce("type", F.lit("unknown")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""WITH i AS (SELECT CAST(CAST(floor(lon * 100) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(floor(lat * 100) AS BIGINT) AS VARCHAR) AS cell, id, lon, lat FROM images),
+a AS (SELECT cell, min(id) AS id, arg_min(lon, id) AS x, arg_min(lat, id) AS y FROM i GROUP BY cell), r1 AS (SELECT i.cell, i.id, lon, lat, sqrt(pow(lon - x, 2) + pow(lat - y, 2)) AS far FROM i JOIN a ON a.cell = i.cell AND a.id <> i.id),
+b AS (SELECT cell, arg_min(id, (-far, id)) AS id, arg_min(lon, (-far, id)) AS x, arg_min(lat, (-far, id)) AS y FROM r1 GROUP BY cell), r2 AS (SELECT r1.cell, r1.id, least(far, sqrt(pow(lon - x, 2) + pow(lat - y, 2))) AS far FROM r1 JOIN b ON b.cell = r1.cell AND b.id <> r1.id),
+c AS (SELECT cell, arg_min(id, (-far, id)) AS id FROM r2 GROUP BY cell) SELECT cell, id, 1 AS round FROM a UNION ALL SELECT cell, id, 2 FROM b UNION ALL SELECT cell, id, 3 FROM c""")
 def e33_spread_sample(spark: SparkSession, d: str) -> DataFrame:
-    """Three images spread over each grid cell (E33); tested by hand-made rows."""
+    """Three images spread over each grid cell."""
     cell = F.concat_ws(":", F.floor(F.col("lon") * 100), F.floor(F.col("lat") * 100))
     return G.spread_sample(table(spark, d, "images").select(cell.alias("cell"), "id", "lon", "lat"), 3)

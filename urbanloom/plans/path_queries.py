@@ -120,9 +120,6 @@ def b3_poi_category(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", R.place_category(tags).alias("category"), R.place_category(tags, F.col("given")).alias("filled"))
 
 
-CLASS = "CASE WHEN kind <> 'point' THEN kind WHEN regexp_matches(name, '(?i)crossing|intersection|login') THEN 'crossing_point' ELSE 'point' END"
-
-
 @query("SELECT path, pos, CASE WHEN kind = 'area' THEN 'area' WHEN kind = 'line' THEN 'line' WHEN regexp_matches(replace(name, 'view', 'Crossing'), '(?i)crossing|intersection') THEN 'crossing_point' ELSE 'point' END AS class, kind <> 'line' AND NOT (kind = 'point' AND regexp_matches(replace(name, 'view', 'Crossing'), '(?i)crossing|intersection')) AS picked FROM walks")
 def b25_classify_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Node classes and whether the selection ``no_intersection_nodes`` takes them; names with "view" are made crossings."""

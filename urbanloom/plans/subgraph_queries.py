@@ -128,9 +128,6 @@ def h32_adjacent_nodes(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("distance", F.round("distance", 3))
 
 
-ADJ = "(SELECT id1 AS centre, id2 AS id, distance FROM edges)"
-
-
 @query("WITH r AS (SELECT id1 AS centre, id2 AS id, type AS name, distance FROM edges), k AS (SELECT *, row_number() OVER (PARTITION BY centre, name ORDER BY distance, id) AS i FROM r), gg AS (SELECT centre, name, count(*) AS n, min(distance) AS distance, list(id ORDER BY i) FILTER (WHERE i <= 5) AS ids FROM k GROUP BY centre, name) SELECT centre, name, n, distance, ids FROM (SELECT *, row_number() OVER (PARTITION BY centre ORDER BY distance, name) AS r FROM gg) WHERE r <= 2")
 def h33_grouped_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The two nearest groups of neighbours of each street with five ids."""
