@@ -105,7 +105,8 @@ def triple_type(edge_type: Column, from_crossing: Column, to_crossing: Column) -
 
 def leg(lon1: Column, lat1: Column, lon2: Column, lat2: Column, metric=S.haversine_m) -> Column:
     """struct(length, direction) from one coordinate to the next; nulls where one is missing."""
-    return F.struct(metric(lon1, lat1, lon2, lat2).alias("length"), S.compass8_label(S.bearing_deg(lon1, lat1, lon2, lat2)).alias("direction"))
+    known = lon1.isNotNull() & lat1.isNotNull() & lon2.isNotNull() & lat2.isNotNull()
+    return F.struct(F.when(known, metric(lon1, lat1, lon2, lat2)).alias("length"), S.compass8_label(S.bearing_deg(lon1, lat1, lon2, lat2)).alias("direction"))
 
 
 def triple_diversity(sources: Column, targets: Column) -> Column:

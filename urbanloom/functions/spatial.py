@@ -35,9 +35,8 @@ def _half_chord(lon1, lat1, lon2, lat2) -> Column:
 
 
 def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    """Great-circle metres on a sphere, by the arc sine; null if a coordinate is."""
-    known = 0 * (lon1 + lat1 + lon2 + lat2)  # least passes over nulls
-    return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.least(F.lit(1.0), _half_chord(lon1, lat1, lon2, lat2)) + known))
+    """Great-circle metres on a sphere, by the arc sine; coordinates must be known."""
+    return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.least(F.lit(1.0), _half_chord(lon1, lat1, lon2, lat2))))
 
 
 def haversine_edge(lon1: Column, lat1: Column, lon2: Column, lat2: Column, km: bool = False) -> Column:
