@@ -66,10 +66,14 @@ def _first_shares() -> np.ndarray:
 
 
 BEGIN, WIDTH, OF_PLACE = _falling()
-FIRST = _first_shares()
-TOTAL = FIRST.sum(axis=1, dtype=np.int32)
+NEW = len(OF_PLACE)
+#: What a place of the fixed distribution stands for: begin << 28 | width << 16 | id.
+TOLD_NEW = (BEGIN << 28 | WIDTH << 16 | np.arange(1 << 16))[OF_PLACE]
+#: Counts of the four models of a context lie in one integer, 16 bits each; a product with ALL has their sum on top.
+FIRST = (_first_shares().astype(np.int64) << np.arange(0, 64, 16)).sum(axis=1)
+ONCE, ALL, COUNT = 1 << np.arange(0, 64, 16), (1 << 48) + (1 << 32) + (1 << 16) + 1, 0xFFFF
 #: Shares are whole 4096ths; RATE[x] turns counts that add up to x into them.
-RATE = ((4092 << 14) // np.maximum(np.arange(2 * BLOCK + 64), 1)).astype(np.int32)
+RATE = ((4092 << 14) // np.maximum(np.arange(2 * BLOCK + 64), 1)).astype(np.int64)
 #: Steps before which order 0 takes in the block's ids so far.
 REFRESH = (32, 128, 384, 768, 1280)
 
@@ -80,43 +84,34 @@ def _slots(last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return mixed >> 5 & SLOTS - 1, (mixed + before * 9973 >> 3) & SLOTS - 1
 
 
-def _history(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(blocks, n) ids sorted in each block, and for each place where the run of its id begins and ends."""
-    s = np.sort(ids.astype(np.uint16), axis=1, kind="stable").astype(np.int32)
-    n = s.shape[1]
-    place = np.arange(n, dtype=np.int32)
-    same = s[:, 1:] == s[:, :-1]
-    begin, end = np.empty_like(s), np.empty_like(s)
-    begin[:, 0], end[:, -1] = 0, n
-    begin[:, 1:] = np.where(same, 0, place[1:])
-    end[:, :-1] = np.where(same, n, place[1:])
-    return s, np.maximum.accumulate(begin, axis=1), np.minimum.accumulate(end[:, ::-1], axis=1)[:, ::-1]
-
-
-def _sorted(key: np.ndarray) -> np.ndarray:
-    """Flat places of (blocks, n) in the order of a key below 65536 within each block; equal keys stay in order."""
-    order = np.argsort(key.astype(np.uint16), axis=1, kind="stable")
-    return (order + np.arange(len(key))[:, None] * key.shape[1]).ravel()
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Flat places of (blocks, n) in the order of a small key within each block, and the keys; equal keys stay in order."""
+    n = key.shape[1]
+    both = np.sort(key * BLOCK + np.arange(n, dtype=np.int32), axis=1)
+    return (both % BLOCK + np.arange(len(key))[:, None] * n).ravel(), both // BLOCK
 
 
 def _named(slot: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """2 * how sure the slot is (0 if it is empty, else 1 to 4) + whether the id that last followed in it is the id itself."""
-    order = _sorted(slot)
-    sorted_slot, follows = slot.ravel().take(order).reshape(slot.shape), ids.ravel().take(order).reshape(slot.shape)
+    order, sorted_slot = _sorted(slot)
+    follows = ids.ravel().take(order).reshape(slot.shape)
     place = np.arange(slot.shape[1], dtype=np.int32)
     same = sorted_slot[:, 1:] == sorted_slot[:, :-1]
     hit = np.zeros(slot.shape, bool)
     hit[:, 1:] = same & (follows[:, 1:] == follows[:, :-1])
     missed = np.maximum.accumulate(np.where(hit, 0, place), axis=1)
     named = hit.astype(np.int32)
-    named[:, 1:] += np.where(same, 2 + 2 * np.minimum(place[:-1] - missed[:, :-1], 3), 0)
+    named[:, 1:] += same * (2 + 2 * np.minimum(place[:-1] - missed[:, :-1], 3))
     out = np.empty(slot.size, np.int32)
     out[order] = named.ravel()
     return out.reshape(slot.shape)
 
 
-def _spans(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, width) in a range of 2 ** 32 of each id of some blocks (blocks, BLOCK), as the reader's models will have them."""
+def _spans(ids: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, width) in a range of 2 ** 32 of each id of some blocks (blocks, BLOCK), as the reader's models will have them.
+
+    ``runs`` is room for where the run of each id of each block begins and ends, (2, blocks * 65536) whatever they hold.
+    """
     n, steps = ids.shape
     ids = ids.astype(np.int32)
     last, before = np.zeros_like(ids), np.zeros_like(ids)
@@ -124,61 +119,68 @@ def _spans(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     one, two = (_named(slot, ids) for slot in _slots(last, before))
     begin, count, known = np.zeros_like(ids), np.zeros_like(ids), np.ones(steps, np.int64)
     marks = [t for t in REFRESH if t < steps]
-    lane = np.arange(n, dtype=np.uint32)[:, None] << np.uint32(16)
+    lane = np.arange(n)[:, None]
     for t, until in zip(marks, [*marks[1:], steps]):
-        s, first, end = _history(ids[:, :t])
         known[t:until] = t
-        flat, asked = (s.astype(np.uint32) | lane).ravel(), (ids[:, t:until].astype(np.uint32) | lane).ravel()
-        at = np.minimum(np.searchsorted(flat, asked), len(flat) - 1)
-        found = flat.take(at) == asked
-        from_ = first.ravel().take(at)
-        begin[:, t:until] = (from_ * found).reshape(n, -1)
-        count[:, t:until] = ((end.ravel().take(at) - from_) * found).reshape(n, -1)
-    outcome = np.where(two & 1, 0, np.where(one & 1, 1, np.where(count > 0, 2, 3))).astype(np.int32)
-    context = (two >> 1) * SURE + (one >> 1)
-    order = _sorted(context)
-    of, what = context.ravel().take(order).reshape(n, steps), outcome.ravel().take(order).reshape(n, steps)
-    place = np.arange(steps, dtype=np.int32)
+        s = np.sort(ids[:, :t], axis=1)
+        place, of = np.tile(np.arange(t, dtype=np.uint16), n), (s + (lane << 16)).ravel()
+        runs[0][of[::-1]] = place[::-1]  # the first of equal ids is written last
+        runs[1][of] = place + 1
+        asked = ids[:, t:until] + (lane << 16)
+        from_ = np.minimum(runs[0].take(asked), t - 1).astype(np.int32)
+        found = s.ravel().take(from_ + lane * t) == ids[:, t:until]  # an id that has no run finds what is left from others
+        begin[:, t:until] = from_
+        count[:, t:until] = (runs[1].take(asked) - from_) * found
+    outcome = np.where(two & 1, 0, np.where(one & 1, 1, 3 - (count > 0)))
+    order, of = _sorted((two >> 1) * SURE + (one >> 1))
+    what = outcome.ravel().take(order).reshape(n, steps)
     opens = np.ones(of.shape, bool)
     opens[:, 1:] = of[:, 1:] != of[:, :-1]
-    rate = RATE.take(2 * (place - np.maximum.accumulate(np.where(opens, place, 0), axis=1)) + TOTAL.take(of))
-    packed = np.zeros((n, steps), np.int64)
-    for k in range(4):
-        here = what == k
-        seen = np.cumsum(here, axis=1, dtype=np.int32) - here
-        seen -= np.maximum.accumulate(np.where(opens, seen, 0), axis=1)
-        packed <<= 13
-        packed |= 1 + ((2 * seen + FIRST[:, k].take(of)) * rate >> 14)
+    once = ONCE.take(what)
+    seen = np.cumsum(once, axis=1) - once
+    seen -= np.maximum.accumulate(seen * opens, axis=1)
+    counts = 2 * seen + FIRST.take(of)
+    rate = RATE.take(counts * ALL >> 48)
+    packed = 1 + ((counts >> 16 * what & COUNT) * rate >> 14)
+    for k in range(3):
+        packed += (1 + ((counts >> 16 * k & COUNT) * rate >> 14) << 13) * (what > k)
     shares = np.empty(n * steps, np.int64)
     shares[order] = packed.ravel()
     shares = shares.reshape(n, steps)
-    of_two, of_one, of_zero, of_new = (shares >> k & 0x1FFF for k in (39, 26, 13, 0))
-    unit_zero, unit_new = (of_zero << 20) // known, (of_new << 20) // len(OF_PLACE)
-    start = np.where(outcome == 0, 0, np.where(outcome == 1, of_two << 20, np.where(outcome == 2, (of_two + of_one << 20) + unit_zero * begin, (of_two + of_one + of_zero << 20) + unit_new * BEGIN.take(ids))))
-    width = np.where(outcome == 0, of_two << 20, np.where(outcome == 1, of_one << 20, np.where(outcome == 2, unit_zero * count, unit_new * WIDTH.take(ids))))
-    return start, width
+    named, new = outcome < 2, outcome == 3
+    parts = np.where(new, NEW, np.where(named, 1, known))
+    unit = ((shares & 0x1FFF) << 20) // parts
+    start = (shares >> 13 << 20) + unit * np.where(new, BEGIN.take(ids), np.where(named, 0, begin))
+    return start, unit * np.where(new, WIDTH.take(ids), np.where(named, 1, count))
 
 
 class Reader:
     """The models of n blocks that step together while they are read; ids are below 65536."""
 
     def __init__(self, n: int):
-        self.lane = np.arange(n)
-        self.slots, self.contexts = self.lane * SLOTS, self.lane * CONTEXTS
-        self.one, self.two = np.zeros(n * SLOTS, np.int32), np.zeros(n * SLOTS, np.int32)  # id * 8 + how sure
-        self.counts = [np.tile(column, n) for column in (*FIRST.T, TOTAL)]  # twice the times, above the first shares
+        self.slots, self.contexts = np.arange(n) * SLOTS, np.arange(n) * CONTEXTS
+        self.one, self.two = np.full(n * SLOTS, -8, np.int32), np.full(n * SLOTS, -8, np.int32)  # id * 8 + how sure; -8 is empty
+        self.counts = np.tile(FIRST, n)  # twice the times, above the first shares
         self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.known = 1
-        self.sorted = self.begin = np.zeros(n, np.int32)
-        self.end = np.ones(n, np.int32)
+        self.told = np.full(n, 1 << 16)
 
     def narrow(self, n: int) -> None:
         """Keep the first n blocks; the others have ended."""
-        self.lane, self.slots, self.contexts, self.last, self.before = (x[:n] for x in (self.lane, self.slots, self.contexts, self.last, self.before))
+        self.slots, self.contexts, self.last, self.before = (x[:n] for x in (self.slots, self.contexts, self.last, self.before))
 
     def refresh(self, ids: np.ndarray) -> None:
-        self.known = ids.shape[1]
-        self.sorted, self.begin, self.end = (x.ravel() for x in _history(ids))
+        """Order 0 takes in (blocks, n) ids: for each place in their order, begin << 28 | length << 16 | id of its run."""
+        s = np.sort(ids, axis=1, kind="stable")
+        n = self.known = s.shape[1]
+        place = np.arange(n, dtype=np.int64)
+        same = s[:, 1:] == s[:, :-1]
+        begin, end = np.zeros(s.shape, np.int64), np.full(s.shape, n)
+        begin[:, 1:] = ~same * place[1:]
+        end[:, :-1] = np.where(same, n, place[1:])
+        begin = np.maximum.accumulate(begin, axis=1)
+        end = np.minimum.accumulate(end[:, ::-1], axis=1)[:, ::-1]
+        self.told = (begin << 28 | end - begin << 16 | s).ravel()
 
     def step(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(id, start, width) of the ids whose spans hold the values; the models learn them."""
@@ -186,44 +188,48 @@ class Reader:
         at_one += self.slots
         at_two += self.slots
         was_one, was_two = self.one.take(at_one), self.two.take(at_two)
-        context = (was_two & 7) * SURE + (was_one & 7) + self.contexts
-        rate = RATE.take(self.counts[4].take(context))
-        share = [1 + (self.counts[k].take(context) * rate >> 14) for k in range(3)]
-        edge_two, edge_one = share[0], share[0] + share[1]
-        edge_zero = edge_one + share[2]
-        top = (value >> 20).astype(np.int32)
-        by_two, by_one, by_new = top < edge_two, top < edge_one, top >= edge_zero
-        by_one ^= by_two
+        sure_one, sure_two = was_one & 7, was_two & 7
+        context = sure_two * SURE + sure_one + self.contexts
+        counts = self.counts.take(context)
+        rate = RATE.take(counts * ALL >> 48)
+        edge_two = 1 + ((counts & COUNT) * rate >> 14)
+        share_one = 1 + ((counts >> 16 & COUNT) * rate >> 14)
+        edge_one = edge_two + share_one
+        by_two = value < edge_two << 20
         id_one, id_two = was_one >> 3, was_two >> 3
         ids = np.where(by_two, id_two, id_one)
-        start = np.where(by_two, 0, edge_two).astype(np.int64) << 20
-        width = np.where(by_two, edge_two, share[1]).astype(np.int64) << 20
-        named = by_two | by_one
-        rows = np.flatnonzero(~(named | by_new))
-        base = edge_one[rows].astype(np.int64) << 20
-        unit = (share[2][rows].astype(np.int64) << 20) // self.known
-        at = rows * self.known + np.minimum((value[rows] - base) // unit, self.known - 1)
-        ids[rows] = self.sorted.take(at)
-        first = self.begin.take(at)
-        start[rows] = base + unit * first
-        width[rows] = unit * (self.end.take(at) - first)
-        self.counts[2][context[rows]] += 2
-        rows = np.flatnonzero(by_new)
-        base = edge_zero[rows].astype(np.int64) << 20
-        of = context[rows]
-        unit = ((1 + (self.counts[3].take(of) * rate[rows] >> 14)).astype(np.int64) << 20) // len(OF_PLACE)
-        new = OF_PLACE.take(np.minimum((value[rows] - base) // unit, len(OF_PLACE) - 1))
-        ids[rows] = new
-        start[rows] = base + unit * BEGIN.take(new)
-        width[rows] = unit * WIDTH.take(new)
-        self.counts[3][of] += 2
-        self.counts[0][context[by_two]] += 2
-        self.counts[1][context[by_one]] += 2
-        self.counts[4][context] += 2
+        start = np.where(by_two, 0, edge_two) << 20
+        width = np.where(by_two, edge_two, share_one) << 20
+        gain = np.where(by_two, 2, 2 << 16)
+        rows = np.flatnonzero(value >= edge_one << 20)
+        if rows.size:
+            of, rates = counts.take(rows), rate.take(rows)
+            beyond, base = value.take(rows), edge_one.take(rows) << 20
+            beyond -= base
+            share = 1 + ((of >> 32 & COUNT) * rates >> 14)
+            new = np.flatnonzero(beyond >= share << 20)
+            parts = np.full(len(rows), self.known)
+            if new.size:
+                over = share.take(new) << 20
+                base[new] += over
+                beyond[new] -= over
+                share[new] = 1 + ((of.take(new) >> 48) * rates.take(new) >> 14)
+                parts[new] = NEW
+            unit = (share << 20) // parts
+            place = np.minimum(beyond // unit, parts - 1)
+            told = self.told.take(rows * self.known + np.minimum(place, self.known - 1))
+            told[new] = TOLD_NEW.take(place.take(new))
+            more = np.full(len(rows), 2 << 32)
+            more[new] = 2 << 48
+            gain[rows] = more
+            ids[rows] = told & 0xFFFF
+            start[rows] = base + unit * (told >> 28)
+            width[rows] = unit * (told >> 16 & 0xFFF)
+        self.counts[context] = counts + gain
         fresh = (ids << 3) + 1
         # a name that was right becomes surer, up to 4; any other gives way
-        self.one[at_one] = np.where((id_one == ids) & (was_one > 0), was_one + ((was_one & 7) < 4), fresh)
-        self.two[at_two] = np.where(by_two, was_two + ((was_two & 7) < 4), fresh)
+        self.one[at_one] = np.where(id_one == ids, was_one + (sure_one < 4), fresh)
+        self.two[at_two] = np.where(by_two, was_two + (sure_two < 4), fresh)
         self.before, self.last = self.last, ids.astype(np.int64)
         return ids, start, width
 
@@ -246,8 +252,9 @@ def pack(ids: np.ndarray, index: dict | None = None) -> bytes:
     padded[: len(ids)] = ids
     blocks = padded.reshape(n, BLOCK)
     starts, widths = np.empty((BLOCK, n), np.uint64), np.empty((BLOCK, n), np.uint64)
+    runs = np.zeros((2, min(n, GROUP) << 16), np.uint16)
     for k in range(0, n, GROUP):
-        starts[:, k : k + GROUP], widths[:, k : k + GROUP] = (x.T for x in _spans(blocks[k : k + GROUP]))
+        starts[:, k : k + GROUP], widths[:, k : k + GROUP] = (x.T for x in _spans(blocks[k : k + GROUP], runs))
     low, span = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
     out = np.zeros((n, BLOCK + 4), np.uint64)
     used = np.zeros(n, np.int64)
@@ -310,7 +317,7 @@ def unpack(data: bytes) -> tuple[np.ndarray, dict]:
             active = n - 1
             reader.narrow(active)
         if t in REFRESH:
-            reader.refresh(columns[:t, :active].T)
+            reader.refresh(np.ascontiguousarray(columns[:t, :active].T))
         lo, sp, co = low[:active], span[:active], code[:active]
         unit = sp >> half
         value = np.minimum((co - lo) // unit, most)
@@ -331,6 +338,18 @@ def unpack(data: bytes) -> tuple[np.ndarray, dict]:
     return ids, index
 
 
+class Words(dict):
+    """Ids of words as bytes, made once for each distinct word."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.make(word)
+        return ids
+
+
 class WordEncoder:
     """The library's tokenizer, whose model runs on each distinct word once.
 
@@ -351,17 +370,14 @@ class WordEncoder:
         self.split = regex.compile(told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.added = tuple(t["content"].lower() for t in told.get("added_tokens") or ())
         self.letters = dict(enumerate(byte_letters()))
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known, self.pieces = Words(self.word), Words(self.piece)
+
+    def piece(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(self.letters)
+        return array("H", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def word(self, word: str) -> bytes:
-        parts = []
-        for piece in self.split(word):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = self.pieces[piece] = array("H", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
-            parts.append(ids)
-        return b"".join(parts)
+        return b"".join(map(self.pieces.__getitem__, self.split(word)))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 16-bit integers."""
@@ -370,15 +386,10 @@ class WordEncoder:
         lower = text.lower()
         if any(t in lower for t in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        words = lower.split()
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        for word in set(words).difference(known):
-            known[word] = self.word(word)
-        return b"".join([known[w] for w in words])
+        for memory in (self.known, self.pieces):
+            if len(memory) > REMEMBERED:
+                memory.clear()
+        return b"".join(map(self.known.__getitem__, lower.split()))
 
 
 @lru_cache(maxsize=1)
