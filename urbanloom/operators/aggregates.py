@@ -52,3 +52,17 @@ def match_class(exact: Column, similarity: Column, distance_m: Column, own: Colu
         F.when(own.isNull() & found.isNull(), "both_missing").when(own.isNull(), "own_missing").when(found.isNull(), "found_missing").when(exact, "exact").when(similarity >= 0.8, "similar")
         .when(distance_m <= 50, F.when(similarity >= 0.5, "near_partial").otherwise("near_different")).when(distance_m <= 200, F.when(similarity >= 0.3, "medium_partial").otherwise("medium_different")).otherwise(F.when(similarity >= 0.3, "far_partial").otherwise("far_different"))
     )
+
+
+def length_stats(rows: DataFrame, length: str = "length") -> DataFrame:
+    """One row (mean, std, least, most, n) of lengths, std of the population; a list of lengths counts as its sum."""
+    n = F.col(length)
+    if rows.schema[length].dataType.typeName() == "array":
+        n = F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.agg(F.avg(n).alias("mean"), F.stddev_pop(n).alias("std"), F.min(n).alias("least"), F.max(n).alias("most"), F.count(n).alias("n"))
+
+
+def decay_correlation(rows: DataFrame, distance: str = "distance", score: str = "score") -> DataFrame:
+    """One row: Pearson's correlation of distance and score; infinite distances are left out, and 0 stands for undefined."""
+    r = rows.where(~F.col(distance).isin(float("inf"), float("-inf"))).agg(F.corr(distance, score).alias("r"))
+    return r.select(F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0)).alias("r"))

@@ -167,6 +167,24 @@ def group_advantages(rows: DataFrame, group: str = "prompt_id", reward: str = "r
     return rows.withColumn("grpo", centred / (std + 1e-4)).withColumn("rloo", F.when(n > 1, centred * n / F.nullif(n - 1, F.lit(0))).otherwise(0.0))
 
 
+def whitened_advantages(rows: DataFrame, group: str = "prompt_id", reward: str = "reward", base: str = "grpo", by: str = "batch") -> DataFrame:
+    """The rows with ``advantage``: the reward less the group's mean (``grpo``) or the mean of the others (``rloo``), over a deviation + 1e-4.
+
+    ``by``: that of the group's rewards, of all rewards (``batch``), or of all advantages (``advantages``); ``none`` divides by
+    nothing. A group of one row has 0 under rloo; an undefined deviation is 0.
+    """
+    w = Window.partitionBy(group)
+    n, centred = F.count(reward).over(w), F.col(reward) - F.avg(reward).over(w)
+    rows = rows.withColumn("advantage", centred if base == "grpo" else F.when(n > 1, centred * n / F.nullif(n - 1, F.lit(0))).otherwise(0.0))
+    if by == "none":
+        return rows
+    if by == "group":
+        std = F.coalesce(F.stddev_samp(reward).over(w), F.lit(0.0))
+    else:
+        std = rows.agg(F.coalesce(F.stddev_samp(reward if by == "batch" else "advantage"), F.lit(0.0)).alias("s")).scalar()
+    return rows.withColumn("advantage", F.col("advantage") / (std + 1e-4))
+
+
 def variable_group_advantages(rows: DataFrame, prompt: str = "prompt_id", request: str = "request_id", order: str = "pos", reward: str = "reward") -> DataFrame:
     """Of each request its last row; rewards of a request that differ by more than 1e-6 raise; then advantages by prompt."""
     g = rows.groupBy(prompt, request).agg(F.max_by(reward, order).alias(reward), (F.max(reward) - F.min(reward)).alias("_d"))

@@ -79,3 +79,16 @@ def rewrite_images(rows: DataFrame, prefix: str) -> DataFrame:
 def top_by(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each key."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= k).drop("_r")
+
+
+def direction_changes(triples: DataFrame, decision: str = "decision_point") -> DataFrame:
+    """The rows with ``change``, 0 or 1: how a triple (path, pos, middle, edge, kind, compass, street) turns from the one before it.
+
+    The first triple of a path, and one of the same middle part and edge type as before, does not turn; else one at a
+    decision point, in another compass direction or on another street does. Nulls equal each other.
+    """
+    w = Window.partitionBy("path").orderBy("pos")
+    was = F.lag(F.struct("middle", "edge", "compass", "street")).over(w)
+    same = lambda c: F.col(c).eqNullSafe(F.col(f"_was.{c}"))
+    turns = F.col("_was").isNotNull() & ~(same("middle") & same("edge")) & (F.col("kind").eqNullSafe(F.lit(decision)) | ~same("compass") | ~same("street"))
+    return triples.withColumn("_was", was).withColumn("change", turns.cast("int")).drop("_was")
