@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, jaccard_join, language_id, neighbours, quality, sharding, token_file, toxicity, url_filter
+from . import byte_bpe, decontamination, jaccard_join, language_id, neighbours, quality, sharding, spelling, token_file, toxicity, url_filter, whitening
 from .common import held_out
 from .sql import SQL  # noqa: F401
 
@@ -64,8 +64,16 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_segments(token_file.write_segments(table(spark, sf_dir, "documents"), spec, end_id=1))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), keep=16)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_sharding, op3_jaccard_join, op4_byte_bpe, op5_quality, op6_url_filter, op7_toxicity, op8_decontamination, op9_neighbours, op10_token_file, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_sharding, op3_jaccard_join, op4_byte_bpe, op5_quality, op6_url_filter, op7_toxicity, op8_decontamination, op9_neighbours, op10_token_file, op11_whitening, op12_spelling, pipeline)}
