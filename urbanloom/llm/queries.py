@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, jaccard_join, language_id, neighbours, quality, sharding, spelling, token_file, toxicity, url_filter, whitening
+from . import byte_bpe, decontamination, jaccard_join, language_id, neighbours, quality, repeats, sharding, spelling, token_file, toxicity, url_filter, whitening
 from .common import held_out
 from .sql import SQL  # noqa: F401
 
@@ -72,8 +72,13 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents"), length=200)
+    return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_sharding, op3_jaccard_join, op4_byte_bpe, op5_quality, op6_url_filter, op7_toxicity, op8_decontamination, op9_neighbours, op10_token_file, op11_whitening, op12_spelling, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_sharding, op3_jaccard_join, op4_byte_bpe, op5_quality, op6_url_filter, op7_toxicity, op8_decontamination, op9_neighbours, op10_token_file, op11_whitening, op12_spelling, op13_repeats, pipeline)}
