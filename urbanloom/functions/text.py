@@ -77,7 +77,7 @@ def same_street(a: Column, b: Column, stopwords: tuple[str, ...] = ("street", "s
 
 def format_step(length: Column, direction: Column) -> Column:
     """``(12.0m, 94°(E))``, with what is known; ``()`` if nothing is."""
-    return F.concat(F.lit("("), F.concat_ws(", ", F.format_string("%.1fm", length), direction), F.lit(")"))
+    return F.concat(F.lit("("), F.concat_ws(", ", F.when(length.isNotNull(), F.format_string("%.1fm", length)), direction), F.lit(")"))
 
 
 def format_triple(source: Column, middle: Column, target: Column) -> Column:

@@ -10,24 +10,32 @@ from urbanloom.functions import records as R
 from urbanloom.functions import spatial as S
 from urbanloom.functions import text as T
 
-#: Middle parts of triples that carry their own leg in a path's text.
-NEAR = ("nearest", "near", "bounds")
+#: Edge types and middle parts of triples that carry their own leg in a path's text.
+NEAR_EDGES = ("nearest", "near", "boundary", "boundary_intersects", "boundary_crossing")
+NEAR_MIDDLES = ("nearest", "near", "bounds", "intersects")
 
 
 def path_triples(nodes: DataFrame, metric=S.haversine_m) -> DataFrame:
-    """(path, pos, source, middle, target, edge, type, length, direction) of every step of a path.
+    """(path, pos, source, middle, target, edge, type, length, direction, next_length, next_direction) of every step of a path.
 
     ``nodes``: (path, pos, node, name, kind, edge, lon, lat, street, crossing), ``edge`` the type of the edge to the next
-    node, ``street`` and ``crossing`` the names that it goes by. Paths of one node give no triples.
+    node, ``street`` and ``crossing`` the names that it goes by; with a column ``crossing_id``, other edges between two
+    nodes that have one are street segments. Each step records the coordinate that it reaches: ``reached_lon``,
+    ``reached_lat`` where there are such columns and they are filled, else that of its target. The last two columns are the
+    transition, from this step's recorded coordinate to the next one's: null for the last step and where a coordinate is unknown.
+    Paths of one node give no triples.
     """
     w = Window.partitionBy("path").orderBy("pos")
     ahead = lambda c: F.lead(c).over(w)
-    rows = nodes.select("*", *[ahead(c).alias(f"{c}_2") for c in ("node", "name", "kind", "lon", "lat")]).where("node_2 is not null")
+    none = F.lit(None)
+    told = nodes.withColumns({c: none.cast(t) for c, t in (("crossing_id", "long"), ("reached_lon", "double"), ("reached_lat", "double")) if c not in nodes.columns})
+    rows = told.select("*", *[ahead(c).alias(f"{c}_2") for c in ("node", "name", "kind", "lon", "lat", "crossing_id")]).where("node_2 is not null")
+    rows = rows.withColumns({"at_lon": F.coalesce("reached_lon", "lon_2"), "at_lat": F.coalesce("reached_lat", "lat_2")})
     middle = R.middle_component(F.col("edge"), F.col("kind"), F.col("kind_2"), F.col("node_2"), F.col("street"), F.col("crossing"))
-    leg = R.leg(F.col("lon"), F.col("lat"), F.col("lon_2"), F.col("lat_2"), metric)
-    rows = rows.withColumn("leg", leg)
-    kind = R.triple_type(F.col("edge"), F.lit(False), F.lit(False))
-    return rows.select("path", "pos", F.col("name").alias("source"), middle.alias("middle"), F.col("name_2").alias("target"), "edge", kind.alias("type"), "leg.length", "leg.direction")
+    rows = rows.withColumn("leg", R.leg(F.col("lon"), F.col("lat"), F.col("lon_2"), F.col("lat_2"), metric))
+    rows = rows.withColumn("next", R.leg(F.col("at_lon"), F.col("at_lat"), ahead("at_lon"), ahead("at_lat"), metric))
+    kind = R.triple_type(F.col("edge"), F.col("crossing_id").isNotNull(), F.col("crossing_id_2").isNotNull())
+    return rows.select("path", "pos", F.col("name").alias("source"), middle.alias("middle"), F.col("name_2").alias("target"), "edge", kind.alias("type"), "leg.length", "leg.direction", F.col("next.length").alias("next_length"), F.col("next.direction").alias("next_direction"))
 
 
 def path_characteristics(triples: DataFrame) -> DataFrame:
@@ -36,13 +44,26 @@ def path_characteristics(triples: DataFrame) -> DataFrame:
 
 
 def paths_as_text(triples: DataFrame) -> DataFrame:
-    """(path, text): triples in order; near ones carry their own leg and, unless last, a transition to the next."""
-    own = F.col("middle").isin(*NEAR)
+    """(path, text): triples in order with their own legs and the transitions between them, joined by arrows.
+
+    Near triples (by edge type or middle part) carry their own leg, as ``()`` where it is unknown unless they are the last
+    of several; of the others only the last does, where both parts are known. After each triple but the last comes the
+    transition to the next, if its distance is not zero and its direction known; a near triple between two others that are
+    not near has none. Paths without triples have no row.
+    """
+    w = Window.partitionBy("path").orderBy("pos")
+    near = F.coalesce(F.col("edge").isin(*NEAR_EDGES), F.lit(False)) | F.coalesce(F.col("middle").isin(*NEAR_MIDDLES), F.lit(False))
+    rows = triples.withColumn("near", near).select("*", F.lag("near").over(w).alias("before"), F.lead("near").over(w).alias("after"))
+    known = lambda length, direction: F.coalesce((F.col(length) > 0) & F.col(direction).isNotNull(), F.lit(False))
+    first, last = F.col("before").isNull(), F.col("after").isNull()
     step = T.format_step(F.col("length"), F.col("direction"))
-    more = F.lead("pos").over(Window.partitionBy("path").orderBy("pos")).isNotNull()
-    part = F.concat(T.format_triple(F.col("source"), F.col("middle"), F.col("target")), F.when(own, F.concat(F.lit(" "), step)).otherwise(""), F.when(own & more, F.concat(F.lit(" -> "), step)).otherwise(""))
+    own = F.when(last & ~first | ~F.col("near"), last & known("length", "direction")).otherwise(True)
+    onward = ~last & known("next_length", "next_direction") & (~F.col("near") | first | F.col("before") | F.col("after"))
+    part = F.concat(
+        T.format_triple(F.col("source"), F.col("middle"), F.col("target")), F.when(own, F.concat(F.lit(" "), step)).otherwise(""),
+        F.when(onward, F.concat(F.lit(" -> "), T.format_step(F.col("next_length"), F.col("next_direction")))).otherwise(""))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "part")))
-    return triples.withColumn("part", part).groupBy("path").agg(F.array_join(F.transform(ordered, lambda x: x.part), " -> ").alias("text"))
+    return rows.withColumn("part", part).groupBy("path").agg(F.array_join(F.transform(ordered, lambda x: x.part), " -> ").alias("text"))
 
 
 def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:

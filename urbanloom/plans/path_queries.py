@@ -33,11 +33,11 @@ t AS (SELECT *, {hav('lon', 'lat', 'lon2', 'lat2')} AS len, {DEG} AS deg,
   CASE WHEN edge = 'nearest' THEN CASE WHEN kind2 = 'point' AND kind <> 'point' THEN 'near' ELSE 'nearest' END WHEN edge = 'area_boundary' THEN CASE WHEN kind = 'line' AND kind2 = 'area' THEN 'near' ELSE 'bounds' END ELSE 'near' END AS fallback,
   CASE WHEN edge IN ('on_same_street', 'crossing') THEN 'Way ' || CAST(node % 7 AS VARCHAR) END AS via FROM w WHERE node2 IS NOT NULL),
 x AS (SELECT path, pos, name AS source, coalesce(via, fallback) AS middle, name2 AS target, edge, len, deg,
-  CASE WHEN edge = 'on_same_street' THEN 'street_segment' WHEN edge = 'crossing' THEN 'decision_point' END AS type FROM t)"""
+  CASE WHEN edge = 'on_same_street' THEN 'street_segment' WHEN edge = 'crossing' THEN 'decision_point' WHEN node % 3 <> 0 AND node2 % 3 <> 0 THEN 'street_segment' END AS type, lon2, lat2 FROM t)"""
 
 
 def _triples(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "walks")
+    w = table(spark, d, "walks").withColumn("crossing_id", F.when(F.col("node") % 3 != 0, F.col("node")))
     via = F.concat(F.lit("Way "), (F.col("node") % 7).cast("string"))
     return P.path_triples(w.withColumn("street", F.when(F.col("edge") == "on_same_street", via)).withColumn("crossing", F.when(F.col("edge") == "crossing", via)))
 
@@ -53,13 +53,26 @@ def h13_path_characteristics(spark: SparkSession, d: str) -> DataFrame:
     return P.path_characteristics(_triples(spark, d)).select("path", "triples", F.round("length", 3).alias("length"), F.round("mean_length", 3).alias("mean_length"), "crossings")
 
 
-@query(f"""WITH {TRIPLES}, s AS (SELECT path, pos, '(' || concat_ws(', ', source, middle, target) || ')' AS triple, middle IN ('nearest', 'near', 'bounds') AS own, '(' || printf('%.1f', floor(len)) || 'm, ' || {label8('deg')} || ')' AS step FROM x),
-u AS (SELECT path, pos, triple || CASE WHEN own THEN ' ' || step ELSE '' END || CASE WHEN own AND lead(pos) OVER (PARTITION BY path ORDER BY pos) IS NOT NULL THEN ' -> ' || step ELSE '' END AS part FROM s)
-SELECT path, string_agg(part, ' -> ' ORDER BY pos) AS text FROM u GROUP BY path""")
+#: What a path's text says, from the wording of the survey: legs of near triples, transitions between the coordinates reached.
+SPOKEN = f"""n AS (SELECT *, edge IN ('nearest', 'near', 'boundary', 'boundary_intersects', 'boundary_crossing') OR middle IN ('nearest', 'near', 'bounds', 'intersects') AS is_near,
+  row_number() OVER (PARTITION BY path ORDER BY pos) AS i, count(*) OVER (PARTITION BY path) AS m FROM x),
+g AS (SELECT a.*, floor(a.len) AS own_m, {label8('a.deg')} AS own_d, CASE WHEN b.i IS NOT NULL THEN floor({hav('a.lon2', 'a.lat2', 'b.lon2', 'b.lat2')}) END AS trans_m, {label8(f"((degrees({bear('a.lon2', 'a.lat2', 'b.lon2', 'b.lat2')}) + 360) % 360)")} AS trans_d, z.is_near AS was, b.is_near AS will
+  FROM n a LEFT JOIN n b ON a.path = b.path AND b.i = a.i + 1 LEFT JOIN n z ON a.path = z.path AND z.i = a.i - 1),
+k AS (SELECT path, i, '(' || concat_ws(', ', source, middle, target) || ')' AS triple, CASE
+    WHEN is_near AND (i < m OR m = 1) THEN ' (' || printf('%.1f', own_m) || 'm, ' || own_d || ')' WHEN i = m AND own_m > 0 THEN ' (' || printf('%.1f', own_m) || 'm, ' || own_d || ')' ELSE '' END AS leg,
+  CASE WHEN i = m OR trans_m = 0 THEN '' WHEN is_near AND i > 1 AND NOT was AND NOT will THEN '' ELSE ' -> (' || printf('%.1f', trans_m) || 'm, ' || trans_d || ')' END AS onward FROM g)"""
+
+
+@query(f"WITH {TRIPLES}, {SPOKEN} SELECT path, string_agg(triple || leg || onward, ' -> ' ORDER BY i) AS text FROM k GROUP BY path")
 def h9_format_path_transitions(spark: SparkSession, d: str) -> DataFrame:
-    """Paths as text whose near triples carry their own leg and the transition to the next."""
-    rows = _triples(spark, d).withColumn("length", F.floor("length").cast("double"))
-    return P.paths_as_text(rows)
+    """Paths as text whose near triples carry their own leg, with the transitions between recorded coordinates."""
+    return P.paths_as_text(_triples(spark, d).withColumns({c: F.floor(c).cast("double") for c in ("length", "next_length")}))
+
+
+@query(f"WITH {TRIPLES} SELECT a.path, a.pos, round({hav('a.lon2', 'a.lat2', 'b.lon2', 'b.lat2')}, 4) AS length, {label8(f"((degrees({bear('a.lon2', 'a.lat2', 'b.lon2', 'b.lat2')}) + 360) % 360)")} AS direction FROM x a JOIN x b ON a.path = b.path AND b.pos = a.pos + 1")
+def g2_transitions(spark: SparkSession, d: str) -> DataFrame:
+    """Distance and direction between the coordinates that consecutive triples reach."""
+    return _triples(spark, d).where("next_length is not null").select("path", "pos", F.round("next_length", 4).alias("length"), F.col("next_direction").alias("direction"))
 
 
 @query(f"SELECT path, pos, {label8(DEG)} AS direction, round({hav('lon', 'lat', 'lon2', 'lat2')}, 4) AS length FROM (SELECT path, pos, lon AS lon2, lat AS lat2, lag(lon) OVER w AS lon, lag(lat) OVER w AS lat FROM walks WINDOW w AS (PARTITION BY path ORDER BY pos)) WHERE lon IS NOT NULL")
