@@ -43,3 +43,53 @@ def test_path_predicates(spark):
     a = lambda *n: F.array(*map(F.lit, n))
     r = spark.range(1).select(G.path_quality(a("x", "y", "z")).alias("ok"), G.no_there_and_back(a("x", "y", "x")).alias("back"), G.unique_names(a("x", "x")).alias("u"), G.most_repeated(a("x", "x", "Node_1", "Node_1")).alias("m")).first()
     assert tuple(r) == (True, False, False, 2)
+
+
+def _brute(edges, source, target, longest, slack, most, least, searched=None, per_length=None):
+    """The search as defined, by listing all simple paths."""
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    paths, open_ = [], [[source]]
+    while open_:
+        grown = [p + [n] for p in open_ for n in sorted(near.get(p[-1], ())) if n not in p and len(p) <= longest]
+        paths += [p for p in grown if p[-1] == target]
+        open_ = [p for p in grown if p[-1] != target]
+    paths.sort(key=lambda p: (len(p), p))
+    if not paths:
+        return None
+    paths = [p for p in paths if len(p) <= len(paths[0]) + slack]
+    if per_length:
+        paths = [p for i, p in enumerate(paths) if sum(len(q) == len(p) for q in paths[:i]) < per_length]
+    kept = []
+    for p in paths[:searched]:
+        if len(kept) < most and (least is None or all(len(set(p) & set(q)) / len(set(p) | set(q)) <= 1 - least for q in kept)):
+            kept.append(p)
+    return kept
+
+
+def test_goal_directed_search(spark):
+    """A ladder with chords, on which four edges are too few, against all simple paths."""
+    rows = [(i, i + 2) for i in range(14)] + [(i, i + 1) for i in range(0, 15, 2)] + [(0, 5), (3, 8), (20, 21), (7, 7)]
+    e = spark.createDataFrame([(a, b, "t", 1.0) for a, b in rows], "id1 long, id2 long, type string, distance double")
+    asked = [(0, 13), (1, 12), (2, 3), (0, 21), (4, 4), (99, 0), (15, 0)]
+    pairs = spark.createDataFrame(asked + asked[:1], "source long, target long")
+    for run, kind in (
+        (G.find_diverse_paths, {"longest": 12, "slack": 5, "most": 5, "least": 0.3, "searched": 50}),
+        (G.find_paths_of_all_lengths, {"longest": 15, "slack": 8, "most": 5, "least": 0.2, "per_length": 3}),
+        (lambda p, e: G.goal_directed_paths(p, e, 7, 2, 9, None, radius=1), {"longest": 7, "slack": 2, "most": 9, "least": None}),
+    ):
+        got = {(r.source, r.target): r.paths for r in run(pairs, e).collect()}
+        want = {q: _brute(rows, *q, **kind) for q in asked if q[0] != q[1]}
+        assert got == {q: p for q, p in want.items() if p} and len(got) >= 3 and (kind["least"] is None or max(len(p) for ps in got.values() for p in ps) > 6)
+
+
+def test_paths_between_and_hops(spark):
+    chosen = spark.createDataFrame([(1, 4, [[1, 4], [1, 2, 3, 4], [1, 3, 4]])], "source long, target long, paths array<array<long>>")
+    nodes = spark.createDataFrame([(2, "cafe"), (3, "cafe"), (3, "cafe"), (4, None)], "node long, category string")
+    assert [(r.path_id, r.path, r.category_nodes) for r in G.paths_between(chosen, nodes, "cafe").orderBy("path_id").collect()] == [(0, [1, 3, 4], [3]), (1, [1, 2, 3, 4], [2, 3])]
+    assert [(r.path_id, r.length, r.category_nodes) for r in G.paths_between(chosen).orderBy("path_id").collect()] == [(0, 1, None), (1, 2, None), (2, 3, None)]
+    pairs = spark.createDataFrame([(1, 3), (1, 1), (1, 8)], "source long, target long")
+    assert {(r.source, r.target): r.hops for r in G.hop_distances(pairs, edges(spark), 3).collect()} == {(1, 3): 2.0, (1, 1): 0.0, (1, 8): float("inf")}

@@ -76,20 +76,101 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, max_hops: int) -> DataFra
     return found.select("source", "target", "path", (F.size("path") - 1).alias("hops"))
 
 
+def _outlook(targets: DataFrame, step: DataFrame, radius: int) -> DataFrame:
+    """(target, dst, hop): the fewest steps from each node within ``radius`` of a target to it."""
+    reached = targets.select("target", F.col("target").alias("dst")).distinct().withColumn("hop", F.lit(0))
+    edge = reached
+    for hop in range(1, radius + 1):
+        new = edge.select("target", F.col("dst").alias("src")).join(step, "src").select("target", "dst").distinct()
+        edge = settled(new.join(reached.select("target", "dst"), ["target", "dst"], "left_anti").withColumn("hop", F.lit(hop)))
+        reached = reached.unionByName(edge)
+    return settled(reached)
+
+
+def goal_directed_paths(
+    pairs: DataFrame, edges: DataFrame, longest: int, slack: int | None = None, most: int | None = None, least: float | None = None, searched: int | None = None, per_length: int | None = None, radius: int | None = None
+) -> DataFrame:
+    """(source, target, paths): simple paths of each pair with at most ``longest`` edges, and at most ``slack`` more than its shortest.
+
+    Paths are met in the order of their length and then of their node ids. A path is taken if it is diverse from all taken
+    before (``least``, see :func:`is_diverse`; null: always); a pair is done once it has ``most``, or has met ``searched``
+    paths; of each length at most ``per_length`` are met. All three limits are the search's own definition and optional.
+    Pairs without a path give no row, as do pairs of one node.
+
+    Every round makes all paths one edge longer, so it finds exactly those of its length, and a pair that is done leaves.
+    Hop distances back from the targets, as far as ``radius`` (half of ``longest``), drop what cannot reach its target in the
+    edges that are left; farther nodes count as just beyond. Rounds end when no path is open.
+    """
+    step = settled(doubled(edges.select("id1", "id2")).where("src <> dst").distinct())
+    pairs = pairs.select("source", "target").where("source <> target").distinct()
+    radius = (longest + 1) // 2 if radius is None else min(radius, longest)
+    back = _outlook(pairs, step, radius)
+    none = F.array().cast(f"array<array<{step.schema['dst'].dataType.simpleString()}>>")
+    state = pairs.select("source", "target", F.lit(None).cast("int").alias("first"), F.lit(0).alias("met"), none.alias("paths"))
+    live = pairs.select("source", "target", F.array("source").alias("path"), F.lit(longest).alias("limit"))
+    for k in range(1, longest + 1):
+        grown = live.join(step, F.element_at("path", -1) == step.src).where(~F.array_contains("path", F.col("dst"))).select("source", "target", "limit", F.concat("path", F.array("dst")).alias("path"), "dst")
+        grown = grown.join(back, ["target", "dst"], "left").where(F.lit(k) + F.coalesce("hop", F.lit(radius + 1)) <= F.col("limit"))
+        grown = settled(grown.select("source", "target", "path", (F.col("dst") == F.col("target")).alias("hit")))
+        cap = min((x for x in (per_length, searched) if x is not None), default=most if least is None else None)
+        hits = grown.where("hit")
+        if cap is not None:
+            hits = hits.withColumn("_r", F.row_number().over(Window.partitionBy("source", "target").orderBy("path"))).where(F.col("_r") <= cap)
+        new = hits.groupBy("source", "target").agg(F.array_sort(F.collect_list("path")).alias("new"))
+        joined = state.join(new, ["source", "target"], "left").withColumn("new", F.coalesce("new", none))
+        if searched is not None:
+            joined = joined.withColumn("new", F.slice("new", F.lit(1), F.greatest(F.lit(searched) - F.col("met"), F.lit(0))))
+        full = lambda kept: F.lit(False) if most is None else F.size(kept) >= most
+        fits = lambda kept, p: F.lit(True) if least is None else is_diverse(p, kept, least)
+        taken = F.aggregate("new", F.col("paths"), lambda kept, p: F.when(~full(kept) & fits(kept, p), F.concat(kept, F.array(p))).otherwise(kept))
+        state = settled(joined.select("source", "target", F.coalesce("first", F.when(F.size("new") > 0, F.lit(k))).alias("first"), (F.col("met") + F.size("new")).alias("met"), taken.alias("paths")))
+        limit = F.least(F.lit(longest), F.coalesce(F.col("first") + slack, F.lit(longest))) if slack is not None else F.lit(longest)
+        done = full(F.col("paths")) | (F.lit(False) if searched is None else F.col("met") >= searched) | (limit <= k)
+        live = grown.where("not hit").join(state.where(~done).select("source", "target", limit.alias("limit")), ["source", "target"]).select("source", "target", "path", "limit")
+        if k == longest or live.isEmpty():
+            break
+    return state.where(F.size("paths") > 0).select("source", "target", "paths")
+
+
 def simple_paths(pairs: DataFrame, edges: DataFrame, cutoff: int, max_paths: int | None = None) -> DataFrame:
     """(source, target, path, rank): paths without repeated nodes of at most ``cutoff`` edges, shorter and smaller first."""
-    step = doubled(edges.select("id1", "id2")).where("src <> dst").distinct()
-    open_ = pairs.select("source", "target", F.array("source").alias("path")).distinct()
-    done = None
-    for k in range(cutoff):
-        if k > 1:
-            open_ = settled(open_)
-        grown = open_.join(step, F.element_at("path", -1) == step.src).where(~F.array_contains("path", F.col("dst"))).select("source", "target", F.concat("path", F.array("dst")).alias("path"))
-        hit = grown.where(F.element_at("path", -1) == F.col("target"))
-        done = hit if done is None else done.unionByName(hit)
-        open_ = grown.where(F.element_at("path", -1) != F.col("target"))
-    ranked = done.withColumn("rank", F.row_number().over(Window.partitionBy("source", "target").orderBy(F.size("path"), "path")))
-    return ranked if max_paths is None else ranked.where(F.col("rank") <= max_paths)
+    found = goal_directed_paths(pairs, edges, cutoff, most=max_paths)
+    return found.select("source", "target", F.posexplode("paths").alias("rank", "path")).select("source", "target", "path", (F.col("rank") + 1).alias("rank"))
+
+
+def find_diverse_paths(pairs: DataFrame, edges: DataFrame, max_paths: int = 5, least: float = 0.3, searched: int = 50, slack: int = 5, longest: int = 12) -> DataFrame:
+    """(source, target, paths): up to ``max_paths`` paths, each at most ``1 - least`` similar to those before, among the first ``searched`` of at most min(shortest + slack, longest) edges."""
+    return goal_directed_paths(pairs, edges, longest, slack, max_paths, least, searched=searched)
+
+
+def find_paths_of_all_lengths(pairs: DataFrame, edges: DataFrame, max_paths: int = 5, per_length: int = 3, least: float = 0.2, slack: int = 8, longest: int = 15) -> DataFrame:
+    """As :func:`find_diverse_paths`, from the first ``per_length`` paths of each length to min(shortest + slack, longest)."""
+    return goal_directed_paths(pairs, edges, longest, slack, max_paths, least, per_length=per_length)
+
+
+def paths_between(paths: DataFrame, nodes: DataFrame | None = None, category: str | None = None) -> DataFrame:
+    """(source, target, path_id, path, length, category_nodes) of chosen (source, target, paths), shorter first, numbered from 0.
+
+    With a category only paths that touch one of its ``nodes`` (node, category) stay, with those nodes in path order, so fewer
+    may remain than were chosen; without one ``category_nodes`` is null.
+    """
+    rows = paths.select("source", "target", F.posexplode("paths").alias("at", "path"))
+    if category is None:
+        rows = rows.withColumn("category_nodes", F.lit(None).cast(rows.schema["path"].dataType))
+    else:
+        steps = rows.select("source", "target", "at", F.posexplode("path").alias("pos", "node"))
+        met = steps.join(nodes.where(F.col("category") == category).select("node").distinct(), "node").groupBy("source", "target", "at")
+        found = met.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda x: x.node).alias("category_nodes"))
+        rows = rows.join(found, ["source", "target", "at"])
+    place = F.row_number().over(Window.partitionBy("source", "target").orderBy(F.size("path"), "at")) - 1
+    return rows.select("source", "target", place.alias("path_id"), "path", (F.size("path") - 1).alias("length"), "category_nodes")
+
+
+def hop_distances(pairs: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
+    """The pairs (source, target) with ``hops``, the fewest steps between them; infinity where there are none within ``max_hops``."""
+    reached = hops_from(pairs.select(F.col("source").alias("seed"), F.col("source").alias("node")), edges, max_hops)
+    found = reached.select(F.col("seed").alias("source"), F.col("node").alias("target"), F.col("hop").cast("double").alias("hops"))
+    return pairs.join(found, ["source", "target"], "left").withColumn("hops", F.coalesce("hops", F.lit(float("inf"))))
 
 
 def path_similarity(a: Column, b: Column) -> Column:

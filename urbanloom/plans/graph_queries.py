@@ -102,13 +102,34 @@ def e18_path_set_diversity(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def e13_diverse_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy choice of dissimilar paths (E13, E16); tested by hand-made rows."""
-    return G.diverse_paths(_paths(spark, d, 20), 5)
+    """Greedy choice of dissimilar paths up to min(shortest + 5, 12) edges (E13, E16); tested against a brute-force search."""
+    return G.find_diverse_paths(_pairs(spark, d), table(spark, d, "edges_sparse"))
 
 
 @query()
 def e14_length_diverse_paths(spark: SparkSession, d: str) -> DataFrame:
-    return G.length_diverse_paths(_paths(spark, d, 20), 5)
+    """Dissimilar paths of all lengths up to min(shortest + 8, 15) (E14); tested against a brute-force search."""
+    return G.find_paths_of_all_lengths(_pairs(spark, d), table(spark, d, "edges_sparse"))
+
+
+@query(PATHS + """, f AS (SELECT * FROM ranked WHERE rank <= 5), c AS (SELECT source, target, path, rank, [x for x in path if x % 3 = 0] AS touched FROM f)
+SELECT source, target, row_number() OVER (PARTITION BY source, target ORDER BY rank) - 1 AS path_id, list_aggregate(path, 'string_agg', '-') AS path, CAST(len(path) - 1 AS INT) AS length, list_aggregate(touched, 'string_agg', '-') AS nodes FROM c WHERE len(touched) > 0""")
+def e32_paths_between(spark: SparkSession, d: str) -> DataFrame:
+    """Of each pair's five paths those that touch a node of a category, with these nodes."""
+    chosen = G.goal_directed_paths(_pairs(spark, d), table(spark, d, "edges_sparse"), 4, most=5)
+    nodes = table(spark, d, "part").select((F.col("p_partkey") + 2000000).alias("node")).withColumn("category", F.when(F.col("node") % 3 == 0, "stop").otherwise("other"))
+    out = G.paths_between(chosen, nodes, "stop")
+    return out.select("source", "target", F.col("path_id").cast("long").alias("path_id"), F.array_join("path", "-").alias("path"), "length", F.array_join("category_nodes", "-").alias("nodes"))
+
+
+@query(HOPS + """, q AS (SELECT id AS source, CAST(2000000 + (id - 2000000 + k) % (SELECT count(*) FROM part) AS BIGINT) AS target FROM seed, (VALUES (2), (50)) AS v(k))
+SELECT source, target, coalesce(CAST(hop AS DOUBLE), CAST('Infinity' AS DOUBLE)) AS hops FROM q LEFT JOIN h ON seed = source AND node = target""")
+def e8_hop_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Hops of pairs within two steps, infinity beyond."""
+    near = _pairs(spark, d)
+    n = table(spark, d, "part").agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    far = near.select("source", (2000000 + (F.col("source") - 2000000 + 50) % n).cast("long").alias("target"))
+    return G.hop_distances(near.unionByName(far), table(spark, d, "edges_sparse"), 2)
 
 
 @query()
