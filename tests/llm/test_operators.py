@@ -3,6 +3,7 @@
 import array
 import base64
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -320,6 +321,35 @@ def test_tiling_and_leaks(spark, odd, empty):
     assert decontamination.find_leaks(docs, bench.where("false")).count() == 0 and decontamination.drop_leaks(empty, bench).count() == 0
 
 
+@pytest.mark.parametrize("segment,pairs", [(7, 5), (64, 1000)])
+def test_tiles_in_parts(monkeypatch, segment, pairs):
+    """Small parts and early trimming give the tiles that whole ones do, on texts of few words."""
+    rng = np.random.default_rng(segment)
+    cases = []
+    for _ in range(60):
+        cases.append(tuple(rng.integers(0, int(rng.integers(1, 4)), int(rng.integers(1, n))).astype(np.uint64) for n in (25, 90)))
+    whole = [decontamination.tile(item, text, 3) for item, text in cases]
+    monkeypatch.setattr(decontamination, "SEGMENT", segment)
+    monkeypatch.setattr(decontamination, "PAIRS", pairs)
+    assert [decontamination.tile(item, text, 3) for item, text in cases] == whole
+    monkeypatch.setattr(decontamination, "SPLIT", 40)
+    long = "Ein Wort_und noch  eins; " * 30
+    hashes = decontamination.WordHashes()
+    assert decontamination.word_ids(long, hashes).tolist() == [hashes[w] for w in decontamination.WORDS(long.lower())]
+
+
+def test_long_repetitive_text():
+    """20 MB of one word against an item of fifty of it: one tile, in bounded memory."""
+    bench = decontamination.Benchmark([(1, "no " * 50), (2, "no yes " * 20)])
+    tracemalloc.start()
+    ids = decontamination.word_ids("no " * 6_700_000, decontamination.WordHashes())
+    got = list(bench.leaks(ids, 0.6))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(1, 1.0, 1, 50)] and peak < 400e6
+    assert decontamination.tile(ids[:50], ids, 4) == [(0, 0, 50)]
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     v = rng.standard_normal((600, 16)).astype(np.float32)

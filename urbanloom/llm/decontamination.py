@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import keep_rows, text_runs
 
-WORDS = re.compile(r"[^\W_]+").findall
+WORDS, BREAK = re.compile(r"[^\W_]+").findall, re.compile(r"[\W_]").search
 #: Tiles have so many words at least; an item of fewer words is one seed of its own length.
 LEAST = 4
 #: Share of an item's words that tiles must cover.
@@ -23,6 +23,8 @@ COVERAGE = 0.6
 #: Characters of items that are broadcast at a time; a larger benchmark is worked through in blocks.
 BLOCK_CHARS = 16_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Windows of a text that are hashed at a time, pairs of places that are compared at a time, characters that are split at a time.
+SEGMENT, PAIRS, SPLIT = 262_144, 1_000_000, 1_000_000
 #: Distinct words whose hashes a task remembers.
 REMEMBERED = 1_000_000
 
@@ -53,52 +55,104 @@ def windows(ids: np.ndarray, n: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def _matches(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(-words, start in item, start in text) of all matches of at least ``least`` words that can't be made longer.
+def segments(text: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first place, hashes) of the windows of a text, some at a time."""
+    for at in range(0, max(0, len(text) - least + 1), SEGMENT):
+        yield at, windows(text[at : at + SEGMENT + least - 1], least)
 
-    Karp-Rabin hashes of the windows of both give the places that may agree, the words themselves decide; neighbours on
-    one diagonal are one match.
+
+def _matches(item: np.ndarray, text: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(words, starts in item, starts in text), some at a time by place in the text, of all matches of at least ``least`` words that can't be made longer.
+
+    Karp-Rabin hashes of the windows of both give the places that may agree, the words themselves decide. A place whose
+    words before it agree too lies inside a match; the others are where matches start, and are followed to their ends.
     """
-    of_item, of_text = windows(item, least), windows(text, least)
+    of_item = windows(item, least)
     order = np.argsort(of_item, kind="stable")
-    first, last = (np.searchsorted(of_item[order], of_text, side) for side in ("left", "right"))
-    n = last - first
-    j = np.repeat(np.arange(len(of_text)), n)
-    i = order[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
-    same = np.ones(len(i), bool)
-    for k in range(least):
-        same &= item[i + k] == text[j + k]
-    i, j = i[same], j[same]
-    if not len(i):
-        return []
-    order = np.lexsort((i, j - i))
-    i, j = i[order], j[order]
-    start = np.flatnonzero(np.r_[True, (np.diff(j - i) != 0) | (np.diff(i) != 1)])
-    words = np.diff(np.r_[start, len(i)]) + least - 1
-    return list(zip((-words).tolist(), i[start].tolist(), j[start].tolist()))
+    sorted_item = of_item[order]
+    for at, of_text in segments(text, least):
+        first, last = (np.searchsorted(sorted_item, of_text, side) for side in ("left", "right"))
+        n = last - first
+        total = np.cumsum(n)
+        edges = np.unique(np.r_[0, np.searchsorted(total, np.arange(PAIRS, total[-1], PAIRS)), len(n)])
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            some = n[a:b]
+            j = np.repeat(np.arange(a, b), some) + at
+            i = order[np.repeat(first[a:b] - np.cumsum(some) + some, some) + np.arange(some.sum())]
+            start = (i == 0) | (j == 0) | (item[i - 1] != text[j - 1])
+            i, j = i[start], j[start]
+            for k in range(least):
+                same = item[i + k] == text[j + k]
+                i, j = i[same], j[same]
+            size, open_ = np.full(len(i), least), np.arange(len(i))
+            while len(open_):
+                x, y = i[open_] + size[open_], j[open_] + size[open_]
+                inside = (x < len(item)) & (y < len(text))
+                open_, x, y = open_[inside], x[inside], y[inside]
+                open_ = open_[item[x] == text[y]]
+                size[open_] += 1
+            if len(i):
+                yield size, i, j
+
+
+def _earliest(matches: list[tuple[np.ndarray, np.ndarray, np.ndarray]], words: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The matches without those that can never be marked, as enough of the same words and length come before them in the text.
+
+    Tiles mark no more words of the text than the item has, and there are at most words / least of them, so they touch at
+    most ``words + words / least * n`` places at which n words start. Of more matches that start at one place of the item and
+    are n words long, one of the earlier is therefore always free, and would be marked first.
+    """
+    n, i, j = (np.concatenate(x) for x in zip(*matches, strict=True))
+    order = np.lexsort((j, n, i))
+    n, i, j = n[order], i[order], j[order]
+    new = np.r_[True, (np.diff(i) != 0) | (np.diff(n) != 0)]
+    rank = np.arange(len(n)) - np.maximum.accumulate(np.where(new, np.arange(len(n)), 0))
+    keep = rank <= words + words // least * n
+    return n[keep], i[keep], j[keep]
 
 
 def tile(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Non-overlapping tiles (start in item, start in text, words), longest first, none under ``least`` words.
 
     Always the longest match of unmarked words is marked next (ties: first in the item, then in the text). A match that
-    tiles have cut into is not marked; what is left of it waits for its own length.
+    tiles have cut into is not marked; what is left of it waits for its own length. Memory is bounded by the item, whatever the text
+    repeats; time is their product where one word is all there is.
     """
-    in_item, in_text = np.zeros(len(item), bool), np.zeros(len(text), bool)
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for part in _matches(item, text, least):
+        held.append(part)
+        if sum(len(n) for n, *_ in held) > PAIRS and len(held) > 1:
+            held = [_earliest(held, len(item), least)]
+    if not held:
+        return []
+    n, i, j = _earliest(held, len(item), least)
+    order = np.lexsort((j, i, -n))
+    ready = zip((-n[order]).tolist(), i[order].tolist(), j[order].tolist(), strict=True)
+    in_item = np.zeros(len(item), bool)
+    in_text: set[int] = set()  # the marked words of the text, which are as many as those of the item
     tiles: list[tuple[int, int, int]] = []
-    waiting = _matches(item, text, least)
-    heapq.heapify(waiting)
-    while waiting:
-        n, i, j = heapq.heappop(waiting)
-        taken = in_item[i : i - n] | in_text[j : j - n]
+    cut: list[tuple[int, int, int]] = []
+    following = next(ready, None)
+    while following or cut:
+        if cut and (following is None or cut[0] < following):
+            n, i, j = heapq.heappop(cut)
+        else:
+            (n, i, j), following = following, next(ready, None)
+        taken = in_item[i : i - n].copy()
+        if not taken.all() and in_text:
+            taken |= np.fromiter((k in in_text for k in range(j, j - n)), bool, -n)
         if not taken.any():
-            in_item[i : i - n] = in_text[j : j - n] = True
+            in_item[i : i - n] = True
+            in_text.update(range(j, j - n))
             tiles.append((i, j, -n))
-            continue
-        edge = np.flatnonzero(np.diff(np.r_[True, taken, True].astype(np.int8)))
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-            if b - a >= least:
-                heapq.heappush(waiting, (a - b, i + a, j + a))
+            free = np.flatnonzero(np.diff(np.r_[True, in_item, True].astype(np.int8)))
+            if not len(free) or (free[1::2] - free[::2]).max() < least:
+                break
+        elif not taken.all():
+            edge = np.flatnonzero(np.diff(np.r_[True, taken, True].astype(np.int8)))
+            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                if b - a >= least:
+                    heapq.heappush(cut, (a - b, i + a, j + a))
     return tiles
 
 
@@ -125,9 +179,10 @@ class Benchmark:
         """Items that share seeds with the text, with the marks of their words that shared seeds cover."""
         out: dict[int, np.ndarray] = {}
         for size, table in self.seeds.items():
-            hashes = windows(text, size)
-            likely = hashes[self.bits[size][(hashes >> np.uint64(44)).astype(np.int64)]]
-            for h in set(likely.tolist()):
+            likely: set[int] = set()
+            for _, hashes in segments(text, size):
+                likely.update(np.unique(hashes[self.bits[size][(hashes >> np.uint64(44)).astype(np.int64)]]).tolist())
+            for h in likely:
                 for n, i in table.get(h, ()):
                     if n not in out:
                         out[n] = np.zeros(len(self.items[n][1]), bool)
@@ -188,8 +243,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
 
 
 def word_ids(text: str, hashes: WordHashes) -> np.ndarray:
-    words = WORDS(text.lower())
-    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    """The words' hashes; a long text is split a part at a time, between words."""
+    low, at, out = text.lower(), 0, []
+    while at < len(low) or not out:
+        gap = BREAK(low, at + SPLIT) if at + SPLIT < len(low) else None
+        end = gap.start() if gap else len(low)
+        words = WORDS(low, at, end)
+        out.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
+        at = end
+    return np.concatenate(out)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, item_col: str = "item_id", text: str = "text", item_text: str = "text") -> DataFrame:
