@@ -25,7 +25,7 @@ from .common import text_runs, written
 #: Bytes of a gram and of a radix digit.
 GRAM, DIGIT = 32, 8
 #: Bytes that are hashed together.
-BLOCK = 1_000_000
+BLOCK = 250_000
 #: Contexts of one gram that one task orders; those of a gram with more are dealt to several, whose classes then meet by hash.
 CROWD, BUCKET = 4096, 500_000
 #: log2 of the bits of the filters that keep back what cannot matter; a full filter only costs shuffling.
@@ -271,7 +271,7 @@ class Repeats:
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     if b > a:
                         me = (gram[a], salt[a])
-                        if windows >= 300_000 and me != last:
+                        if windows >= 150_000 and me != last:
                             if a > begin:
                                 held.append({c: v[begin:a] for c, v in rows.items()})
                                 begin = a
