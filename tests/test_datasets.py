@@ -5,14 +5,6 @@ from urbanloom.operators import datasets as D
 from urbanloom.operators import metrics as M
 
 
-def test_packing_invariants(spark):
-    rows = spark.range(500).select("id", (F.pmod(F.xxhash64("id"), F.lit(900)) + 1).alias("n")).unionByName(spark.createDataFrame([(1000, 5000)], "id long, n long"))
-    got = D.pack_sequences(rows, "id", "n", 1000, window=100)
-    assert got.count() == 501 and got.select("id").distinct().count() == 501
-    over = got.groupBy("bin").agg(F.sum("n").alias("s"), F.count("*").alias("c")).where("s > 1000").collect()
-    assert [(r.s, r.c) for r in over] == [(5000, 1)]
-
-
 def test_split_and_sample(spark):
     rows = spark.range(95).select(F.col("id").alias("k"))
     assert {r.split: r["count"] for r in D.train_val_split(rows, 0.1, "k").groupBy("split").count().collect()} == {"val": 9, "train": 86}

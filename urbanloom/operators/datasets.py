@@ -162,33 +162,12 @@ def sample_negatives(df: DataFrame, key: str, answer: str, k: int = 7, buckets:
     return rows.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), "_c"))).select(key, "negatives")
 
 
-def pack_sequences(df: DataFrame, key: str, length: str, capacity: int, window: int = 1000) -> DataFrame:
-    """(key, length, bin): every row once, in bins of total length at most ``capacity`` unless one row alone is longer.
+def map_rows(df: DataFrame, function, schema: str, error: str | None = None) -> DataFrame:
+    """A custom function of a row dict that returns a dict, a list of dicts or None.
 
-    Rows are dealt to hash buckets of about ``window`` rows; each is packed longest first into the first bin with room.
+    Rows at which it raises a KeyError, TypeError or ValueError come back as one row of nulls with what was raised in the column ``error``;
+    without such a column they are dropped, as where bad rows are expected.
     """
-    buckets = max(1, df.count() // window)
-    rows = df.select(key, length).withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    schema = f"{key} {df.schema[key].dataType.simpleString()}, {length} {df.schema[length].dataType.simpleString()}, bin string"
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([length, key], ascending=[False, True])
-        room: list[int] = []
-        bins = []
-        for n in pdf[length]:
-            at = next((i for i, r in enumerate(room) if r >= n), len(room))
-            if at == len(room):
-                room.append(capacity)
-            room[at] -= n
-            bins.append(at)
-        return pdf.assign(bin=[f"{b}-{x}" for b, x in zip(pdf["_b"], bins)])[[key, length, "bin"]]
-
-    return rows.groupBy("_b").applyInPandas(pack, schema)
-
-
-def map_rows(df: DataFrame, function, schema: str) -> DataFrame:
-    """A custom function of a row dict that returns a dict, a list of dicts or None; rows that raise are dropped."""
-
     names = StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,12 +176,12 @@ def map_rows(df: DataFrame, function, schema: str) -> DataFrame:
             for row in pdf.to_dict("records"):
                 try:
                     got = function(row)
-                except (KeyError, TypeError, ValueError):
-                    continue
+                except (KeyError, TypeError, ValueError) as e:
+                    got = {error: f"{type(e).__name__}: {e}"} if error else None
                 out += got if isinstance(got, list) else [got] if got is not None else []
-            yield pd.DataFrame(out, columns=names)
+            yield pd.DataFrame({c: pd.Series([r.get(c) for r in out], dtype=object) for c in ([*names, error] if error else names)})
 
-    return df.mapInPandas(run, schema)
+    return df.mapInPandas(run, f"{schema}, {error} string" if error else schema)
 
 
 def windowed_dialogues(rows: DataFrame, key: str, order: str, starts: Column) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from urbanloom.functions import text as T
 from urbanloom.operators import datasets as D
+from urbanloom.operators import packing
 from urbanloom.sources.fixtures import table
 
 from .registry import query
@@ -54,7 +55,7 @@ def i33_train_val_split(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def i37_pack_sequences(spark: SparkSession, d: str) -> DataFrame:
     """Documents packed by length (I37); tested for its invariants."""
-    return D.pack_sequences(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 8192)
+    return packing.pack_sequences(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 8192)
 
 
 @query()

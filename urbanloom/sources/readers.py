@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,12 +50,26 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     return (reader.option("header", True).option("nullValue", "\u0000").option("emptyValue", "") if ext == "csv" else reader).load(path)
 
 
-def parse_spec(spec: str) -> tuple[str | None, str, list[str], int | None]:
-    """(hub, path, subsets, rows) of ``[hub::]path[:sub1/sub2][#n]``."""
-    hub, _, rest = spec.rpartition("::")
-    rest, _, n = rest.partition("#")
-    path, subsets = re.fullmatch(r"((?:\w+:/+)?[^:]*)(?::(.*))?", rest, re.S).groups()
-    return hub or None, path, subsets.split("/") if subsets else [], int(n) if n else None
+def known_path(spark: SparkSession, path: str) -> bool:
+    """Whether Spark finds something at a path."""
+    return _read_or_none(spark, path, spark.read.format("binaryFile").load) is not None
+
+
+def parse_spec(spec: str, exists: Callable[[str], bool] = lambda path: False) -> tuple[str | None, str, list[str], int | None]:
+    """(hub, path, subsets, rows) of ``[hub::]path[:sub1/sub2][#n]``.
+
+    What ``exists`` says is there is never split, and ``#`` splits only before digits at the end; so a path may hold both
+    marks. A scheme (``s3a://``) belongs to the path.
+    """
+    hub, rest, subsets, n = None, spec, "", None
+    if not exists(rest):
+        hub, _, rest = rest.rpartition("::")
+    counted = None if exists(rest) else re.fullmatch(r"(.*)#(\d+)", rest, re.S)
+    if counted:
+        rest, n = counted[1], int(counted[2])
+    if not exists(rest):
+        rest, subsets = re.fullmatch(r"((?:\w+:/+)?[^:]*)(?::(.*))?", rest, re.S).groups()
+    return (hub or "").lower() or None, rest.strip(), [s.strip() for s in subsets.split("/")] if subsets else [], n
 
 
 def select_subsets(asked: list[str], known: list[str], weak: tuple[str, ...] = ()) -> list[str]:

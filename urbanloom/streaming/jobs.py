@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from urbanloom.operators.adapters import STANDARD, keep_standard
 from urbanloom.operators.rounds import numbered
 
 
@@ -16,14 +20,24 @@ def stream_dataset(spark: SparkSession, folder: str, schema: str, files: int = 1
 
 
 def incremental_job(source: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str) -> None:
-    """Append transformed rows and their status; a rerun takes only new input, and ids already in the output are skipped."""
+    """Transformed rows in ``out/rows`` and a row an id in ``out/status``; a rerun takes only new input, and ids done before are skipped.
 
-    def batch(rows: DataFrame, epoch: int) -> None:
+    Both are partitioned by the number of the micro-batch, and a batch that runs again overwrites its own partitions, so a failure
+    at any place between the two writes neither loses nor repeats a row. ``status`` is ``success`` for ids with a row in the
+    result and ``empty`` for others; ids that come twice in a batch are transformed once each row, and done after it.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        done = spark.read.schema(f"{key} long, status string").parquet(f"{out}/status") if _exists(spark, f"{out}/status") else None
-        new = rows if done is None else rows.join(done.select(key), key, "left_anti")
-        transform(new).write.mode("append").parquet(f"{out}/rows")
-        new.select(F.col(key).cast("long"), F.lit("success").alias("status")).write.mode("append").parquet(f"{out}/status")
+        if _exists(spark, f"{out}/status"):
+            done = spark.read.parquet(f"{out}/status").where(F.col("batch") < number).select(key)
+            rows = rows.join(done, key, "left_anti")
+        place = lambda df: df.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch")
+        result = transform(rows)
+        place(result).parquet(f"{out}/rows")
+        made = spark.read.schema(StructType([*result.schema.fields, StructField("batch", IntegerType())])).parquet(f"{out}/rows").where(F.col("batch") == number).select(key).distinct().withColumn("_made", F.lit(True))
+        told = rows.select(key).distinct().join(made, key, "left")
+        place(told.select(key, F.when(F.col("_made"), "success").otherwise("empty").alias("status"))).parquet(f"{out}/status")
 
     source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
@@ -40,9 +54,40 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def buffer_shuffle(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    """The order within a micro-batch by seeded hash."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+def buffer_shuffle(rows: DataFrame, size: int = 1000, seed: int = 0) -> DataFrame:
+    """The rows of a table or stream in a shuffled order: each task holds ``size`` rows, and each row that comes takes the place of one drawn from them, which goes on.
+
+    The draw is seeded by ``seed`` and the task's number; what is held at a task's end follows in shuffled order. No row moves between tasks.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        rng, held = np.random.default_rng((seed, TaskContext.get().partitionId())), None
+        for part in parts:
+            pool = pa.Table.from_batches([part] if held is None else [*held.to_batches(), part])
+            kept = 0 if held is None else held.num_rows
+            slots, out = list(range(min(size, pool.num_rows))), []
+            for row in range(max(size, kept), pool.num_rows):
+                k = int(rng.integers(0, size))
+                out.append(slots[k])
+                slots[k] = row
+            held = pool.take(pa.array(slots, pa.int64())).combine_chunks()
+            yield from pool.take(pa.array(out, pa.int64())).combine_chunks().to_batches()
+        if held is not None:
+            yield from held.take(pa.array(rng.permutation(held.num_rows))).combine_chunks().to_batches()
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def stream_preprocess(rows: DataFrame, prepare: Callable[[DataFrame], DataFrame], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Column functions on a stream or table, without foreachBatch: standard columns of the input are renamed ``__@<name>`` before ``prepare``, and those that it does not make itself get their names back.
+
+    ``prepare`` gets the renamed rows and returns them with new columns; only standard columns and those named in ``keep`` stay.
+    """
+    out = prepare(rows.withColumnsRenamed({c: f"__@{c}" for c in STANDARD if c in rows.columns}))
+    out = out.withColumnsRenamed({f"__@{c}": c for c in STANDARD if f"__@{c}" in out.columns and c not in out.columns})
+    return keep_standard(out, keep)
 
 
 def stream_counts(stream: DataFrame, time: str, key: str, window: str = "1 hour", late: str = "1 day") -> DataFrame:
