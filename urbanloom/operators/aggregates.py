@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,12 +17,59 @@ def cell_stats(cells: DataFrame, top: int = 10) -> DataFrame:
     return counted.withColumn("cells", totals.select("cells").scalar()).withColumn("features", totals.select("features").scalar())
 
 
+#: Points of a cell that one task reduces to their hull.
+HULL_ROWS = 100_000
+
+
+def hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row numbers of the corners of the convex hull of points, by a monotone chain; points on an edge may stay."""
+    order = np.lexsort((y, x))
+    keep: set[int] = set()
+    for rows in (order, order[::-1]):
+        chain: list[int] = []
+        for r in rows.tolist():
+            while len(chain) > 1 and (x[chain[-1]] - x[chain[-2]]) * (y[r] - y[chain[-2]]) - (y[chain[-1]] - y[chain[-2]]) * (x[r] - x[chain[-2]]) < 0:
+                chain.pop()
+            chain.append(r)
+        keep.update(chain)
+    return np.array(sorted(keep), np.int64)
+
+
 def cell_spread(items: DataFrame, limit_m: float = 2000.0) -> DataFrame:
-    """(cell, spread_m, skip): the largest distance of two items of a cell, and whether it is over the limit. Cells are small by construction."""
-    a, b = items.alias("a"), items.alias("b")
-    pairs = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.id") < F.col("b.id")))
-    d = S.haversine_m(F.col("a.lon"), F.col("a.lat"), F.col("b.lon"), F.col("b.lat"))
-    return pairs.groupBy(F.col("a.cell").alias("cell")).agg(F.max(d).alias("spread_m")).withColumn("skip", F.col("spread_m") > limit_m)
+    """(cell, spread_m, skip): the largest distance of two items of a cell, and whether it is over the limit; cells of one item have no row.
+
+    Seen from a cell's middle (gnomonic), great circles are straight lines, and of points within 45 degrees of it the two
+    farthest are corners of their convex hull. Each cell is dealt to parts of about 100,000 points, each part is
+    reduced to the corners of its hull, and these meet. A cell that reaches over 30 degrees of longitude or latitude from it keeps all its points. Equal
+    coordinates count once for the hull; items without coordinates are left out.
+    """
+    known = items.where(F.col("lon").isNotNull() & F.col("lat").isNotNull())
+    ends = known.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.avg("lon").alias("_x"), F.avg("lat").alias("_y"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("lon", "lat")]).where("n > 1")
+    ends = ends.withColumn("wide", F.greatest(F.col("max_lon") - F.col("_x"), F.col("_x") - F.col("min_lon"), F.col("max_lat") - F.col("_y"), F.col("_y") - F.col("min_lat")) > 30)
+    rad = {c: F.radians(c) for c in ("lon", "lat", "_x", "_y")}
+    turn = rad["lon"] - rad["_x"]
+    cosine = F.sin(rad["_y"]) * F.sin(rad["lat"]) + F.cos(rad["_y"]) * F.cos(rad["lat"]) * F.cos(turn)
+    flat = known.select("cell", "lon", "lat").distinct().join(ends, "cell").withColumns({
+        "px": F.cos(rad["lat"]) * F.sin(turn) / cosine, "py": (F.cos(rad["_y"]) * F.sin(rad["lat"]) - F.sin(rad["_y"]) * F.cos(rad["lat"]) * F.cos(turn)) / cosine})
+    part = F.pmod(F.xxhash64("lon", "lat"), F.ceil(F.col("n") / HULL_ROWS)).cast("int")
+    kind = f"cell {items.schema['cell'].dataType.simpleString()}, lon double, lat double, wide boolean, px double, py double"
+
+    def corners(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows[["cell", "lon", "lat", "wide", "px", "py"]]
+        return rows if rows["wide"].iloc[0] else rows.iloc[hull(rows["px"].to_numpy(), rows["py"].to_numpy())]
+
+    def farthest(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = corners(rows)
+        lon, lat = np.radians(rows["lon"].to_numpy()), np.radians(rows["lat"].to_numpy())
+        best = 0.0
+        for at in range(len(lon)):  # one corner with all later ones
+            h = np.sin((lat[at:] - lat[at]) / 2) ** 2 + np.cos(lat[at]) * np.cos(lat[at:]) * np.sin((lon[at:] - lon[at]) / 2) ** 2
+            best = max(best, float(h.max()))
+        return pd.DataFrame({"cell": rows["cell"].iloc[:1], "spread_m": [2 * S.EARTH_M * float(np.arcsin(np.sqrt(min(1.0, best))))]})
+
+    few = flat.withColumn("_b", part).select("cell", "lon", "lat", "wide", "px", "py", "_b").groupBy("cell", "_b").applyInPandas(corners, kind)
+    spread = few.groupBy("cell").applyInPandas(farthest, f"cell {items.schema['cell'].dataType.simpleString()}, spread_m double")
+    return spread.withColumn("skip", F.col("spread_m") > limit_m)
 
 
 def distance_decay(rows: DataFrame, edges: list[float], distance: str = "distance", score: str = "score") -> DataFrame:

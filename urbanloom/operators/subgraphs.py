@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from urbanloom.functions import spatial as S
 
 from .graph import doubled, hops_from, induced_edges
+from .rounds import settled
 
 
 def node_lookup(nodes: DataFrame, known: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -18,16 +19,51 @@ def node_lookup(nodes: DataFrame, known: DataFrame, key: str, columns: list[str]
     return nodes.join(renamed, key, "left").select(*rest, *[F.coalesce(f"_{c}", c).alias(c) for c in columns])
 
 
+def nearest_join(items: DataFrame, places: DataFrame, key: str, item: str, place: str, finest: int = 18) -> DataFrame:
+    """(key, item, place, distance) of the place nearest to each item among those of its key, by great circle, ties to the smaller place.
+
+    ``items``: (key, item, lon, lat); ``places``: (key, place, lon, lat). An item is compared with the places of its own and
+    the eight neighbouring cells of a grid of 2^``finest`` columns around the globe. Whatever lies outside them is farther than
+    the item's distance to the block's edge (a parallel, or the nearest point of a meridian), so a place within that distance is the
+    nearest. Items without one go on to a grid of half as many columns, at last to one cell, so there are at most
+    ``finest + 1`` rounds, and all ends once no item is left. Equal coordinates count once. Items or places
+    without coordinates, and items of keys without places, give no row.
+    """
+    known = lambda df: df.where(F.col("lon").isNotNull() & F.col("lat").isNotNull())
+    there = settled(known(places).groupBy(key, "lon", "lat").agg(F.min(place).alias("_p")).select(key, "_p", F.col("lon").alias("_x"), F.col("lat").alias("_y")))
+    left = settled(known(items).select(key, item, "lon", "lat").distinct().join(there.select(key).distinct(), key, "left_semi"))
+    found = None
+    for level in range(finest, -1, -1):
+        columns, size = 1 << level, 360.0 / (1 << level)
+        cell = lambda lon, lat: (F.pmod(F.floor((F.col(lon) + 180) / size), F.lit(columns)).alias("_i"), F.floor((F.col(lat) + 90) / size).alias("_j"))  # noqa: E731, B023
+        steps = range(-1, 2) if columns > 2 else range(columns)
+        around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in steps for j in (-1, 0, 1)])
+        asked = left.select("*", *cell("lon", "lat")).withColumn("_d", F.explode(around)).withColumns({"_i": F.pmod(F.col("_i") + F.col("_d.i"), F.lit(columns)), "_j": F.col("_j") + F.col("_d.j")}).drop("_d")
+        met = asked.join(there.select("*", *cell("_x", "_y")), [key, "_i", "_j"])
+        best = met.groupBy(key, item, "lon", "lat").agg(F.min(F.struct(S.haversine_m(F.col("lon"), F.col("lat"), F.col("_x"), F.col("_y")).alias("d"), F.col("_p").alias("p"))).alias("b"))
+        if columns > 2:
+            margin = lambda at, origin: F.least(F.pmod(F.col(at) + origin, F.lit(size)), size - F.pmod(F.col(at) + origin, F.lit(size))) + size  # noqa: E731, B023
+            east = F.lit(S.EARTH_M) * F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(F.least(margin("lon", 180), F.lit(90.0)))))
+            proven = F.col("b.d") <= F.least(F.lit(S.EARTH_M) * F.radians(margin("lat", 90)), east) * (1 - 1e-9)
+        else:
+            proven = F.lit(True)
+        told = settled(left.join(best, [key, item, "lon", "lat"], "left").withColumn("_ok", F.coalesce(proven & F.col("b").isNotNull(), F.lit(False))))
+        sure = told.where("_ok").select(key, item, F.col("b.p").alias(place), F.col("b.d").alias("distance"))
+        found = sure if found is None else found.unionByName(sure)
+        left = told.where("not _ok").select(key, item, "lon", "lat")
+        if columns <= 2 or left.isEmpty():
+            break
+    return found
+
+
 def attach_nearest(images: DataFrame, nodes: DataFrame, graph: str = "graph") -> DataFrame:
     """(graph, image, node, distance, type): one edge from each image that its graph lacks to the graph's nearest node, ties to the smaller.
 
-    ``images``: (graph, image, lon, lat); ``nodes``: (graph, id, lon, lat). Each graph's nodes are reduced before the shuffle.
+    ``images``: (graph, image, lon, lat); ``nodes``: (graph, id, lon, lat). See :func:`nearest_join`.
     """
     new = images.join(nodes.select(graph, F.col("id").alias("image")), [graph, "image"], "left_anti")
-    there = nodes.select(graph, "id", F.col("lon").alias("_x"), F.col("lat").alias("_y"))
-    far = new.join(there, graph).select(graph, "image", "id", S.haversine_m(F.col("lon"), F.col("lat"), F.col("_x"), F.col("_y")).alias("d"))
-    best = far.groupBy(graph, "image").agg(F.min(F.struct("d", "id")).alias("b"))
-    return best.select(graph, "image", F.col("b.id").alias("node"), F.col("b.d").alias("distance"), F.lit("mapillary_connection").alias("type"))
+    near = nearest_join(new, nodes.select(graph, F.col("id").alias("node"), "lon", "lat"), graph, "image", "node")
+    return near.select(graph, "image", "node", "distance", F.lit("mapillary_connection").alias("type"))
 
 
 def attach_image_nodes(images: DataFrame, nodes: DataFrame, graph: str = "graph") -> DataFrame:

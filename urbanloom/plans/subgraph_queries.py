@@ -34,10 +34,10 @@ def d24_node_lookup(spark: SparkSession, d: str) -> DataFrame:
     return B.node_lookup(g.select("id", "graph", F.lit("own").alias("name")), known, "id", ["name"])
 
 
-@query(f"WITH {GRAPHS}, i AS (SELECT user_id % 10 AS graph, id AS image, lon, lat FROM images WHERE user_id < 20), f AS (SELECT i.graph, i.image, g.id, {hav('i.lon', 'i.lat', 'g.lon', 'g.lat')} AS dd FROM i JOIN g ON i.graph = g.graph) SELECT graph, image, arg_min(id, (dd, id)) AS node, round(min(dd), 4) AS distance, 'mapillary_connection' AS type FROM f GROUP BY graph, image")
+@query(f"WITH {GRAPHS}, i AS (SELECT user_id % 10 AS graph, id AS image, lon, lat FROM images), f AS (SELECT i.graph, i.image, g.id, {hav('i.lon', 'i.lat', 'g.lon', 'g.lat')} AS dd FROM i JOIN g ON i.graph = g.graph) SELECT graph, image, arg_min(id, (dd, id)) AS node, round(min(dd), 4) AS distance, 'mapillary_connection' AS type FROM f GROUP BY graph, image")
 def d25_attach_image_to_nearest_node(spark: SparkSession, d: str) -> DataFrame:
-    """Images of the first twenty users, which are those of the graphs, at their nearest node."""
-    images = table(spark, d, "images").where("user_id < 20").select((F.col("user_id") % 10).alias("graph"), F.col("id").alias("image"), "lon", "lat")
+    """All images at the nearest node of their graph."""
+    images = table(spark, d, "images").select((F.col("user_id") % 10).alias("graph"), F.col("id").alias("image"), "lon", "lat")
     return B.attach_nearest(images, _graphs(spark, d)).withColumn("distance", F.round("distance", 4))
 
 
