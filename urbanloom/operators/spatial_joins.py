@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from urbanloom.functions import spatial as S
 
+from .rounds import settled
+
 from .rounds import numbered
 
 
@@ -140,34 +142,82 @@ def filter_points_in_areas(found: DataFrame, low: float = 0.0, high: float = flo
     return kept.join(kept.groupBy("point_id").count().where("count = 1").select("point_id"), "point_id", "left_semi")
 
 
-def boundary_streets(segments: DataFrame, rings: DataFrame, buffer_deg: float = 1e-4, share: float = 0.3, id_col: str = "id") -> DataFrame:
-    """(street_id, area_id, overlap_m, ratio, boundary_type): streets of which at least a share runs within a buffer of an area's ring.
+def _span(k0: Column, k1: Column, low: Column, high: Column) -> Column:
+    """struct(a, b): the t at which ``low <= k0 + k1 t <= high``; null where there is none."""
+    slope = F.nullif(k1, F.lit(0.0))
+    x, y = (low - k0) / slope, (high - k0) / slope
+    always = F.when((k0 >= low) & (k0 <= high), F.struct(F.lit(-1e300).alias("a"), F.lit(1e300).alias("b")))
+    return F.when(F.abs(k1) < 1e-300, always).otherwise(F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")))
+
+
+def with_capsule_spans(pairs: DataFrame, radius: float) -> DataFrame:
+    """The rows (x1, y1, x2, y2, u1, v1, u2, v2) with ``a`` and ``b``: the part of the segment from 0 to 1 that lies within ``radius`` of the edge u, v; nulls where none does.
 
-    Segments are cut into pieces of at most half the buffer; a piece counts if its middle is within the buffer. The error
-    is at most one piece for each place where a street enters or leaves the buffer.
+    What lies within a distance of an edge is convex, so it is one part: that of the two discs at the edge's ends
+    and of the strip between them, together.
     """
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    n = F.greatest(F.lit(1), F.ceil(F.sqrt(dx * dx + dy * dy) / (buffer_deg / 2))).cast("int")
-    pieces = segments.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    mid = (F.col("k") + 0.5) / F.col("n")
-    pieces = pieces.select(F.col(id_col).alias("street_id"), (F.col("x1") + mid * dx).alias("lon"), (F.col("y1") + mid * dy).alias("lat"), (S.haversine_m(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")) / F.col("n")).alias("m"))
-    total = pieces.groupBy("street_id").agg(F.sum("m").alias("total_m"))
-    size = 50 * buffer_deg
-    edges = in_cells(rings, F.least("x1", "x2") - buffer_deg, F.least("y1", "y2") - buffer_deg, F.greatest("x1", "x2") + buffer_deg, F.greatest("y1", "y2") + buffer_deg, size).select(F.col("id").alias("area_id"), "x1", "y1", "x2", "y2", "cx", "cy")
-    at = pieces.withColumn("cx", F.floor(F.col("lon") / size).cast("long")).withColumn("cy", F.floor(F.col("lat") / size).cast("long"))
-    ex, ey = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    t = F.least(F.greatest(((F.col("lon") - F.col("x1")) * ex + (F.col("lat") - F.col("y1")) * ey) / F.nullif(ex * ex + ey * ey, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-    gap = F.sqrt(F.pow(F.col("lon") - F.col("x1") - t * ex, 2) + F.pow(F.col("lat") - F.col("y1") - t * ey, 2))
-    near = at.join(edges, ["cx", "cy"]).where(gap <= buffer_deg).select("street_id", "area_id", "lon", "lat", "m").distinct()
-    overlap = near.groupBy("street_id", "area_id").agg(F.sum("m").alias("overlap_m"))
-    return overlap.join(total, "street_id").withColumn("ratio", F.least(F.lit(1.0), F.col("overlap_m") / F.nullif(F.col("total_m"), F.lit(0.0)))).where(F.col("ratio") >= share).drop("total_m")
-
-
-def boundary_kind(pairs: DataFrame, vertices: DataFrame, rings: DataFrame) -> DataFrame:
-    """The pairs with boundary_type: internal if all vertices are inside, external if none, else boundary_crossing."""
-    inside = pairs.select("street_id", "area_id").join(vertices.select(F.col("id").alias("street_id"), "lon", "lat"), "street_id").join(rings.select(F.col("id").alias("area_id"), "line"), "area_id")
-    inside = inside.groupBy("street_id", "area_id").agg(F.avg(S.point_in_ring(F.col("lon"), F.col("lat"), F.col("line")).cast("double")).alias("p"))
-    return pairs.join(inside, ["street_id", "area_id"]).withColumn("boundary_type", F.when(F.col("p") == 1, "internal").when(F.col("p") == 0, "external").otherwise("boundary_crossing")).drop("p")
+    c = F.col
+    dx, dy, ex, ey = c("x2") - c("x1"), c("y2") - c("y1"), c("u2") - c("u1"), c("v2") - c("v1")
+    rows = pairs.withColumns({"_dx": dx, "_dy": dy, "_ex": ex, "_ey": ey}).withColumns({"_q": c("_dx") * c("_dx") + c("_dy") * c("_dy"), "_l": c("_ex") * c("_ex") + c("_ey") * c("_ey")})
+
+    def disc(u: str, v: str) -> Column:
+        q = F.nullif(c("_q"), F.lit(0.0))
+        half = (c("_dx") * (c("x1") - c(u)) + c("_dy") * (c("y1") - c(v))) / q
+        rest = half * half - (F.pow(c("x1") - c(u), 2) + F.pow(c("y1") - c(v), 2) - radius * radius) / q
+        return F.when((c("_q") > 0) & (rest >= 0), F.struct((-half - F.sqrt(F.greatest(rest, F.lit(0.0)))).alias("a"), (-half + F.sqrt(F.greatest(rest, F.lit(0.0)))).alias("b")))
+
+    wide = radius * F.sqrt("_l")
+    across = _span(c("_ex") * (c("y1") - c("v1")) - c("_ey") * (c("x1") - c("u1")), c("_ex") * c("_dy") - c("_ey") * c("_dx"), -wide, wide)
+    along = _span(c("_ex") * (c("x1") - c("u1")) + c("_ey") * (c("y1") - c("v1")), c("_ex") * c("_dx") + c("_ey") * c("_dy"), F.lit(0.0), c("_l"))
+    rows = rows.withColumns({"_1": disc("u1", "v1"), "_2": disc("u2", "v2"), "_3": across, "_4": F.when(c("_l") > 0, along)})
+    strip = F.when(F.greatest("_3.a", "_4.a") <= F.least("_3.b", "_4.b"), F.struct(F.greatest("_3.a", "_4.a").alias("a"), F.least("_3.b", "_4.b").alias("b")))
+    rows = rows.withColumn("_5", F.when(c("_3").isNotNull() & c("_4").isNotNull(), strip))
+    start, end = F.greatest(F.least("_1.a", "_2.a", "_5.a"), F.lit(0.0)), F.least(F.greatest("_1.b", "_2.b", "_5.b"), F.lit(1.0))
+    some = (c("_q") > 0) & (c("_1").isNotNull() | c("_2").isNotNull() | c("_5").isNotNull()) & (start < end)
+    return rows.withColumns({"a": F.when(some, start), "b": F.when(some, end)}).select(*pairs.columns, "a", "b")
+
+
+def boundary_streets(segments: DataFrame, rings: DataFrame, areas: DataFrame, buffer_deg: float = 1e-4, share: float = 0.3, id_col: str = "id", metric=S.haversine_m) -> DataFrame:
+    """(street_id, area_id, overlap_m, ratio, boundary_type): streets of which at least a share of their metres runs within a buffer of an area's ring.
+
+    ``segments`` (id, seg, x1, y1, x2, y2) of streets, ``rings`` the same of areas, ``areas`` (id, line). The buffer is in degrees,
+    its ends are round. Each segment is clipped exactly by the buffers of the ring edges near it, and the parts are united, so
+    none counts twice. A street is ``internal`` if no piece of it lies outside, else ``boundary_crossing`` if it meets the
+    ring, else ``boundary_adjacent``; what keeps out of the buffer is ``external`` and has no row. Pieces that run
+    along the ring itself may fall on either side. Streets without length have no row.
+    """
+    c, size = F.col, 50 * buffer_deg
+    segs = segments.select(c(id_col).alias("street_id"), "seg", "x1", "y1", "x2", "y2")
+    edges = rings.select(c("id").alias("area_id"), c("x1").alias("u1"), c("y1").alias("v1"), c("x2").alias("u2"), c("y2").alias("v2"))
+    low = lambda p, q, pad=0.0: F.least(p, q) - pad
+    left = in_cells(segs, low("x1", "x2"), low("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"), size)
+    right = in_cells(edges, low("u1", "u2", buffer_deg), low("v1", "v2", buffer_deg), F.greatest("u1", "u2") + buffer_deg, F.greatest("v1", "v2") + buffer_deg, size)
+    once = (F.floor(F.greatest(low("x1", "x2"), low("u1", "u2", buffer_deg)) / size) == c("cx")) & (F.floor(F.greatest(low("y1", "y2"), low("v1", "v2", buffer_deg)) / size) == c("cy"))  # of the cells that both touch, the first
+    beside = settled(left.join(right, ["cx", "cy"]).where(once).drop("cx", "cy"))  # written first, else the clipping is worked out inside the join's condition
+    near = settled(with_capsule_spans(beside, buffer_deg).where("a is not null"))
+
+    key = ["street_id", "area_id", "seg"]
+    w = Window.partitionBy(*key).orderBy("a", "b")
+    reach = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    islands = near.withColumn("_new", F.when(reach.isNull() | (c("a") > reach), 1).otherwise(0)).withColumn("_i", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = islands.groupBy(*key, "_i", "x1", "y1", "x2", "y2").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    at = lambda t: (c("x1") + c(t) * (c("x2") - c("x1")), c("y1") + c(t) * (c("y2") - c("y1")))
+    overlap = parts.groupBy("street_id", "area_id").agg(F.sum(metric(*at("a"), *at("b"))).alias("overlap_m"))
+    total = segs.groupBy("street_id").agg(F.sum(metric(c("x1"), c("y1"), c("x2"), c("y2"))).alias("total_m"))
+    kept = overlap.join(total, "street_id").withColumn("ratio", F.least(F.lit(1.0), c("overlap_m") / F.nullif("total_m", F.lit(0.0)))).where(c("ratio") >= share).drop("total_m")
+
+    dx, dy, ex, ey = c("x2") - c("x1"), c("y2") - c("y1"), c("u2") - c("u1"), c("v2") - c("v1")
+    turn = dx * ey - dy * ex
+    t = ((c("u1") - c("x1")) * ey - (c("v1") - c("y1")) * ex) / F.nullif(turn, F.lit(0.0))
+    u = ((c("u1") - c("x1")) * dy - (c("v1") - c("y1")) * dx) / F.nullif(turn, F.lit(0.0))
+    cuts = near.withColumns({"t": t, "u": u}).where("t between 0 and 1 and u between 0 and 1").groupBy(*key).agg(F.array_sort(F.collect_set("t")).alias("cuts"))
+    ends = F.concat(F.array(F.lit(0.0)), F.coalesce("cuts", F.array().cast("array<double>")), F.array(F.lit(1.0)))
+    pieces = kept.select("street_id", "area_id").join(segs, "street_id").join(cuts, key, "left").withColumn("ends", ends)
+    middle = F.transform(F.sequence(F.lit(1), F.size("ends") - 1), lambda i: F.when(F.get("ends", i) - F.get("ends", i - 1) > 1e-12, (F.get("ends", i) + F.get("ends", i - 1)) / 2))
+    pieces = pieces.select("street_id", "area_id", "x1", "y1", "x2", "y2", c("cuts").isNotNull().alias("meets"), F.explode(F.array_compact(middle)).alias("t"))
+    told = pieces.join(areas.select(c("id").alias("area_id"), "line"), "area_id").withColumn("inside", S.point_in_ring(*at("t"), c("line")))
+    kind = told.groupBy("street_id", "area_id").agg(F.when(F.bool_and("inside"), "internal").when(F.bool_or("meets"), "boundary_crossing").otherwise("boundary_adjacent").alias("boundary_type"))
+    return kept.join(kind, ["street_id", "area_id"])
 
 
 def radius_nodes(centres: DataFrame, nodes: DataFrame, radius_m: float = 500.0) -> DataFrame:

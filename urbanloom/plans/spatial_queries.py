@@ -97,12 +97,32 @@ def d15_filter_points_in_areas(spark: SparkSession, d: str) -> DataFrame:
     return J.filter_points_in_areas(found, 100, 400, only_one=True).select("point_id", "area_id")
 
 
-@query()
+#: Streets clipped by the capsules of ring edges; r is the buffer in degrees.
+CLIPPED = f"""WITH r AS (SELECT 5e-4 AS r), sg AS ({SEGMENTS}), ed AS ({RING}),
+p AS (SELECT s.id AS street_id, s.seg, e.id AS area_id, s.x1, s.y1, s.x2 - s.x1 AS dx, s.y2 - s.y1 AS dy, e.x1 AS u, e.y1 AS v, e.x2 - e.x1 AS ex, e.y2 - e.y1 AS ey, r FROM r, sg s JOIN ed e ON least(s.x1, s.x2) <= greatest(e.x1, e.x2) + 5e-4 AND greatest(s.x1, s.x2) >= least(e.x1, e.x2) - 5e-4 AND least(s.y1, s.y2) <= greatest(e.y1, e.y2) + 5e-4 AND greatest(s.y1, s.y2) >= least(e.y1, e.y2) - 5e-4),
+q AS (SELECT *, dx * dx + dy * dy AS dd, ex * ex + ey * ey AS ee, dx * (x1 - u) + dy * (y1 - v) AS h1, dx * (x1 - u - ex) + dy * (y1 - v - ey) AS h2, ex * (y1 - v) - ey * (x1 - u) AS k0, ex * dy - ey * dx AS k1, ex * (x1 - u) + ey * (y1 - v) AS j0, ex * dx + ey * dy AS j1 FROM p),
+w AS (SELECT *, h1 * h1 - dd * (pow(x1 - u, 2) + pow(y1 - v, 2) - r * r) AS z1, h2 * h2 - dd * (pow(x1 - u - ex, 2) + pow(y1 - v - ey, 2) - r * r) AS z2,
+  CASE WHEN k1 = 0 THEN CASE WHEN abs(k0) <= r * sqrt(ee) THEN -1e300 END ELSE least((-r * sqrt(ee) - k0) / k1, (r * sqrt(ee) - k0) / k1) END AS pa, CASE WHEN k1 = 0 THEN 1e300 ELSE greatest((-r * sqrt(ee) - k0) / k1, (r * sqrt(ee) - k0) / k1) END AS pb,
+  CASE WHEN j1 = 0 THEN CASE WHEN j0 BETWEEN 0 AND ee THEN -1e300 END ELSE least(-j0 / j1, (ee - j0) / j1) END AS la, CASE WHEN j1 = 0 THEN 1e300 ELSE greatest(-j0 / j1, (ee - j0) / j1) END AS lb FROM q),
+i AS (SELECT *, CASE WHEN z1 >= 0 THEN (-h1 - sqrt(greatest(z1, 0))) / dd END AS a1, CASE WHEN z1 >= 0 THEN (-h1 + sqrt(greatest(z1, 0))) / dd END AS b1, CASE WHEN z2 >= 0 THEN (-h2 - sqrt(greatest(z2, 0))) / dd END AS a2, CASE WHEN z2 >= 0 THEN (-h2 + sqrt(greatest(z2, 0))) / dd END AS b2,
+  CASE WHEN pa IS NOT NULL AND la IS NOT NULL AND greatest(pa, la) <= least(pb, lb) THEN greatest(pa, la) END AS a3, CASE WHEN pa IS NOT NULL AND la IS NOT NULL AND greatest(pa, la) <= least(pb, lb) THEN least(pb, lb) END AS b3 FROM w WHERE dd > 0),
+c AS (SELECT street_id, area_id, seg, x1, y1, dx, dy, greatest(0, list_min([a1, a2, a3])) AS a, least(1, list_max([b1, b2, b3])) AS b, ((u - x1) * ey - (v - y1) * ex) / nullif(dx * ey - dy * ex, 0) AS t, ((u - x1) * dy - (v - y1) * dx) / nullif(dx * ey - dy * ex, 0) AS s FROM i WHERE coalesce(a1, a2, a3) IS NOT NULL AND greatest(0, list_min([a1, a2, a3])) < least(1, list_max([b1, b2, b3]))),
+n AS (SELECT *, max(b) OVER (PARTITION BY street_id, area_id, seg ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c),
+g AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY street_id, area_id, seg ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS isle FROM n),
+m AS (SELECT street_id, area_id, seg, x1, y1, dx, dy, min(a) AS a, max(b) AS b FROM g GROUP BY street_id, area_id, seg, x1, y1, dx, dy, isle),
+o AS (SELECT street_id, area_id, sum({hav('x1 + a * dx', 'y1 + a * dy', 'x1 + b * dx', 'y1 + b * dy')}) AS metres FROM m GROUP BY ALL),
+l AS (SELECT id, sum({hav('x1', 'y1', 'x2', 'y2')}) AS total FROM sg GROUP BY id),
+x AS (SELECT street_id, area_id, bool_or(t BETWEEN 0 AND 1 AND s BETWEEN 0 AND 1) AS meets FROM c GROUP BY ALL),
+f AS (SELECT s.id AS street_id, e.id AS area_id, sum(CASE WHEN (e.y1 > s.y1) <> (e.y2 > s.y1) AND s.x1 < (e.x2 - e.x1) * (s.y1 - e.y1) / (e.y2 - e.y1) + e.x1 THEN 1 ELSE 0 END) % 2 AS odd FROM sg s, ed e WHERE s.seg = 0 GROUP BY ALL)
+SELECT o.street_id, o.area_id, round(metres, 3) AS overlap_m, round(least(1, metres / total), 5) AS ratio, CASE WHEN coalesce(meets, false) THEN 'boundary_crossing' WHEN odd = 1 THEN 'internal' ELSE 'boundary_adjacent' END AS boundary_type
+FROM o JOIN l ON l.id = o.street_id JOIN x USING (street_id, area_id) JOIN f USING (street_id, area_id) WHERE metres / total >= 0.1"""
+
+
+@query(CLIPPED)
 def d11_area_boundary_streets(spark: SparkSession, d: str) -> DataFrame:
-    """Streets along area boundaries with their overlap."""
-    rings, streets = table(spark, d, "area_rings"), table(spark, d, "street_vertices")
-    pairs = J.boundary_streets(_segments(spark, d), J.segments_of(rings), buffer_deg=5e-4, share=0.1)
-    return J.boundary_kind(pairs, streets, _areas(spark, d))
+    """Streets along area boundaries with their exact overlap."""
+    found = J.boundary_streets(_segments(spark, d), J.segments_of(table(spark, d, "area_rings")), _areas(spark, d), buffer_deg=5e-4, share=0.1)
+    return found.select("street_id", "area_id", F.round("overlap_m", 3).alias("overlap_m"), F.round("ratio", 5).alias("ratio"), "boundary_type")
 
 
 @query(f"""SELECT a.id, round({hav('a.lon', 'a.lat', 'b.lon', 'b.lat')}, 3) AS haversine_m, round((degrees({bear('a.lon', 'a.lat', 'b.lon', 'b.lat')}) + 360) % 360, 4) AS bearing,
