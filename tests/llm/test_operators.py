@@ -105,6 +105,20 @@ def test_shards_against_brute_force(spark, odd):
         assert abs(sum(r.size for r in mine) - total / 5) < total / 10
 
 
+@pytest.mark.parametrize("n", [40, 500])
+def test_neighbours_of_small_tables(spark, n):
+    """Recall against brute force where the table is small: the same share decides, and every query has its five answers."""
+    v = np.random.default_rng(n).standard_normal((n, 32)).astype(np.float32)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in neighbours.search(rows, F.col("vec_id") % 10 == 0, k=5).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    near = unit @ unit.T
+    hits = [len(set(got[q]) & set([int(x) for x in np.argsort(-near[q], kind="stable") if x != q][:5])) for q in range(0, n, 10)]
+    assert set(map(len, got.values())) == {5} and sum(hits) / (5 * len(hits)) >= 0.9
+
+
 def test_neighbours_prunes(spark):
     """Recall against brute force where the forest leaves out about half of the vectors."""
     rng = np.random.default_rng(12)

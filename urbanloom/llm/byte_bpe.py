@@ -93,7 +93,8 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     """(id, n_tokens, ids_sha256, decoded_sha256, lossless[, ids]) of every row, from its whole text.
 
     Null text counts as empty: no ids, digests of nothing. ``lossless`` says whether the decoded bytes are the text's.
-    ``keep_ids`` adds the ids as array<int>. Other columns are left out; repeated rows and ids stay.
+    ``keep_ids`` adds the ids as array<int>. Other columns are left out, whatever their names; repeated rows
+    and null ids stay; very long texts are encoded whole, a pre-token at a time; an empty table gives no rows.
     """
     tokens = read_ranks(path)
     shared = docs.sparkSession.sparkContext.broadcast((tokens, serialise(tokens), pattern))

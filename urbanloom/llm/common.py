@@ -15,9 +15,11 @@ CHUNK_CHARS = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local master gets one of our own and any other an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="urbanloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -78,7 +80,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: i
 
 
 def keep_rows(docs: DataFrame, model, keep, text: str = "text") -> DataFrame:
-    """The rows, with all their columns, for which ``keep(model, texts)`` is true; decided where they are read, without a join."""
+    """The rows, with all their columns, for which ``keep(model, texts)`` is true; decided where they are read, without a join.
+
+    Each row is judged by its own text, so repeated rows and ids stay or go together; ``keep`` gets null and empty texts too, and very
+    long ones whole. Columns may have any names, as only the text's is looked up. An empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     order = [text, *[c for c in docs.columns if c != text]]
     ordered = docs.select(*order)

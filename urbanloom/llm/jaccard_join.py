@@ -481,7 +481,10 @@ def _voronoi(many: DataFrame, pivots: DataFrame, tests: DataFrame, away: DataFra
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows, with all their columns, of the smallest id of each group; all rows of that id stay. Rows without words stay."""
+    """The rows, with all their columns, of the smallest id of each group; all rows of that id stay. Rows without words stay.
+
+    Null ids stay, as no group has them; very long texts are compared whole; columns may have any names; an empty table gives no rows.
+    """
     linked = link_groups(docs.select(id_col, text), id_col, text)
     gone = linked.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     return docs.join(gone, id_col, "left_anti")

@@ -13,7 +13,8 @@ from .common import sampled, text_runs
 
 #: Character classes of an automaton: 0 for what is no letter, OTHERS classes that other letters share, then the commonest letters.
 CLASSES, OTHERS = 64, 16
-#: Every text is parsed in segments of so many characters, so that one long text costs as much per character as many short ones.
+#: Every text is parsed whole, in segments of so many characters side by side, so that one long text costs as much per character
+#: as many short ones. A phrase over a cut counts twice: at most one more phrase for 4,096 characters, under each language alike.
 SEGMENT = 4096
 
 
@@ -140,13 +141,12 @@ class CrossParser:
         return [self.langs[b] if ok else "und" for b, ok in zip(best, letters)], share
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", texts: int = 64, chars: int = 40_000) -> CrossParser:
-    """Automata from at most ``texts`` distinct texts and ``chars`` characters of each language (the bound of the sample).
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", texts: int = 64, chars: int = 40_000, per_text: int = 2_501) -> CrossParser:
+    """Automata from at most ``texts`` distinct texts, the first ``per_text`` characters of each and ``chars`` characters in all of each language (the bounds of the sample).
 
     Rows without text or language are passed over. Ties between languages go to the first by name.
     """
-    part = 4 * chars // texts + 1
-    rows = sampled(labelled, lang, texts, text).select(lang, F.substring(text, 1, part).alias(text)).collect()
+    rows = sampled(labelled, lang, texts, text).select(lang, F.substring(text, 1, per_text).alias(text)).collect()
     by: dict[str, list[str]] = {}
     for row in rows:
         by.setdefault(row[0], []).append(row[1])

@@ -85,8 +85,9 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, trees: int = 16, share
 
     Null, zero or non-finite vectors, and vectors of another length than the most common one, take no part. The
     forest is fitted on at most ``sample`` distinct vectors (the bound); every row is indexed. Each query looks at
-    leaves of all trees until their sizes add up to ``share`` of the distinct vectors and 50 (k + 1) more; as the trees'
-    leaves overlap, that is about half of them for nearly isotropic vectors, which need it. Equal vectors are one
+    leaves of all trees until their sizes add up to ``share`` of the N distinct vectors and 13 sqrt(N) more, as the order of leaves is
+    the less certain the fewer vectors there are, and at least to the ``trees * (k + 1)`` that hold k + 1 distinct ones whatever
+    they are (this decides under some 40 vectors); as the trees' leaves overlap, that is about half of them for nearly isotropic vectors, which need it. Equal vectors are one
     candidate with its k + 1 smallest ids, which are all that an answer can hold; so a group of copies of any size costs
     one comparison. Repeated ids count as rows of their own. Only the two named columns are read; an empty table gives
     no rows.
@@ -118,7 +119,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, trees: int = 16, share
     sizes = np.zeros((trees, 1 << levels))
     for r in counted.collect():
         sizes[r["tree"], r["leaf"]] = r["n"]
-    plan = spark.sparkContext.broadcast((sizes, share * total + 50 * (k + 1)))
+    plan = spark.sparkContext.broadcast((sizes, max(share * total + 13 * total**0.5, trees * (k + 1))))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, want = plan.value

@@ -161,7 +161,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label:
 
 
 def score_documents(docs: DataFrame, field: Crf, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, score) of every row, from its whole text. Null text counts as empty: one empty line. Repeated rows and ids stay."""
+    """(id, score) of every row, from its whole text. Null text counts as empty: one empty line.
+
+    Very long texts are scored whole, with all their lines; equal texts have equal scores; repeated rows and null ids stay; other columns
+    are not read; an empty table gives no rows. A caller's limit that a score meets exactly is met.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(field)
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -75,7 +75,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     texts the largest shard can be larger by at most one cell's bytes. Slots number the rows
     of a shard from 0 without gaps, by cell, then a salt of the id, then id, then checksum; repeated rows get a slot
     each. A cell of n rows is numbered in about sqrt(n) salted parts of about sqrt(n) rows, so no hot text meets one
-    task. grown_shard is null under this law. An empty table gives no rows.
+    task. grown_shard is null under this law. Null ids are rows as others, in one salt of
+    their cell; very long texts count whole; only the two named columns are read. An empty table gives no rows.
     """
     rows = docs.select(
         F.col(id_col), (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.encode(F.col(text), "UTF-8")).alias("text_crc32"),

@@ -132,7 +132,8 @@ def score_documents(docs: DataFrame, model: Ordinal, limit: float = 0.5, id_col:
     """(id, severity, grade, score, predicted) of every row, from its whole text.
 
     severity: expected grade, 0 to 3; grade: the nearest whole grade; score: P(grade > 0); predicted: 1 if score is at
-    least ``limit``. Null and empty texts have no features. Repeated rows and ids stay.
+    least ``limit``. Null and empty texts have no features. Very long texts are scored whole; a score just at ``limit`` is toxic;
+    repeated rows and null ids stay; other columns are not read; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
