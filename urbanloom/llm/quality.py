@@ -154,7 +154,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label:
     texts, y, counts = labelled_sample(docs, labels, label, per_label, id_col=id_col, text=text)
     if len(set(y)) < 2:
         return Crf()
-    x, _, per = line_features(texts)
+    parts = [line_features(texts[at : at + 200]) for at in range(0, len(texts), 200)]  # what a few hundred texts need at a time
+    x, per = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
+    del parts
     y = np.array(y)
     weight = np.array([counts[k] / (y == k).sum() for k in y], float)
     return Crf().fit(x, per, y, weight / weight.mean())
