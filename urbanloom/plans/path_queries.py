@@ -10,6 +10,7 @@ from urbanloom.functions import records as R
 from urbanloom.functions import spatial as S
 from urbanloom.functions import text as T
 from urbanloom.operators import paths as P
+from urbanloom.operators import training_records as Tr
 from urbanloom.sources.fixtures import table
 
 from .registry import bear, hav, query
@@ -214,6 +215,23 @@ def h22_training_example(spark: SparkSession, d: str) -> DataFrame:
     return n.select("path", F.to_json(R.training_example(F.concat(F.lit("Path "), p), F.concat(F.col("n").cast("string"), F.lit(" steps")), F.concat(F.lit("i"), p, F.lit(".jpg")), F.concat(F.lit("g"), p, F.lit(".pkl")))).alias("record"))
 
 
+@query("""WITH e AS (SELECT path, arg_min(name, pos) AS a, arg_max(name, pos) AS b, arg_min(kind, pos) AS j, arg_max(kind, pos) AS k, min(node) AS n FROM walks GROUP BY path),
+v AS (SELECT *, a <> '' AND (NOT regexp_full_match(a, '[0-9]+') OR j = 'point') AND b <> '' AND (NOT regexp_full_match(b, '[0-9]+') OR k = 'point') AS named, path % 40 AS text FROM e),
+r AS (SELECT v.path, CASE WHEN NOT named THEN 'unnamed_ends' WHEN path > min(path) FILTER (WHERE named) OVER (PARTITION BY text) THEN 'duplicate_path' WHEN path % 7 = 0 AND n % 2 = 0 THEN 'no_coordinates' WHEN path % 5 = 0 THEN 'graph_not_finished' WHEN path % 6 = 1 THEN 'no_messages' ELSE 'kept' END AS reason, path % 7 = 0 AS filled FROM v)
+SELECT reason, count(*) AS lines FROM r GROUP BY reason UNION ALL SELECT 'filled', count(*) FROM r WHERE reason = 'kept' AND filled HAVING count(*) > 0""")
+def h23_skip_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many lines of a training-record job are kept, and why the others are not (H23, H12, H18-H21); points stand for images."""
+    w = table(spark, d, "walks").withColumn("kind", F.when(F.col("kind") == "point", "mapillary").otherwise(F.col("kind")))
+    p, i = F.col("line"), F.col("line").cast("string")
+    turns = F.array(F.struct(F.lit("user").alias("role"), F.concat(F.lit("See image with id "), F.col("image").cast("string")).alias("content")), F.struct(F.lit("assistant").alias("role"), F.lit("Go.").alias("content")))
+    jobs = w.groupBy(F.col("path").alias("line")).agg(F.min("node").alias("image")).select(
+        "line", "image", F.when(p % 6 != 1, turns).alias("messages"), F.concat(i, F.lit(".jpg")).alias("image_path"), F.concat(i, F.lit(".pkl")).alias("graph_path"), F.lit("s").alias("summarization"),
+        F.when(p % 7 != 0, "(103.8, 1.3)").otherwise("unknown coordinates").alias("coordinates"), F.concat(F.lit("path "), (p % 40).cast("string")).alias("path_text"))
+    nodes = w.where("node % 2 = 1").select("node", "lon", "lat", F.col("category").alias("said"))
+    records = Tr.compose_records(jobs, w.select(F.col("path").alias("line"), "pos", "node", "name", "kind"), nodes, finished=jobs.where("line % 5 <> 0").select("graph_path"))
+    return Tr.skip_counts(records)
+
+
 NAMES16 = "['North', 'North-Northeast', 'Northeast', 'East-Northeast', 'East', 'East-Southeast', 'Southeast', 'South-Southeast', 'South', 'South-Southwest', 'Southwest', 'West-Southwest', 'West', 'West-Northwest', 'Northwest', 'North-Northwest']"
 
 
