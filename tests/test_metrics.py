@@ -1,5 +1,7 @@
 import numpy as np
+from pyspark.sql import functions as F
 
+from urbanloom.operators import metrics as M
 from urbanloom.plans import metric_queries as Q
 
 
@@ -27,3 +29,13 @@ def test_query_set_of_searches_against_brute_force(spark, tmp_path):
     got = Q.k2_infonce_20(spark, str(tmp_path)).first()
     assert np.allclose([got.mean_pos, got.mean_neg, got.mean_margin], [np.mean(pos), np.concatenate(neg).mean(), np.mean(margin)], atol=1e-5)
     assert np.isclose(got.infonce, np.mean(loss), atol=1e-4)
+
+
+def test_answers_as_numbers(spark):
+    cases = [
+        ("<answer>1/2</answer>", "0.5", True), ("<answer> 50% </answer>", "1/2", True), (r"so \boxed{\frac{3}{4}}", "0.75", True), (r"<answer>$\boxed{-\dfrac{1}{8}}$</answer>", "-0.125", True),
+        ("<answer>1,234,567</answer>", "1234567", True), ("<answer>1,2</answer>", "12", False), ("<answer>x + 1.</answer>", "X + 1", True), ("<answer>1/0</answer>", "0", False), ("12", "12", False),
+        (r"\boxed{1} then \boxed{2}", "<answer>2</answer>", True), ("<answer>1e3</answer>", "1000", True), ("<answer></answer>", "3", False), (None, "1", None), ("<answer>1</answer>", None, None), (r"<answer>12\%</answer>", "0.12", True), (r"<answer>\(7\)</answer>", "7", True)]
+    rows = spark.createDataFrame(cases, "t string, s string, want boolean")
+    got = [(r.t, r.s, r.got) for r in rows.select("t", "s", M.answer_right(F.col("t"), F.col("s")).alias("got")).collect()]
+    assert [g or False for *_, g in got] == [w or False for *_, w in cases], [x for x, c in zip(got, cases, strict=True) if (x[2] or False) != (c[2] or False)]

@@ -68,7 +68,11 @@ def fingerprint(columns: dict[str, Column]) -> Column:
     return F.md5(F.to_json(F.struct(*[columns[k].alias(k) for k in sorted(columns)])))
 
 
-def same_street(a: Column, b: Column, stopwords: tuple[str, ...] = ("street", "st", "road", "rd", "avenue", "ave")) -> Column:
+#: Words that do not tell streets apart.
+STREET_WORDS = ("street", "st", "road", "rd", "avenue", "ave")
+
+
+def same_street(a: Column, b: Column, stopwords: tuple[str, ...] = STREET_WORDS) -> Column:
     """Equal, one within the other, or equal without street words; null or blank is false."""
     x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
     core = lambda c: F.array_join(F.filter(F.split(c, " "), lambda w: ~w.isin(*stopwords)), " ")

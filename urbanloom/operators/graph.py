@@ -252,9 +252,9 @@ def path_quality(names: Column, repetitions: int = 1) -> Column:
 
 def local_morans(values: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph, node, moran): (n-1) z_i sum_j w_ij z_j / sum z^2 over directed edges (graph, src, dst, w), z by the sample deviation; undefined is 0."""
-    w = Window.partitionBy("graph")
-    z = values.withColumn("z", F.coalesce((F.col("value") - F.avg("value").over(w)) / F.nullif(F.stddev_samp("value").over(w), F.lit(0.0)), F.lit(0.0)))
-    z = z.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("zz", F.sum(F.col("z") * F.col("z")).over(w))
+    of = values.groupBy("graph").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("_m"), F.nullif(F.stddev_samp("value"), F.lit(0.0)).alias("_s"))
+    z = values.join(of, "graph").withColumn("z", F.coalesce((F.col("value") - F.col("_m")) / F.col("_s"), F.lit(0.0))).drop("_m", "_s")
+    z = z.join(z.groupBy("graph").agg(F.sum(F.col("z") * F.col("z")).alias("zz")), "graph")
     lag = edges.join(z.select("graph", F.col("node").alias("dst"), F.col("z").alias("zj")), ["graph", "dst"]).groupBy("graph", F.col("src").alias("node")).agg(F.sum(F.col("w") * F.col("zj")).alias("lag"))
     moran = (F.col("n") - 1) * F.col("z") * F.coalesce("lag", F.lit(0.0)) / F.nullif(F.col("zz"), F.lit(0.0))
     return z.join(lag, ["graph", "node"], "left").select("graph", "node", F.coalesce(moran, F.lit(0.0)).alias("moran"))

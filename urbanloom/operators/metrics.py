@@ -53,11 +53,11 @@ def average_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     bounds = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    placed = counts.join(F.broadcast(bounds), keys).withColumn("_b", F.coalesce(F.least(F.lit(1023), F.floor((F.col(value) - F.col("_lo")) / width * 1024)), F.lit(0)).cast("int")).drop("_lo", "_hi")
+    placed = counts.join(bounds, keys).withColumn("_b", F.coalesce(F.least(F.lit(1023), F.floor((F.col(value) - F.col("_lo")) / width * 1024)), F.lit(0)).cast("int")).drop("_lo", "_hi")
     totals = placed.groupBy(*keys, "_b").agg(F.sum("_n").alias("_t"))
     before = totals.select(*keys, "_b", (F.sum("_t").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_t")).alias("_before"))
     inside = F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy(value)) - F.col("_n")
-    ranked = placed.withColumn("_in", inside).join(F.broadcast(before), [*keys, "_b"]).withColumn("rank", F.col("_before") + F.col("_in") + (F.col("_n") + 1) / 2)
+    ranked = placed.withColumn("_in", inside).join(before, [*keys, "_b"]).withColumn("rank", F.col("_before") + F.col("_in") + (F.col("_n") + 1) / 2)
     return df.join(ranked.select(*keys, value, "rank"), [*keys, value])
 
 
@@ -152,11 +152,31 @@ def action_format_flag(text: Column) -> Column:
     return text.rlike(r"(?s)^<think>.*?</think>\s*Action:.*?Action Input:.*?$").cast("int")
 
 
+def bare_answer(text: Column) -> Column:
+    """Trimmed lower-case text without the marks of mathematics around it: dollars, brackets, a box, a full stop."""
+    out = F.lower(F.trim(text))
+    for mark, left in ((r"^\$+|\$+$", ""), (r"^\\[(\[]|\\[)\]]$", ""), (r"(?s)^\\boxed\{(.*)\}$", "$1"), (r"\.$", ""), (r"^\$+|\$+$", "")):
+        out = F.trim(F.regexp_replace(out, mark, left))
+    return out
+
+
+def number_of(text: Column) -> Column:
+    """The number that a bare answer is: digits with or without thousands' commas, a percentage, ``a/b`` or ``\\frac{a}{b}``; null for other texts and for a division by zero."""
+    number = r"(-?[0-9]*\.?[0-9]+(?:e[-+]?[0-9]+)?)"
+    plain = F.regexp_replace(text, r"(?<=[0-9]),(?=[0-9]{3}(?![0-9]))", "")
+    got = lambda pattern, k: F.nullif(F.regexp_extract(plain, pattern, k), F.lit("")).try_cast("double")
+    slash, frac, percent = rf"^{number}\s*/\s*{number}$", rf"^(-?)\\[dt]?frac\{{{number}\}}\{{{number}\}}$", rf"^{number}\s*\\?%$"
+    sign = F.when(F.regexp_extract(plain, frac, 1) == "-", -1.0).otherwise(1.0)
+    return F.coalesce(plain.try_cast("double"), got(percent, 1) / 100, F.try_divide(got(slash, 1), got(slash, 2)), sign * F.try_divide(got(frac, 2), got(frac, 3)))
+
+
 def answer_right(text: Column, solution: Column) -> Column:
-    """Whether the text of ``<answer>`` equals the solution, as trimmed lower-case text or as a number."""
-    said = F.lower(F.trim(F.regexp_extract(text, r"(?s)<answer>(.*?)</answer>", 1)))
-    true = F.lower(F.trim(solution))
-    return F.coalesce((said == true) | (F.abs(said.try_cast("double") - true.try_cast("double")) < 1e-9), said == true)
+    """Whether the text of ``<answer>``, else of the last box, equals the solution (or its ``<answer>``) as a bare text or as a number to 1e-9 of its size."""
+    tagged = lambda t: F.nullif(F.regexp_extract(t, r"(?s)<answer>(.*?)</answer>", 1), F.lit(""))
+    boxed = F.nullif(F.regexp_extract(text, r"(?s).*\\boxed\{((?:[^{}]|\{[^{}]*\})*)\}", 1), F.lit(""))
+    said, true = bare_answer(F.coalesce(tagged(text), boxed, F.lit(""))), bare_answer(F.coalesce(tagged(solution), solution))
+    x, y = number_of(said), number_of(true)
+    return F.coalesce((said == true) | (F.abs(x - y) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(y))), said == true)
 
 
 def group_advantages(rows: DataFrame, group: str = "prompt_id", reward: str = "reward") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from urbanloom.functions import spatial as S
+from urbanloom.functions.spatial import let
 
 # Street words that a name may end with.
 SUFFIXES = ("street", "st", "avenue", "ave", "road", "rd", "drive", "dr", "boulevard", "blvd", "lane", "ln", "court", "ct", "place", "pl")
@@ -156,7 +157,11 @@ def action_score(predicted: Column, wanted: Column, given: Column, reference: Co
     agree. Two texts that are no JSON give null, to be scored by their overlap.
     """
     kind = "map<string,string>"
-    a, b = F.from_json(given, kind), F.from_json(reference, kind)
+    both = F.struct(F.from_json(given, kind).alias("a"), F.from_json(reference, kind).alias("b"), predicted.alias("p"), wanted.alias("w"))
+    return let(both, lambda x: _argument_score(x.a, x.b, x.p, x.w))
+
+
+def _argument_score(a: Column, b: Column, predicted: Column, wanted: Column) -> Column:
     full = F.size(F.map_filter(b, lambda k, v: F.coalesce(F.try_element_at(a, k) == v, F.lit(False))))
     half = F.size(F.map_filter(b, lambda k, v: F.map_contains_key(a, k))) - full
     hit = full + 0.5 * half

@@ -11,10 +11,12 @@ from pyspark.sql.window import Window
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the folder of ``spark.checkpoint.dir`` (one of our own where it is unset), read again."""
+    """The rows as a Parquet table in the folder of ``spark.checkpoint.dir``, read again. Where that is unset, a local master gets a folder of our own and any other an error."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="urbanloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
