@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spatial as S
@@ -63,6 +63,34 @@ def place_category(tags: dict[str, Column], category: Column | None = None) -> C
     return F.when(F.coalesce(category, F.lit("")) == "", F.coalesce(found, category)).otherwise(category)
 
 
+#: Other columns that may hold a name, those that may hold a house number, and the node caps of places.
+NAME_COLUMNS = (
+    "official_name", "alt_name", "short_name", "loc_name", "name_en", "name_zh", "name_de", "name_fr", "name_es", "name_it", "name_pt", "name_ko", "name_ru", "name_ja", "name_zh_Hans",
+    "name_zh_Hant")
+HOUSENUMBER_COLUMNS = ("addr_housenumber", "addr_housename", "housenumber", "house_number", "building_number", "number", "addr_number")
+NODE_CAPS = {"newyork": 2000, "singapore": 500}
+
+
+def _first_filled(df: DataFrame, columns: tuple[str, ...]) -> Column:
+    """The first of the columns that the table has that is neither null nor empty, as text; blanks count as filled."""
+    return F.coalesce(*[F.nullif(F.col(c).cast("string"), F.lit("")) for c in columns if c in df.columns], F.lit(None).cast("string"))
+
+
+def coalesce_name(df: DataFrame) -> DataFrame:
+    """The rows whose empty ``name`` is filled from the first filled of the other name columns; without any it stays as it is."""
+    return df.withColumn("name", F.coalesce(_first_filled(df, ("name", *NAME_COLUMNS)), "name"))
+
+
+def with_housenumber(df: DataFrame) -> DataFrame:
+    """The rows with ``housenumber``, the first filled house number column as text, else null."""
+    return df.withColumn("housenumber", _first_filled(df, HOUSENUMBER_COLUMNS))
+
+
+def node_cap(place: Column, default: int = 2000) -> Column:
+    """The most nodes that a graph of a place may have."""
+    return F.coalesce(_mapped({k: str(v) for k, v in NODE_CAPS.items()}, F.lower(place)).cast("int"), F.lit(default))
+
+
 def node_class(kind: Column, name: Column, address: Column) -> Column:
     """``area``, ``line``, ``point``, ``crossing_point`` (a point whose name or address tells of a crossing) or ``other``."""
     crossing = F.coalesce(name.rlike("(?i)crossing|intersection"), F.lit(False)) | F.coalesce(address.rlike("(?i)crossing|intersection"), F.lit(False))

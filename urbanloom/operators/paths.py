@@ -10,6 +10,8 @@ from urbanloom.functions import records as R
 from urbanloom.functions import spatial as S
 from urbanloom.functions import text as T
 
+from .graph import shortest_paths
+
 #: Edge types and middle parts of triples that carry their own leg in a path's text.
 NEAR_EDGES = ("nearest", "near", "boundary", "boundary_intersects", "boundary_crossing")
 NEAR_MIDDLES = ("nearest", "near", "bounds", "intersects")
@@ -66,6 +68,27 @@ def paths_as_text(triples: DataFrame) -> DataFrame:
     return rows.withColumn("part", part).groupBy("path").agg(F.array_join(F.transform(ordered, lambda x: x.part), " -> ").alias("text"))
 
 
+def shortest_paths_to(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, max_hops: int, metric=S.haversine_m) -> DataFrame:
+    """(source, target, path, hops, length, text): one shortest path of each pair in reach, with its metres and its text.
+
+    ``edges``: (id1, id2, type), of parallel ones the first type counts; ``nodes``: (node, name, kind, lon, lat). A path with a node
+    that the table lacks is told as its node ids joined by arrows, with a length of 0.
+    """
+    found = shortest_paths(pairs, edges, max_hops)
+    steps = found.select(F.concat_ws(">", "source", "target").alias("path"), F.posexplode("path").alias("pos", "node"))
+    ahead = F.lead("node").over(Window.partitionBy("path").orderBy("pos"))
+    steps = steps.withColumn("_2", ahead).join(nodes.select("node", "name", "kind", "lon", "lat", F.lit(True).alias("_known")).dropDuplicates(["node"]), "node", "left")
+    types = edges.groupBy(F.least("id1", "id2").alias("_a"), F.greatest("id1", "id2").alias("_b")).agg(F.min("type").alias("edge"))
+    steps = steps.withColumns({"_a": F.least("node", "_2"), "_b": F.greatest("node", "_2")}).join(types, ["_a", "_b"], "left")
+    whole = steps.groupBy("path").agg(F.bool_and(F.coalesce("_known", F.lit(False))).alias("_whole"))
+    none = F.lit(None).cast("string")
+    triples = path_triples(steps.join(whole.where("_whole"), "path", "left_semi").withColumns({"street": none, "crossing": none}), metric)
+    told = paths_as_text(triples).join(triples.groupBy("path").agg(F.sum("length").alias("length")), "path").withColumnRenamed("path", "_k")
+    ids = F.array_join(F.transform("path", lambda n: n.cast("string")), " → ")
+    joined = found.withColumn("_k", F.concat_ws(">", "source", "target")).join(told, "_k", "left")
+    return joined.select("source", "target", "path", "hops", F.coalesce("length", F.lit(0.0)).alias("length"), F.when(F.size("path") > 1, F.coalesce("text", ids)).otherwise("").alias("text"))
+
+
 def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, times) of what occurs more than once."""
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("times")).where("times > 1")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from urbanloom.functions import spatial as S
 
+from .graph import induced_edges
 from .rounds import settled
 
 from .rounds import numbered
@@ -220,6 +221,17 @@ def boundary_streets(segments: DataFrame, rings: DataFrame, areas: DataFrame, bu
     return kept.join(kind, ["street_id", "area_id"])
 
 
+def radius_subgraph(centres: DataFrame, nodes: DataFrame, edges: DataFrame, radius_m: float = 500.0, default: float = 100.0) -> tuple[DataFrame, DataFrame]:
+    """The nodes (centre_id, id, distance_m) within a radius of each centre, and the edges (centre_id, edge columns, weight) with both ends among them.
+
+    The weight is the crossing's distance where the edges have that column, else their distance; a missing one is ``default``.
+    """
+    near = radius_nodes(centres, nodes, radius_m)
+    inside = induced_edges(near.select(F.col("centre_id").alias("seed"), F.col("id").alias("node")), edges).withColumnRenamed("seed", "centre_id")
+    kept = [F.col(c).cast("double") for c in ("crossing_distance_meters", "distance") if c in edges.columns][:1]
+    return near, inside.withColumn("weight", F.coalesce(*kept, F.lit(default)))
+
+
 def radius_nodes(centres: DataFrame, nodes: DataFrame, radius_m: float = 500.0) -> DataFrame:
     """(centre_id, id, distance_m): nodes within a radius of each centre, by a cell join and the exact distance."""
     reach = radius_m / LEAST_PER_DEGREE

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanloom.operators import graph as G
+from urbanloom.operators import paths as P
 from urbanloom.sources.fixtures import table
 
-from .registry import query
+from .registry import hav, query
 
 STEP = "step AS (SELECT DISTINCT src, dst FROM (SELECT id1 AS src, id2 AS dst FROM edges_sparse UNION ALL SELECT id2, id1 FROM edges_sparse) WHERE src <> dst)"
 SEEDS = "seed AS (SELECT 2000000 + p_partkey AS id FROM part WHERE p_partkey % 10 = 0)"
@@ -93,6 +94,18 @@ def e7_shortest_path(spark: SparkSession, d: str) -> DataFrame:
     return found.select("source", "target", F.array_join("path", "-").alias("path"), "hops")
 
 
+@query(PATHS + f""", n AS (SELECT 2000000 + p_partkey AS id, 103.80e0 + (p_partkey * 7919 % 10007) / 10007.0e0 * 0.20e0 AS lon, 1.25e0 + (p_partkey * 104729 % 10009) / 10009.0e0 * 0.15e0 AS lat FROM part),
+l AS (SELECT source, target, path[i] AS a, path[i + 1] AS b, len(path) - 1 AS hops FROM (SELECT *, unnest(range(1, len(path))) AS i FROM ranked WHERE rank = 1))
+SELECT source, target, CAST(any_value(hops) AS INT) AS hops, round(sum({hav('x.lon', 'x.lat', 'y.lon', 'y.lat')}), 2) AS length FROM l JOIN n x ON x.id = a JOIN n y ON y.id = b GROUP BY source, target""")
+def h15_shortest_paths_to(spark: SparkSession, d: str) -> DataFrame:
+    """One shortest path of each pair, with its metres (H15); its text is tested by hand-made rows."""
+    nodes = table(spark, d, "street_vertices").where("pos = 0").select(F.col("id").alias("node"), "name", F.lit("line").alias("kind"))
+    key = F.col("node") - 2000000
+    nodes = nodes.withColumns({"lon": 103.80 + (key * 7919 % 10007) / 10007.0 * 0.20, "lat": 1.25 + (key * 104729 % 10009) / 10009.0 * 0.15})
+    found = P.shortest_paths_to(_pairs(spark, d), table(spark, d, "edges_sparse"), nodes, 4)
+    return found.select("source", "target", "hops", F.round("length", 2).alias("length"))
+
+
 @query(PATHS + """, f AS (SELECT * FROM ranked WHERE rank <= 5), s AS (SELECT a.source, a.target, avg(len(list_intersect(a.path, b.path)) * 1.0 / len(list_distinct(list_concat(a.path, b.path)))) AS s FROM f a JOIN f b ON a.source = b.source AND a.target = b.target AND a.rank < b.rank GROUP BY ALL)
 SELECT f.source, f.target, count(*) AS n_paths, round(coalesce(1 - any_value(s.s), 1.0), 6) AS diversity, CAST(min(len(path)) AS INT) AS min_len, CAST(max(len(path)) AS INT) AS max_len FROM f LEFT JOIN s ON f.source = s.source AND f.target = s.target GROUP BY f.source, f.target""")
 def e18_path_set_diversity(spark: SparkSession, d: str) -> DataFrame:
