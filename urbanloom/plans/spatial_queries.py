@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urbanloom.functions import geometry as Geo
 from urbanloom.functions import spatial as S
 from urbanloom.operators import spatial_joins as J
 from urbanloom.sources.fixtures import table
@@ -97,6 +98,17 @@ def d15_filter_points_in_areas(spark: SparkSession, d: str) -> DataFrame:
     return J.filter_points_in_areas(found, 100, 400, only_one=True).select("point_id", "area_id")
 
 
+@query(f"""WITH e AS ({RING}), f AS (SELECT id, arg_min(lon, pos) AS x0, arg_min(lat, pos) AS y0 FROM area_rings GROUP BY id),
+c AS (SELECT e.id, x0, y0, x1 - x0 AS px, y1 - y0 AS py, x2 - x0 AS qx, y2 - y0 AS qy FROM e JOIN f ON e.id = f.id)
+SELECT id, round(any_value(x0) + sum((px + qx) * (px * qy - qx * py)) / (3 * sum(px * qy - qx * py)), 9) AS lon, round(any_value(y0) + sum((py + qy) * (px * qy - qx * py)) / (3 * sum(px * qy - qx * py)), 9) AS lat, round(abs(sum(px * qy - qx * py)) / 2, 12) AS area FROM c GROUP BY id""")
+def c15_geometry_centroids(spark: SparkSession, d: str) -> DataFrame:
+    """Centroids and areas of areas that are read back from their WKT."""
+    at = F.concat_ws(", ", F.array_sort(F.collect_list(F.struct("pos", F.concat_ws(" ", "lon", "lat").alias("p")))).p)
+    text = table(spark, d, "area_rings").groupBy("id").agg(F.concat(F.lit("POLYGON (("), at, F.lit("))")).alias("t"))
+    rows = text.select("id", Geo.geometry_of_wkt(F.col("t")).alias("g")).select("id", Geo.centroid(F.col("g")).alias("c"), Geo.endpoints(F.col("g")).alias("e"))
+    return rows.select("id", F.round("c.lon", 9).alias("lon"), F.round("c.lat", 9).alias("lat"), F.round("e.polygon_area", 12).alias("area"))
+
+
 #: Streets clipped by the capsules of ring edges; r is the buffer in degrees.
 CLIPPED = f"""WITH r AS (SELECT 5e-4 AS r), sg AS ({SEGMENTS}), ed AS ({RING}),
 p AS (SELECT s.id AS street_id, s.seg, e.id AS area_id, s.x1, s.y1, s.x2 - s.x1 AS dx, s.y2 - s.y1 AS dy, e.x1 AS u, e.y1 AS v, e.x2 - e.x1 AS ex, e.y2 - e.y1 AS ey, r FROM r, sg s JOIN ed e ON least(s.x1, s.x2) <= greatest(e.x1, e.x2) + 5e-4 AND greatest(s.x1, s.x2) >= least(e.x1, e.x2) - 5e-4 AND least(s.y1, s.y2) <= greatest(e.y1, e.y2) + 5e-4 AND greatest(s.y1, s.y2) >= least(e.y1, e.y2) - 5e-4),
