@@ -36,3 +36,26 @@ def test_crossing_flags_reach_the_type(spark):
     rows = walk(1, "ABCDE", ["walkway", "walkway", "crossing", "on_same_street"], [(0.0, 0.0)] * 5, [1, 2, None, 4, 5])
     got = [r.type for r in P.path_triples(spark.createDataFrame(rows, NODES)).orderBy("pos").collect()]
     assert got == ["street_segment", None, "decision_point", "street_segment"]
+
+
+PLACES = "node long, name string, class string, lon double, lat double"
+RING = [(1, 2), (2, 3), (3, 4), (1, 5), (5, 6), (6, 4), (4, 4), (2, 1), (1, 7), (1, 8)]  # 7 has no row, 9 no edge
+
+
+def found(spark, images, nodes, edges, **more):
+    rows = [spark.createDataFrame(images, "image long"), spark.createDataFrame(nodes, PLACES), spark.createDataFrame(edges, "id1 long, id2 long")]
+    said = {"classes": ("point",), "min_hops": 1, "max_hops": 3, "near_m": 250.0, "min_paths": 9} | more
+    return [(r.image, r.target, r.path, r.near, r["rank"]) for r in P.paths_for_images(*rows, **said).orderBy("image", "rank").collect()]
+
+
+def test_paths_for_images(spark):
+    nodes = [(1, "A", "point", 0.0, 0.0), (2, " ", "point", 9 * STEP, 0.0), (3, "A", "point", STEP, 0.0), (4, "D", "point", None, 0.0), (5, None, "point", 2 * STEP, 0.0), (6, "F", "line", STEP, 0.0), (8, "H", "point", STEP, 0.0)]
+    nodes += [nodes[3], (9, "I", "point", 0.0, 0.0)]
+    images = [(1,), (1,), (8,), (9,), (99,)]
+    # from 1: 8 is an image, 2 is far, 3 repeats A and 4 is reached over it; from 8, 1 is an image, 5 and 2 lie two steps off, 3 repeats A;
+    # 9 reaches nothing and 99 is unknown
+    want = [(1, 5, [1, 5], True, 1), (1, 2, [1, 2], False, 2), (8, 5, [8, 1, 5], True, 1), (8, 2, [8, 1, 2], False, 2)]
+    assert found(spark, images, nodes, RING) == want
+    assert [r[1:] for r in found(spark, [(1,)], nodes, RING, tries=3, min_paths=2)] == [(5, [1, 5], True, 1), (8, [1, 8], True, 2)]
+    assert found(spark, [(1,)], nodes, RING, classes=("line",), seed=4) == [(1, 6, [1, 5, 6], True, 1)]
+    assert found(spark, images, nodes, []) == []

@@ -58,20 +58,25 @@ def lightest_edges(edges: DataFrame, keys: list[str], weight: str = "distance")
     return best.select(*keys, F.col("a").alias("id1"), F.col("b").alias("id2"), F.col("e.type").alias("type"), F.col("e.w").alias(weight))
 
 
-def shortest_paths(pairs: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
-    """(source, target, path, hops): one unweighted shortest path of each pair, the smallest by its node ids; pairs out of reach are left out.
+def smallest_paths(sources: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
+    """(source, node, path): one unweighted shortest path from each source to every node within ``max_hops``, the smallest by its node ids.
 
     Each round keeps one path for each (source, node): the smallest, which extends to the smallest longer ones.
     """
     step = doubled(edges.select("id1", "id2")).where("src <> dst").distinct()
-    sources = pairs.select("source").distinct()
-    reached = sources.select("source", F.col("source").alias("node"), F.array("source").alias("path"))
+    reached = sources.select("source").distinct().select("source", F.col("source").alias("node"), F.array("source").alias("path"))
     frontier = reached
     for _ in range(max_hops):
         new = frontier.join(step, frontier.node == step.src).select("source", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         new = new.groupBy("source", "node").agg(F.min("path").alias("path"))
         frontier = settled(new.join(reached.select("source", "node"), ["source", "node"], "left_anti"))
         reached = reached.unionByName(frontier)
+    return reached
+
+
+def shortest_paths(pairs: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
+    """(source, target, path, hops): the path of :func:`smallest_paths` of each pair; pairs out of reach are left out."""
+    reached = smallest_paths(pairs, edges, max_hops)
     found = pairs.join(reached.withColumnRenamed("node", "target"), ["source", "target"])
     return found.select("source", "target", "path", (F.size("path") - 1).alias("hops"))
 

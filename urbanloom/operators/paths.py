@@ -10,7 +10,7 @@ from urbanloom.functions import records as R
 from urbanloom.functions import spatial as S
 from urbanloom.functions import text as T
 
-from .graph import shortest_paths
+from .graph import shortest_paths, smallest_paths
 
 #: Edge types and middle parts of triples that carry their own leg in a path's text.
 NEAR_EDGES = ("nearest", "near", "boundary", "boundary_intersects", "boundary_crossing")
@@ -89,6 +89,37 @@ def shortest_paths_to(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, max_
     return joined.select("source", "target", "path", "hops", F.coalesce("length", F.lit(0.0)).alias("length"), F.when(F.size("path") > 1, F.coalesce("text", ids)).otherwise("").alias("text"))
 
 
+def paths_for_images(
+    images: DataFrame, nodes: DataFrame, edges: DataFrame, classes: tuple[str, ...], min_hops: int, max_hops: int, near_m: float,
+    min_paths: int, tries: int = 2, seed: int | None = None, with_images: bool = False, metric=S.haversine_m,
+) -> DataFrame:
+    """(image, target, path, hops, distance, near, rank): up to ``min_paths`` shortest paths from each image to nodes at chosen hop distances.
+
+    ``images``: (image); ``nodes``: (node, name, class, lon, lat), of rows with one id the smallest counts; ``edges``: (id1, id2).
+    Targets have one of ``classes`` and are no images themselves, unless ``with_images``. Of each image's levels from ``min_hops``
+    to ``max_hops`` the first ``tries`` targets are tried, those within ``near_m`` metres before those beyond or of unknown place.
+    A path with a repeated name does not count; blank or missing names are ``Node_<id>``. Levels and targets come in the order of a seeded hash, or of
+    their numbers without a seed. All images are searched at once; one that ``nodes`` lacks gives no rows.
+    """
+    place = nodes.groupBy("node").agg(F.min(F.struct("name", "class", "lon", "lat")).alias("v")).select("node", "v.*")
+    starts = images.select(F.col("image").alias("node")).distinct().join(place, "node").select(F.col("node").alias("image"), F.col("lon").alias("_x"), F.col("lat").alias("_y"))
+    goals = place.where(F.col("class").isin(*classes)).select(F.col("node").alias("target"), "lon", "lat")
+    if not with_images:
+        goals = goals.join(images.select(F.col("image").alias("target")).distinct(), "target", "left_anti")
+    reached = smallest_paths(starts.select(F.col("image").alias("source")), edges, max_hops)
+    reached = reached.select(F.col("source").alias("image"), F.col("node").alias("target"), "path", (F.size("path") - 1).alias("hops")).where((F.col("hops") >= max(min_hops, 1)))
+    found = reached.join(goals, "target").join(starts, "image").withColumn("distance", metric(F.col("_x"), F.col("_y"), F.col("lon"), F.col("lat")))
+    found = found.withColumn("near", F.coalesce(F.col("distance") <= near_m, F.lit(False)))
+    level, one = (F.col("hops"), F.col("target")) if seed is None else (F.xxhash64("image", "hops", F.lit(seed)), F.xxhash64("image", "target", F.lit(seed)))
+    tried = found.withColumn("_t", F.row_number().over(Window.partitionBy("image", "hops").orderBy(F.desc("near"), one, "target"))).where(F.col("_t") <= tries)
+    steps = tried.select("image", "target", F.explode("path").alias("node")).join(place.select("node", "name"), "node", "left")
+    name = F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.concat(F.lit("Node_"), F.col("node").cast("string")))
+    sound = steps.groupBy("image", "target").agg((F.count_distinct(name) == F.count(F.lit(1))).alias("_sound")).where("_sound")
+    order = Window.partitionBy("image").orderBy(level, "hops", "_t")
+    kept = tried.join(sound, ["image", "target"], "left_semi").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= min_paths)
+    return kept.select("image", "target", "path", "hops", "distance", "near", "rank")
+
+
 def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, times) of what occurs more than once."""
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("times")).where("times > 1")

@@ -113,6 +113,25 @@ def e18_path_set_diversity(spark: SparkSession, d: str) -> DataFrame:
     return G.path_set_diversity(_paths(spark, d, 5)).withColumn("diversity", F.round("diversity", 6))
 
 
+#: Places of the parts as SQL text, in the square of the made points.
+PLACES = "pl AS (SELECT 2000000 + p_partkey AS node, p_brand AS name, CASE p_size % 3 WHEN 0 THEN 'point' WHEN 1 THEN 'area' ELSE 'line' END AS class, 103.80 + (p_partkey * 7919 % 10007) / 10007.0 * 0.20 AS lon, 1.25 + (p_partkey * 104729 % 10009) / 10009.0 * 0.15 AS lat FROM part)"
+
+
+@query(HOPS + f""", {PLACES}, p AS (SELECT seed, dst AS node, [seed, dst] AS path FROM h0 JOIN step ON node = src UNION ALL SELECT h1.seed, dst, [h1.seed, h1.node, dst] FROM h1 JOIN step ON node = src),
+f AS (SELECT h.seed AS image, h.node AS target, h.hop AS hops, min(path) AS path FROM h JOIN p ON p.seed = h.seed AND p.node = h.node AND len(path) = hop + 1 WHERE hop > 0 GROUP BY ALL),
+t AS (SELECT f.*, {hav('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS m FROM f JOIN pl a ON a.node = image JOIN pl b ON b.node = target WHERE b.class IN ('point', 'area') AND target NOT IN (SELECT id FROM seed)),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image, hops ORDER BY m > 8000, target) AS t FROM t) WHERE t <= 2),
+s AS (SELECT image, target FROM (SELECT image, target, unnest(path) AS node FROM r) JOIN pl USING (node) GROUP BY ALL HAVING count(DISTINCT name) = count(*))
+SELECT image, target, list_aggregate(path, 'string_agg', '-') AS path, hops, round(m, 2) AS distance, m <= 8000 AS near, CAST(rank AS INT) AS rank FROM (SELECT r.*, row_number() OVER (PARTITION BY image ORDER BY hops, t) AS rank FROM r JOIN s USING (image, target)) WHERE rank <= 3""")
+def e30_paths_for_images(spark: SparkSession, d: str) -> DataFrame:
+    """Three paths of at most two edges from every seed to points and areas, near ones first."""
+    kind = F.when(F.col("p_size") % 3 == 0, "point").when(F.col("p_size") % 3 == 1, "area").otherwise("line")
+    k = F.col("p_partkey")
+    nodes = table(spark, d, "part").select((k + 2000000).alias("node"), F.col("p_brand").alias("name"), kind.alias("class"), (103.80 + (k * 7919 % 10007) / 10007.0 * 0.20).alias("lon"), (1.25 + (k * 104729 % 10009) / 10009.0 * 0.15).alias("lat"))
+    found = P.paths_for_images(_seeds(spark, d).select(F.col("node").alias("image")), nodes, table(spark, d, "edges_sparse"), ("point", "area"), 1, 2, 8000.0, 3)
+    return found.select("image", "target", F.array_join("path", "-").alias("path"), "hops", F.round("distance", 2).alias("distance"), "near", "rank")
+
+
 @query()
 def e13_diverse_paths(spark: SparkSession, d: str) -> DataFrame:
     """Greedy choice of dissimilar paths up to min(shortest + 5, 12) edges (E13, E16); tested against a brute-force search."""
