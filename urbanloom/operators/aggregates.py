@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from urbanloom.functions import spatial as S
 
+from .rounds import settled
+
 
 def cell_stats(cells: DataFrame, top: int = 10) -> DataFrame:
     """The ``top`` cells with most members, ties to the smaller cell: (cell, n, cells, features), the last two over all cells."""
@@ -91,7 +93,7 @@ def best_run(runs: DataFrame, metric: Column, key: str) -> DataFrame:
 
 def crossing_summary(crossings: DataFrame) -> DataFrame:
     """(street, crossings) of the streets with the most crossings, all that tie."""
-    per = crossings.select(F.explode(F.array("line1", "line2")).alias("street")).groupBy("street").agg(F.count(F.lit(1)).alias("crossings"))
+    per = settled(crossings.select(F.explode(F.array("line1", "line2")).alias("street")).groupBy("street").agg(F.count(F.lit(1)).alias("crossings")))  # both uses need all crossings
     return per.where(F.col("crossings") == per.agg(F.max("crossings").alias("m")).scalar())
 
 
