@@ -65,3 +65,27 @@ def test_pair_totals_equal_pairs(spark):
     n, doubled = 3000, sum(abs(i - 5) for i in range(3000))  # the point that is there twice is no pair with itself
     assert [x.street for x in r] == [1] and r[0].pairs == n * (n - 1) // 2 + n - 1
     assert r[0].metres == pytest.approx((sum(j - i for i, j in itertools.combinations(range(n), 2)) + doubled) * 1e-6 * 111320, rel=1e-9) and math.isfinite(r[0].metres)
+
+
+def test_nearest_line_by_growing_radii(spark, monkeypatch):
+    seg = some_segments(spark).withColumns({k: F.col(k) / 3 for k in ("x1", "x2", "y1", "y2")})
+    pts = spark.range(300).select("id", (F.col("id") * 37 % 101 * 5e-5).alias("lon"), (F.col("id") * 53 % 97 * 4e-5 + F.when(F.col("id") > 270, 0.012).otherwise(0.0)).alias("lat"))
+    rounds = []
+    whole = J._nearest_within
+    monkeypatch.setattr(J, "_nearest_within", lambda p, s, r, n: rounds.append(r) or whole(p, s, r, n))
+    monkeypatch.setattr(J, "PAIRS_A_CELL", 0.01)
+    monkeypatch.setattr(J, "PAIRS_A_TASK", 100)
+    got = {r.point_id: r for r in J.nearest_line(pts, seg, 400.0).collect()}
+    assert len(rounds) == 2 and rounds[0] < rounds[1] == 400.0
+    lines, want = seg.collect(), {}
+    for p in pts.collect():
+        for s in lines:
+            dx, dy = s.x2 - s.x1, s.y2 - s.y1
+            n = dx * dx + dy * dy
+            t = min(max(((p.lon - s.x1) * dx + (p.lat - s.y1) * dy) / n, 0.0), 1.0) if n else 0.0
+            a, b = math.radians(p.lat), math.radians(s.y1 + t * dy)
+            h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(s.x1 + t * dx - p.lon) / 2) ** 2
+            m = 2 * 6371000.0 * math.asin(math.sqrt(h))
+            if m <= 400:
+                want[p.id] = min(want.get(p.id, m), m)
+    assert got.keys() == want.keys() and 0 < 300 - len(want) < 300 and all(got[k].distance_m == pytest.approx(want[k], abs=1e-6) for k in want)
