@@ -6,6 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from urbanloom.operators import graph as G
 from urbanloom.operators import spatial_joins as J
 
 SEGMENT = "id long, name string, seg int, x1 double, y1 double, x2 double, y2 double"
@@ -89,3 +90,15 @@ def test_nearest_line_by_growing_radii(spark, monkeypatch):
             if m <= 400:
                 want[p.id] = min(want.get(p.id, m), m)
     assert got.keys() == want.keys() and 0 < 300 - len(want) < 300 and all(got[k].distance_m == pytest.approx(want[k], abs=1e-6) for k in want)
+
+
+def test_outlook_reaches_half_of_what_the_shortest_path_allows(spark, monkeypatch):
+    rows = [(i, i + 2) for i in range(20)] + [(i, i + 1) for i in range(0, 21, 2)]
+    e = spark.createDataFrame(rows, "id1 long, id2 long")
+    radii = []
+    whole = G._outlook
+    monkeypatch.setattr(G, "_outlook", lambda targets, step, radius: radii.append(radius) or whole(targets, step, radius))
+    found = G.goal_directed_paths(spark.createDataFrame([(8, 12), (9, 12), (40, 12)], "source long, target long"), e, 12, 3, 5, 0.2)
+    assert radii[:2] == [2, 2]  # shortest paths of 2 and 3 edges, so 5 and 6 in all, of which 3 and 4 are gone; by longest alone it would be 6
+    got = {(r.source, r.target): [len(p) - 1 for p in r.paths] for r in found.collect()}
+    assert got.keys() == {(8, 12), (9, 12)} and got[8, 12][0] == 2 and max(got[9, 12]) <= 6
