@@ -3,11 +3,13 @@
 import itertools
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from urbanloom.operators import graph as G
 from urbanloom.operators import spatial_joins as J
+from urbanloom.operators import subgraphs as B
 
 SEGMENT = "id long, name string, seg int, x1 double, y1 double, x2 double, y2 double"
 
@@ -102,3 +104,18 @@ def test_outlook_reaches_half_of_what_the_shortest_path_allows(spark, monkeypatc
     assert radii[:2] == [2, 2]  # shortest paths of 2 and 3 edges, so 5 and 6 in all, of which 3 and 4 are gone; by longest alone it would be 6
     got = {(r.source, r.target): [len(p) - 1 for p in r.paths] for r in found.collect()}
     assert got.keys() == {(8, 12), (9, 12)} and got[8, 12][0] == 2 and max(got[9, 12]) <= 6
+
+
+def test_nearest_join_moves_each_item_once_a_round(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    spot = lambda n, w: [(1, i, float(103.8 + rng.uniform(0, w)), float(1.3 + rng.uniform(0, w))) for i in range(n)]
+    items, places = spot(300, 0.002), spot(400, 0.002)
+    rounds = []
+    whole = B.settled
+    monkeypatch.setattr(B, "settled", lambda df: rounds.append(df) or whole(df))
+    a = spark.createDataFrame(items, "g int, item long, lon double, lat double")
+    found = B.nearest_join(a, spark.createDataFrame(places, "g int, place long, lon double, lat double"), "g", "item", "place")
+    first = next(r for r in rounds if "_ok" in r.columns)._jdf.queryExecution().optimizedPlan().toString()
+    assert first.count("Generate explode") == 1 and B._columns_for(rounds[0], "g") > 20  # only places go to nine cells, and of these few are in one
+    want = {i: min((math.hypot((x - u) * math.cos(math.radians(1.3)), y - v), p) for _, p, u, v in places)[1] for _, i, x, y in items}
+    assert {r.item: r.place for r in found.collect()} == want

@@ -19,39 +19,66 @@ def node_lookup(nodes: DataFrame, known: DataFrame, key: str, columns: list[str]
     return nodes.join(renamed, key, "left").select(*rest, *[F.coalesce(f"_{c}", c).alias(c) for c in columns])
 
 
-def nearest_join(items: DataFrame, places: DataFrame, key: str, item: str, place: str, finest: int = 18) -> DataFrame:
+#: Places in the cell of a place, on the average of all places, in the grid that a nearest search begins with; and the coarsest and finest of these.
+PLACES_A_CELL, COARSE, FINE = 2, 18, 28
+#: Items of one task of a nearest search, and pairs of nodes that one task of a radius search tests.
+ITEMS_A_TASK, PAIRS_A_TASK = 250_000, 20_000_000
+
+
+def _tasks(df: DataFrame, asked: float) -> int:
+    return min(8192, max(int(asked), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _columns_for(places: DataFrame, key: str) -> int:
+    """The power of two of grid columns at which a place has few others in its cell; it decides about the work, not about the result."""
+    size = 360.0 / (1 << COARSE)
+    held = places.groupBy(key, F.floor(F.col("_x") / size), F.floor(F.col("_y") / size)).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    crowd, level = held.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0.0, COARSE
+    while crowd > 2 * PLACES_A_CELL and level < FINE:
+        crowd, level = crowd / 4, level + 1
+    return level
+
+
+def nearest_join(items: DataFrame, places: DataFrame, key: str, item: str, place: str, finest: int | None = None) -> DataFrame:
     """(key, item, place, distance) of the place nearest to each item among those of its key, by great circle, ties to the smaller place.
 
     ``items``: (key, item, lon, lat); ``places``: (key, place, lon, lat). An item is compared with the places of its own and
-    the eight neighbouring cells of a grid of 2^``finest`` columns around the globe. Whatever lies outside them is farther than
-    the item's distance to the block's edge (a parallel, or the nearest point of a meridian), so a place within that distance is the
-    nearest. Items without one go on to a grid of half as many columns, at last to one cell, so there are at most
+    the eight neighbouring cells of a grid of 2^``finest`` columns around the globe, by default so many that few places share a
+    cell. Places are filed under all nine, so an item moves once a round and is settled where it meets them. Whatever lies outside
+    them is farther than the item's distance to the block's edge (a parallel, or the nearest point of a meridian), so a place within
+    that distance is the nearest. Items without one go on to a grid of half as many columns, at last to one cell, so there are at most
     ``finest + 1`` rounds, and all ends once no item is left. Equal coordinates count once. Items or places
     without coordinates, and items of keys without places, give no row.
     """
     known = lambda df: df.where(F.col("lon").isNotNull() & F.col("lat").isNotNull())
     there = settled(known(places).groupBy(key, "lon", "lat").agg(F.min(place).alias("_p")).select(key, "_p", F.col("lon").alias("_x"), F.col("lat").alias("_y")))
-    left = settled(known(items).select(key, item, "lon", "lat").distinct().join(there.select(key).distinct(), key, "left_semi"))
-    found = None
+    finest = _columns_for(there, key) if finest is None else finest
+    left = settled(known(items).where(F.col(key).isNotNull()).select(key, item, "lon", "lat"))
+    n, found = left.count(), None
     for level in range(finest, -1, -1):
         columns, size = 1 << level, 360.0 / (1 << level)
         cell = lambda lon, lat: (F.pmod(F.floor((F.col(lon) + 180) / size), F.lit(columns)).alias("_i"), F.floor((F.col(lat) + 90) / size).alias("_j"))  # noqa: E731, B023
         steps = range(-1, 2) if columns > 2 else range(columns)
         around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in steps for j in (-1, 0, 1)])
-        asked = left.select("*", *cell("lon", "lat")).withColumn("_d", F.explode(around)).withColumns({"_i": F.pmod(F.col("_i") + F.col("_d.i"), F.lit(columns)), "_j": F.col("_j") + F.col("_d.j")}).drop("_d")
-        met = asked.join(there.select("*", *cell("_x", "_y")), [key, "_i", "_j"])
-        best = met.groupBy(key, item, "lon", "lat").agg(F.min(F.struct(S.haversine_m(F.col("lon"), F.col("lat"), F.col("_x"), F.col("_y")).alias("d"), F.col("_p").alias("p"))).alias("b"))
+        filed = there.select("*", *cell("_x", "_y")).withColumn("_d", F.explode(around)).withColumns({"_i": F.pmod(F.col("_i") + F.col("_d.i"), F.lit(columns)), "_j": F.col("_j") + F.col("_d.j")}).drop("_d")
+        at = (_tasks(left, n / ITEMS_A_TASK), key, "_i", "_j")  # a stated number, as the rows' sizes don't tell how many pairs they make
+        met = left.select("*", *cell("lon", "lat")).repartition(*at).join(filed.repartition(*at), [key, "_i", "_j"], "left")
+        d = F.when(F.col("_p").isNotNull(), F.struct(S.haversine_m(F.col("lon"), F.col("lat"), F.col("_x"), F.col("_y")).alias("d"), F.col("_p").alias("p")))
+        best = met.groupBy(key, "_i", "_j", item, "lon", "lat").agg(F.min(d).alias("b")).drop("_i", "_j")
         if columns > 2:
             margin = lambda at, origin: F.least(F.pmod(F.col(at) + origin, F.lit(size)), size - F.pmod(F.col(at) + origin, F.lit(size))) + size  # noqa: E731, B023
             east = F.lit(S.EARTH_M) * F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(F.least(margin("lon", 180), F.lit(90.0)))))
             proven = F.col("b.d") <= F.least(F.lit(S.EARTH_M) * F.radians(margin("lat", 90)), east) * (1 - 1e-9)
         else:
             proven = F.lit(True)
-        told = settled(left.join(best, [key, item, "lon", "lat"], "left").withColumn("_ok", F.coalesce(proven & F.col("b").isNotNull(), F.lit(False))))
+        told = settled(best.withColumn("_ok", F.coalesce(proven & F.col("b").isNotNull(), F.lit(False))))
         sure = told.where("_ok").select(key, item, F.col("b.p").alias(place), F.col("b.d").alias("distance"))
         found = sure if found is None else found.unionByName(sure)
         left = told.where("not _ok").select(key, item, "lon", "lat")
-        if columns <= 2 or left.isEmpty():
+        if level == finest:  # few are left: of these the ones whose key has no place go
+            left = left.join(there.select(key).distinct(), key, "left_semi")
+        n = left.count()
+        if columns <= 2 or not n:
             break
     return found
 
