@@ -119,3 +119,27 @@ def test_nearest_join_moves_each_item_once_a_round(spark, monkeypatch):
     assert first.count("Generate explode") == 1 and B._columns_for(rounds[0], "g") > 20  # only places go to nine cells, and of these few are in one
     want = {i: min((math.hypot((x - u) * math.cos(math.radians(1.3)), y - v), p) for _, p, u, v in places)[1] for _, i, x, y in items}
     assert {r.item: r.place for r in found.collect()} == want
+
+
+def test_adjacent_pairs_are_not_grouped(spark):
+    rng = np.random.default_rng(4)
+    at = [(i, None if i % 17 == 0 else "n", float(103.8 + rng.uniform(0, 0.02)), float(1.3 + rng.uniform(0, 0.02))) for i in range(300)]
+    at += [(5, "n", 103.805, 1.305), (20, "n", 103.806, 1.306), (400, "n", 150.0, -40.0), at[7]]  # ids with several places, a far one, an equal row
+    links = [(0, 1), (20, 3), (5, 20), (40, 400), (60, 61), (61, 60), (80, 80), (40, 41)]
+    nodes = spark.createDataFrame(at, "id long, name string, lon double, lat double")
+    edges = spark.createDataFrame(links, "id1 long, id2 long")
+    out = B.adjacent_nodes(nodes.where("id % 20 = 0").select(F.col("id").alias("centre"), "lon", "lat"), nodes, edges)
+    pairs = {frozenset(p) for p in links}
+    want: dict = {}
+    for c, _, x, y in at:
+        for i, name, u, v in at:
+            if c % 20 or name is None or c == i:
+                continue
+            h = math.sin(math.radians(v - y) / 2) ** 2 + math.cos(math.radians(y)) * math.cos(math.radians(v)) * math.sin(math.radians(u - x) / 2) ** 2
+            m = 12742000.0 * math.asin(math.sqrt(h))
+            if m <= 200 or frozenset((c, i)) in pairs:
+                want[c, i] = min(want.get((c, i), m), m)
+    rows = out.collect()
+    assert len(rows) == len(want) > 50 and all(r.distance == pytest.approx(want[r.centre, r.id], abs=1e-6) for r in rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("Union") and "Aggregate" not in plan.splitlines()[1]

@@ -162,22 +162,47 @@ def essential_nodes(nodes: DataFrame, categories: DataFrame) -> DataFrame:
     return nodes.groupBy("graph").agg(F.count(F.lit(1)).alias("before")).join(kept, "graph", "left").select("graph", "before", F.coalesce("after", F.lit(0)).cast("long").alias("after"))
 
 
+def _split(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The distinct rows (key, lon, lat) with known coordinates, of keys with one place and of keys with several."""
+    rows = df.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(key, "lon", "lat").distinct()
+    counted = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    return counted.where("_n = 1").drop("_n"), counted.where("_n > 1").drop("_n")
+
+
 def adjacent_nodes(centres: DataFrame, nodes: DataFrame, edges: DataFrame, radius_m: float = 200.0, size: float = 0.002) -> DataFrame:
     """(centre, id, distance): named nodes that share an edge with a centre or lie within the radius of it, with the least distance.
 
     ``centres``: (centre, lon, lat); ``nodes``: (id, name, lon, lat). Near ones meet on grid cells of ``size`` degrees of latitude,
-    and as many of longitude as the radius needs there.
+    and as many of longitude as the radius needs there. A node stands in one cell, so its pairs are final where they are found: they
+    are not grouped, and only nodes and centres move. Only pairs of an id with several places, and linked ones, are.
     """
     reach = F.lit(radius_m / 111_000.0)
     wide = reach / F.greatest(F.cos(F.radians(F.col("lat"))), F.lit(0.01))
     cells = lambda v, r: F.explode(F.sequence(F.floor((v - r) / size), F.floor((v + r) / size)))
-    spread = centres.select("centre", F.col("lon").alias("_x"), F.col("lat").alias("_y"), cells(F.col("lon"), wide).alias("cx"), "lat").select("centre", "_x", "_y", "cx", cells(F.col("lat"), reach).alias("cy"))
-    placed = nodes.where("name is not null").select("id", "lon", "lat", F.floor(F.col("lon") / size).alias("cx"), F.floor(F.col("lat") / size).alias("cy"))
+    spread = lambda df: df.select("centre", F.col("lon").alias("_x"), F.col("lat").alias("_y"), cells(F.col("lon"), wide).alias("cx"), "lat").select("centre", "_x", "_y", "cx", cells(F.col("lat"), reach).alias("cy"))
+    placed = lambda df: df.select("id", "lon", "lat", F.floor(F.col("lon") / size).alias("cx"), F.floor(F.col("lat") / size).alias("cy"))
     d = S.haversine_m(F.col("_x"), F.col("_y"), F.col("lon"), F.col("lat"))
-    near = spread.join(placed, ["cx", "cy"]).select("centre", "id", d.alias("distance")).where(F.col("distance") <= radius_m)
-    linked = centres.select("centre", F.col("lon").alias("_x"), F.col("lat").alias("_y")).join(doubled(edges.select("id1", "id2")), F.col("centre") == F.col("src")).select("centre", "_x", "_y", F.col("dst").alias("id"))
-    linked = linked.join(nodes.where("name is not null").select("id", "lon", "lat"), "id").select("centre", "id", d.alias("distance"))
-    return near.unionByName(linked).where("centre <> id").groupBy("centre", "id").agg(F.min("distance").alias("distance"))
+    within = lambda rows: rows.where("centre <> id").select("centre", "id", d.alias("distance")).where(F.col("distance") <= radius_m)
+    named = nodes.where("name is not null")
+    (lone, many), (one, several) = _split(centres, "centre"), _split(named, "id")
+
+    asked, there = spread(lone), placed(one)
+    crowd = asked.groupBy("cx", "cy").agg(F.count(F.lit(1)).cast("double").alias("a")).join(there.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("b")), ["cx", "cy"])
+    tasks = _tasks(nodes, (crowd.agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0.0) / PAIRS_A_TASK)
+    near = within(asked.repartition(tasks, "cx", "cy").join(there.repartition(tasks, "cx", "cy"), ["cx", "cy"]))
+
+    rest = within(spread(many).join(placed(one.unionByName(several)), ["cx", "cy"])).unionByName(within(asked.join(placed(several), ["cx", "cy"])))
+    ends = doubled(edges.select("id1", "id2")).where("src <> dst").distinct()
+    linked = centres.select("centre", F.col("lon").alias("_x"), F.col("lat").alias("_y")).join(ends, F.col("centre") == F.col("src")).select("centre", "_x", "_y", F.col("dst").alias("id"))
+    apart = F.lit(radius_m / 111_000.0) / F.greatest(F.cos(F.radians(F.col("_y"))), F.lit(0.01))
+    beside = lambda v, w, r: F.floor(F.col(v) / size).between(F.floor((F.col(w) - r) / size), F.floor((F.col(w) + r) / size))
+    linked = linked.join(named.select("id", "lon", "lat"), "id").withColumn("distance", d)
+    linked = linked.select("centre", "id", "distance", F.coalesce((F.col("distance") <= radius_m) & beside("lon", "_x", apart) & beside("lat", "_y", reach), F.lit(False)).alias("_met"))
+    least = rest.withColumn("_met", F.lit(False)).unionByName(linked).groupBy("centre", "id").agg(F.min("distance").alias("distance"), F.bool_and("_met").alias("_met"))
+    # a linked pair that met in a cell is among the near ones already, unless an end has several places
+    twice = many.select("centre").distinct().withColumn("_c", F.lit(True)), several.select("id").distinct().withColumn("_i", F.lit(True))
+    told = least.join(twice[0], "centre", "left").join(twice[1], "id", "left")
+    return near.unionByName(told.where(~F.col("_met") | F.col("_c").isNotNull() | F.col("_i").isNotNull()).select("centre", "id", "distance"))
 
 
 def grouped_neighbours(rows: DataFrame, key: str, names: list[str], groups: int = 10, ids: int = 5) -> DataFrame:
