@@ -143,3 +143,18 @@ def test_adjacent_pairs_are_not_grouped(spark):
     assert len(rows) == len(want) > 50 and all(r.distance == pytest.approx(want[r.centre, r.id], abs=1e-6) for r in rows)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lstrip().startswith("Union") and "Aggregate" not in plan.splitlines()[1]
+
+
+def test_points_are_dealt_by_their_number(spark, monkeypatch):
+    ring = [(1, [(0.0, 0.0), (0.02, 0.0), (0.02, 0.02), (0.0, 0.02), (0.0, 0.0)]), (2, [(0.01, 0.0), (0.03, 0.0), (0.03, 0.02), (0.01, 0.02), (0.01, 0.0)])]
+    rings = spark.createDataFrame(ring, "id long, line array<struct<lon:double,lat:double>>")
+    pts = spark.range(500).select("id", (F.col("id") % 31 * 0.001 + 0.00037).alias("lon"), (F.col("id") % 19 * 0.001 + 0.00041).alias("lat")).coalesce(1)
+    whole = {tuple(r) for r in J.filter_points_in_areas(J.points_in_areas(pts, rings), 0, 1e9, only_one=True).collect()}
+    monkeypatch.setattr(J, "POINTS_A_TASK", 20)
+    found = J.points_in_areas(pts, rings)
+    assert "RepartitionByExpression" in (plan := found._jdf.queryExecution().optimizedPlan().toString()) or "Repartition 26" in plan
+    kept = J.filter_points_in_areas(found, 0, 1e9, only_one=True)
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # the areas are met once
+    inside = lambda k, x, y: (0.0, 0.01)[k] < x < (0.02, 0.03)[k] and 0 < y < 0.02
+    want = {(r.id, [k + 1 for k in (0, 1) if inside(k, r.lon, r.lat)][0]) for r in pts.collect() if sum(inside(k, r.lon, r.lat) for k in (0, 1)) == 1}
+    assert {(r.point_id, r.area_id) for r in kept.collect()} == want == {t[:2] for t in whole}
