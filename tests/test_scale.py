@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import re
 
 import numpy as np
 import pytest
@@ -158,3 +159,25 @@ def test_points_are_dealt_by_their_number(spark, monkeypatch):
     inside = lambda k, x, y: (0.0, 0.01)[k] < x < (0.02, 0.03)[k] and 0 < y < 0.02
     want = {(r.id, [k + 1 for k in (0, 1) if inside(k, r.lon, r.lat)][0]) for r in pts.collect() if sum(inside(k, r.lon, r.lat) for k in (0, 1)) == 1}
     assert {(r.point_id, r.area_id) for r in kept.collect()} == want == {t[:2] for t in whole}
+
+
+def test_radius_search_deals_tasks_by_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    at = [(i, float(103.8 + rng.uniform(0, 0.03)), float(lat + rng.uniform(0, 0.03))) for lat in (1.3, 60.0) for i in range(int(lat) * 10, int(lat) * 10 + 150)]
+    nodes = spark.createDataFrame(at, "id long, lon double, lat double")
+    monkeypatch.setattr(J, "PAIRS_A_TASK", 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = J.radius_nodes(nodes.where("id % 20 = 0"), nodes, 500.0)
+        tasks = [int(re.search(r", (\d+)\), REPARTITION_BY_NUM", e).group(1)) for e in exchanges(found)]
+        rows = {(r.centre_id, r.id): r.distance_m for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(tasks) == 2 and min(tasks) > 4 and len(rows) == found.count()
+    want = {}
+    for c, x, y in at:
+        for i, u, v in at if c % 20 == 0 else ():
+            h = math.sin(math.radians(v - y) / 2) ** 2 + math.cos(math.radians(y)) * math.cos(math.radians(v)) * math.sin(math.radians(u - x) / 2) ** 2
+            if (m := 12742000.0 * math.asin(math.sqrt(h))) <= 500:
+                want[c, i] = m
+    assert rows.keys() == want.keys() and all(rows[k] == pytest.approx(want[k], abs=1e-6) for k in want)
