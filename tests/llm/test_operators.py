@@ -436,6 +436,25 @@ def test_token_file_matches_added_tokens(spark):
     assert got[0][1] == 5
 
 
+def test_token_file_encodes_and_reads_together():
+    """Texts encoded in one go equal the library's ids, also with characters newer than Python's Unicode; segments read in one go equal those read alone."""
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    plain, encoder = Tokenizer.from_str(spec), token_file.WordEncoder(spec)
+    texts = [None, "", " \n", "It's a cat, isn't it? Nie-da 42.", "a\u1c89b \u0558x\ua7cb", "a\x1cb", "Stra\u00dfe. stra\u00dfe stra\u00dfe;", "x</w>y </w>", "a\u200bb\u00a0c\u3000d"]
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [memoryview(ids).cast("H").tolist() for ids in encoder.encode_all(texts)] == want
+    assert encoder.encode_all([]) == [] and encoder.encode_all([None]) == [b""]
+    rng = np.random.default_rng(5)
+    many = [rng.integers(0, 900, n) for n in (5000, 0, 4096, 1, 2047)]
+    data = [token_file.pack(ids.astype(np.int64), {"n": len(ids)}) for ids in many]
+    for ids, (got, index) in zip(many, token_file.unpack_all(data), strict=True):
+        assert (got == ids).all() and index == {"n": len(ids)}
+
+
 def test_urls(spark):
     urls = ["http://A.example.ORG/es/x?y#z", "https://example.org/en/12", "https://example.org/en/2", "x://shop.com/fr/", "x://com/de/1", "x://notcom.net/de/", "nothing", None, "x://h?q", "x://bad.net/1", "x://org"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
