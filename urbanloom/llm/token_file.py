@@ -384,7 +384,8 @@ class WordEncoder:
 
     Its normaliser is NFC, one space for white space, lower case; its pre-tokens hold no white space and are written
     as byte letters. Texts that are not NFC or hold a character whose lower case depends on its neighbours or that
-    Python alone takes for white space go through the library whole, and so do texts that hold an added token.
+    Python alone takes for white space go through the library whole, and so do texts that hold an added token and words
+    that Python cannot print.
     """
 
     ODD = tuple("\x1c\x1d\x1e\x1f\u03a3\u0130")
