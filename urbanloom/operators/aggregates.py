@@ -93,7 +93,12 @@ def best_run(runs: DataFrame, metric: Column, key: str) -> DataFrame:
 
 def crossing_summary(crossings: DataFrame) -> DataFrame:
     """(street, crossings) of the streets with the most crossings, all that tie."""
-    per = settled(crossings.select(F.explode(F.array("line1", "line2")).alias("street")).groupBy("street").agg(F.count(F.lit(1)).alias("crossings")))  # both uses need all crossings
+    return most_crossed(crossings.select(F.explode(F.array("line1", "line2")).alias("street")).groupBy("street").agg(F.count(F.lit(1)).alias("crossings")))
+
+
+def most_crossed(per: DataFrame) -> DataFrame:
+    """Of (street, crossings) the rows with the most, all that tie."""
+    per = settled(per)  # both uses need all crossings
     return per.where(F.col("crossings") == per.agg(F.max("crossings").alias("m")).scalar())
 
 

@@ -46,7 +46,7 @@ def f26_best_run(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH seg AS ({SEGMENTS}), c AS ({CROSSINGS}), n AS (SELECT street, count(*) AS crossings FROM (SELECT line1 AS street FROM c UNION ALL SELECT line2 FROM c) GROUP BY street) SELECT street, crossings FROM n WHERE crossings = (SELECT max(crossings) FROM n)")
 def f5_crossing_summary(spark: SparkSession, d: str) -> DataFrame:
-    return A.crossing_summary(J.street_crossings(J.segments_of(table(spark, d, "street_vertices"))))
+    return A.most_crossed(J.crossings_per_street(J.segments_of(table(spark, d, "street_vertices"))))
 
 
 @query("SELECT id, CASE WHEN id % 3 = 0 THEN name WHEN id % 3 = 1 THEN category ELSE CAST(id AS VARCHAR) END AS display FROM points")
