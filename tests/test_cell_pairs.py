@@ -61,3 +61,32 @@ def test_a_part_of_more_pairs_than_fit(monkeypatch, at_once):
     assert [r["streets"] for r in found] == [list(range(60))] and (found[0]["kx"], found[0]["ky"]) == (0.001, 0.001)
     pairs = [p for b in K.crossing_rows(0.002)([batch]) for p in zip(*b.to_pydict().values(), strict=True)]
     assert sorted(p[:2] for p in pairs) == [(i, j) for i in range(60) for j in range(i + 1, 60)]
+
+
+def test_nearest_within_blocks(spark):
+    rng = np.random.default_rng(3)
+    lines, pts = [], []
+    for k in range(240):
+        x, y, w = ((0.0, 0.0, 0.006), (103.8, 60.0, 0.01), (20.0, 89.9995, 0.1))[k % 3]
+        a, b = rng.uniform(-w, w, 2), rng.uniform(-w, w, 2) * (1.0 if k % 11 else 8.0)
+        lines.append((k, x + a[0], min(y + a[1] / 4, 90.0), x + b[0], min(y + b[1] / 4, 90.0)))
+        pts += [(3 * k + i, x + rng.uniform(-w, w), min(y + rng.uniform(-w, w) / 4, 90.0)) for i in range(3)]
+    lines += [(500, 0.001, 0.001, 0.001, 0.001), (501, -0.05, -0.03, 0.05, 0.03), (499, -0.05, -0.03, 0.05, 0.03)]
+    tidy = lambda rows: [(r[0], *map(float, r[1:])) for r in rows]
+    seg, points = spark.createDataFrame(tidy(lines), "line_id long, x1 double, y1 double, x2 double, y2 double"), spark.createDataFrame(tidy(pts), "point_id long, lon double, lat double")
+    _, x1, y1, x2, y2 = np.array(lines).T
+    for radius in (40.0, 300.0):
+        found = J._nearest_within(points, seg, radius, 0.0)
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # no row a pair
+        got, want = {r.point_id: (r.distance_m, r.line_id) for r in found.collect()}, {}
+        for i, lon, lat in pts:
+            dx, dy = x2 - x1, y2 - y1
+            n = dx * dx + dy * dy
+            t = np.clip(((lon - x1) * dx + (lat - y1) * dy) / np.where(n > 0, n, 1), 0, 1)
+            a, b = np.radians(lat), np.radians(y1 + t * dy)
+            h = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(x1 + t * dx - lon) / 2) ** 2
+            m = 12742000.0 * np.arcsin(np.sqrt(h))
+            if m.min() <= radius:
+                want[i] = (m.min(), lines[int(np.lexsort((np.array(lines)[:, 0], np.round(m, 9)))[0])][0])
+        assert got.keys() == want.keys() and len(want) > 50
+        assert all(abs(got[i][0] - want[i][0]) < 1e-5 and (got[i][1] == want[i][1] or abs(pts[i][2]) > 80) for i in want)
