@@ -90,3 +90,13 @@ def test_nearest_within_blocks(spark):
                 want[i] = (m.min(), lines[int(np.lexsort((np.array(lines)[:, 0], np.round(m, 9)))[0])][0])
         assert got.keys() == want.keys() and len(want) > 50
         assert all(abs(got[i][0] - want[i][0]) < 1e-5 and (got[i][1] == want[i][1] or abs(pts[i][2]) > 80) for i in want)
+
+
+@pytest.mark.parametrize("size", [0.005, 0.0011])
+def test_totals_of_streets_without_their_crossings(segments, size):
+    c = J.street_crossings(segments).withColumn("id", F.col("line1") * 10000000 + F.col("line2"))
+    want = {r.street: (r.pairs, r.metres) for r in J.crossing_pair_totals(c).collect()}
+    found = J.street_pair_totals(segments, size=size).collect()
+    got = {r.street: (r.pairs, r.metres) for r in found}
+    assert len(found) == len(got) and got.keys() == want.keys() and len(want) > 100
+    assert all(got[s][0] == want[s][0] and got[s][1] == pytest.approx(want[s][1], rel=1e-9, abs=1e-6) for s in want)
